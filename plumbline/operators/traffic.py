@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.scalars import col, present
 from plumbline.operators.gates import equal_width_bins
@@ -178,8 +179,13 @@ def label_join(log: DataFrame, truth: DataFrame, key: str = "request_id") -> Dat
 def performance_drift(
     log: DataFrame, truth: DataFrame, key: str = "request_id", prediction: str = "prediction", label: str = "y_true"
 ) -> DataFrame:
-    """One row: status, sample_count, current_accuracy, current_f1 (support-weighted)."""
-    joined = label_join(log.select(key, prediction), truth.select(key, label), key)
+    """One row: status, sample_count, current_accuracy, current_f1 (support-weighted).
+
+    A request with several predictions counts with its first.
+    """
+    several = isinstance(log.schema[prediction].dataType, T.ArrayType)
+    first = F.get(col(prediction), F.lit(0)) if several else col(prediction)
+    joined = label_join(log.select(key, first.alias(prediction)), truth.select(key, label), key)
     m = weighted_metrics(joined, label, prediction)
     some = F.coalesce(F.col("n"), F.lit(0)) > 0
     return m.select(
