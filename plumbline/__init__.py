@@ -1,3 +1,10 @@
 """Data-quality, model-evaluation and monitoring operators for PySpark tables and streams."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions that run in Python workers travel with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

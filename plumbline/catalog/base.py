@@ -69,7 +69,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "truth": (
         "events",
         "SELECT event_id AS request_id, CASE WHEN value > 30 THEN 1 ELSE 0 END AS y_true FROM events "
-        "WHERE event_id % 4 = 0",
+        "WHERE event_type IN ('purchase', 'error')",
     ),
     "dmu": (
         "lineitem",

@@ -302,19 +302,18 @@ def secret_findings(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     Texts without any hit are dropped by one combined match before the hits are extracted.
     """
     t = col(text)
-    hits = [
-        F.transform(
-            F.regexp_extract_all(t, F.lit(pattern), F.lit(1)),
-            lambda s, rule=rule, severity=severity: F.struct(
-                F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), s.alias("secret")
-            ),
+    per_rule = [
+        F.struct(
+            F.lit(rule).alias("rule"),
+            F.lit(severity).alias("severity"),
+            F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("secrets"),
         )
         for rule, severity, pattern in SECRET_PATTERNS
     ]
     candidate = any_of([F.rlike(t, F.lit(p)) for _, _, p in SECRET_PATTERNS])
-    return df.filter(candidate).select(*[col(k) for k in keys], F.explode(F.concat(*hits)).alias("h")).select(
-        *[col(k) for k in keys], "h.*"
-    )
+    kept = [col(k) for k in keys]
+    hits = df.filter(candidate).select(*kept, F.explode(F.array(*per_rule)).alias("h"))
+    return hits.select(*kept, "h.rule", "h.severity", F.explode("h.secrets").alias("secret"))
 
 
 def top_findings(findings: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
