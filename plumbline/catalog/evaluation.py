@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.base import FEATURES, ctes, query, table, view
 from plumbline.operators import metrics, models
 from plumbline.operators.features import Imputer, split_random, split_stratified
+from plumbline.session import small_table
 
 
 def _round(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
@@ -214,7 +215,7 @@ def _classifier(name: str) -> Callable[[SparkSession, str], DataFrame]:
         scored = models.batch_score(test, models.fit(train, name, FEATURES), FEATURES, vector=True)
         found = models.evaluate(scored, "target", "classification")
         rows = [(name, m, round(float(v), 6)) for m, v in found.items()]
-        return spark.createDataFrame(rows, "algorithm string, metric string, value double")
+        return small_table(spark, rows, "algorithm string, metric string, value double")
 
     return run
 
@@ -227,7 +228,7 @@ def _regressor(name: str) -> Callable[[SparkSession, str], DataFrame]:
         scored = models.batch_score(test, models.fit(train, name, cols, "f_price"), cols)
         found = models.evaluate(scored, "f_price", "regression")
         rows = [(name, m, round(float(v), 6)) for m, v in found.items()]
-        return spark.createDataFrame(rows, "algorithm string, metric string, value double")
+        return small_table(spark, rows, "algorithm string, metric string, value double")
 
     return run
 
@@ -259,7 +260,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
     model = models.fit(rows, "linear_regression", ["l_quantity"], "l_extendedprice")
     pair = (round(float(model.coefficients[0]), 3), round(float(model.intercept), 3))
-    return spark.createDataFrame([pair], "slope double, intercept double")
+    return small_table(spark, [pair], "slope double, intercept double")
 
 
 DISTANCE = (

@@ -151,7 +151,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("secrets_scan").alias("gate"), (F.col("s_acctbal") > 0).alias("passed"), F.lit(0.5).alias("score")),
-                F.struct(F.lit("data_integrity").alias("gate"), F.lit(True).alias("passed"), F.round(F.abs("s_acctbal") / 10000, 4).alias("score")),
+                F.struct(F.lit("data_integrity").alias("gate"), F.lit(True).alias("passed"), (F.abs("s_acctbal") / 7000).alias("score")),
             )
         ).alias("g"),
     ).select("experiment_id", "g.*")
@@ -174,7 +174,7 @@ BEST_SQL = (
     f"run AS ({RUN}), ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY f1 DESC, ascii(algorithm)) AS rn FROM run), "
     "best AS (SELECT k, algorithm, f1 FROM ranked WHERE rn = 1)"
 )
-SECURITY = "(0.5 + round(abs(s_acctbal) / 10000, 4)) / 2"
+SECURITY = "(0.5 + abs(s_acctbal) / 7000) / 2"
 SUMMARY = (
     f"sm AS (SELECT {KEY_SQL} AS experiment_id, s_name AS experiment_name, "
     "CASE WHEN s_nationkey > 12 THEN 'ds_' || CAST(s_nationkey AS VARCHAR) ELSE 'ds_dataset' END AS dataset_id, "

@@ -72,14 +72,16 @@ def dataset_id(name: Column, content: Column | None = None) -> Column:
     return F.concat(F.lit("ds_"), clean, F.lit("_"), F.left(F.sha2(source, 256), F.lit(8)))
 
 
-def ks_pvalue(d: Column, n: Column, m: Column) -> Column:
-    """Two-sided two-sample Kolmogorov-Smirnov p-value.
+def ks_lambda(d: Column, n: Column, m: Column) -> Column:
+    """The argument of Kolmogorov's limit law, with Stephens' finite-sample factor."""
+    en = F.sqrt(n.cast("double") * m / (n.cast("double") + m))
+    return (en + 0.12 + 0.11 / en) * d
+
 
-    Kolmogorov's limit law with Stephens' finite-sample factor. Each of the two series is used
-    where four terms of it are exact to double precision.
+def ks_pvalue(lam: Column) -> Column:
+    """Two-sided two-sample Kolmogorov-Smirnov p-value; ``lam`` should be a column by name, as it
+    occurs often. Each of the two series is used where four terms of it are exact to double precision.
     """
-    en = F.sqrt(n.cast("double") * m / (n.cast("double") + m))
-    lam = (en + 0.12 + 0.11 / en) * d
     tail = total([(2.0 if j % 2 else -2.0) * F.exp(-2.0 * j * j * lam * lam) for j in range(1, 5)])
     head = 1.0 - math.sqrt(2 * math.pi) / lam * total(
         [F.exp(-((2 * j - 1) ** 2) * (math.pi**2 / 8) / (lam * lam)) for j in range(1, 5)]

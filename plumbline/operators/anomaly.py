@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import any_of, clip, col, order_hash, present
 from plumbline.operators.gates import first_by_hash
 from plumbline.plans.ranks import exact_quantiles
+from plumbline.session import small_table
 
 Z_LIMIT = 4.5
 TREE_ROWS = 256
@@ -51,7 +52,7 @@ class ReferenceProfile:
     def table(self, df: DataFrame) -> DataFrame:
         """(feature, mean, std, low, high)."""
         rows = [(c, self.mean[c], self.std[c], self.low[c], self.high[c]) for c in self.cols]
-        return df.sparkSession.createDataFrame(rows, "feature string, mean double, std double, low double, high double")
+        return small_table(df.sparkSession, rows, "feature string, mean double, std double, low double, high double")
 
     def z(self, c: str) -> Column:
         return F.abs((present(col(c)) - F.lit(self.mean[c])) / F.lit(self.std[c]))

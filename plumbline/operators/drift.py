@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import clip, col, ks_pvalue, present, total
-from plumbline.plans.ranks import cumulate, split_points, value_counts
+from plumbline.functions.scalars import clip, col, ks_lambda, ks_pvalue, present, total
+from plumbline.plans.ranks import RankTable
+from plumbline.session import small_table
 
 EDGE = 1e-4
 SHARE = 1e-4
@@ -25,15 +26,15 @@ def both_sides(reference: DataFrame, current: DataFrame, cols: Sequence[str]) ->
     )
 
 
-def _cumulated(df: DataFrame, cols: Sequence[str], is_ref: Column) -> DataFrame:
+def _ranks(df: DataFrame, cols: Sequence[str], is_ref: Column) -> RankTable:
+    """Value counts per side of the features that have values on both."""
     weights = {
         "ref": F.when(is_ref, F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
         "cur": F.when(is_ref, F.lit(0)).otherwise(F.lit(1)).cast("bigint"),
     }
-    splits = split_points(df, cols)
-    return cumulate(value_counts(df, cols, weights, splits=splits), ["ref", "cur"]).filter(
-        (F.col("all_ref") > 0) & (F.col("all_cur") > 0)
-    )
+    ranks = RankTable.build(df, cols, weights)
+    both = [c for c in cols if ranks.total(c, "ref") and ranks.total(c, "cur")]
+    return ranks if len(both) == len(ranks.totals) else ranks.only(both)
 
 
 def _gap() -> Column:
@@ -51,47 +52,22 @@ def _wasserstein() -> Column:
 
 def ks_statistic(df: DataFrame, cols: Sequence[str], is_ref: Column) -> DataFrame:
     """(feature, n_ref, n_cur, ks_statistic)."""
-    return _cumulated(df, cols, is_ref).groupBy("feature").agg(*_ks())
+    return _ranks(df, cols, is_ref).cumulated().groupBy("feature").agg(*_ks())
 
 
 def ks_test(df: DataFrame, cols: Sequence[str], is_ref: Column) -> DataFrame:
     """(feature, n_ref, n_cur, ks_statistic, p_value)."""
-    p = ks_pvalue(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"))
-    return ks_statistic(df, cols, is_ref).withColumn("p_value", p)
-
+    return _with_pvalue(ks_statistic(df, cols, is_ref))
 
-def wasserstein(df: DataFrame, cols: Sequence[str], is_ref: Column) -> DataFrame:
-    """(feature, wasserstein_distance)."""
-    return _cumulated(df, cols, is_ref).groupBy("feature").agg(_wasserstein())
 
+def _with_pvalue(found: DataFrame) -> DataFrame:
+    lam = ks_lambda(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"))
+    return found.withColumn("_lam", lam).withColumn("p_value", ks_pvalue(F.col("_lam"))).drop("_lam")
 
-def _reference_edges(cumulated: DataFrame, bins: int, digits: int | None) -> DataFrame:
-    """(feature, e0 ... e<bins>): interpolated quantiles of the reference, the outer two moved out a little.
 
-    The value at a rank is the one whose cumulative count covers it, so the edges come from the same
-    table as the counts.
-    """
-    n = F.col("all_ref") - 1
-    first, last = F.col("cum_ref") - F.col("ref"), F.col("cum_ref") - 1
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank <= last), F.col("value")))
-
-    picks = []
-    for i in range(bins + 1):
-        position = n * (i / bins)
-        picks += [
-            at(F.floor(position)).alias(f"lo{i}"),
-            at(F.ceil(position)).alias(f"hi{i}"),
-            F.max(position - F.floor(position)).alias(f"part{i}"),
-        ]
-    found = cumulated.filter("ref > 0").groupBy("feature").agg(*picks)
-    edges = []
-    for i in range(bins + 1):
-        e = F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")
-        e = e - EDGE if i == 0 else e + EDGE if i == bins else e
-        edges.append((F.round(e, digits) if digits is not None else e).alias(f"e{i}"))
-    return found.select("feature", *edges)
+def wasserstein(df: DataFrame, cols: Sequence[str], is_ref: Column) -> DataFrame:
+    """(feature, wasserstein_distance)."""
+    return _ranks(df, cols, is_ref).cumulated().groupBy("feature").agg(_wasserstein())
 
 
 def _bin(bins: int) -> Column:
@@ -101,11 +77,16 @@ def _bin(bins: int) -> Column:
     return F.when((v >= F.col("e0")) & (v <= F.col(f"e{bins}")), index)
 
 
-def _binned(cumulated: DataFrame, bins: int, digits: int | None) -> DataFrame:
-    # one row per feature on the right
-    return cumulated.join(F.broadcast(_reference_edges(cumulated, bins, digits)), "feature").withColumn(
-        "bin", _bin(bins)
-    )
+def _binned(ranks: RankTable, bins: int, digits: int | None) -> DataFrame:
+    """The cumulative table with the bin of each value. Edges are interpolated quantiles of the
+    reference, the outer two moved out a little."""
+    rows = []
+    for feature, edges in ranks.quantiles([i / bins for i in range(bins + 1)], "ref").items():
+        edges = [edges[0] - EDGE, *edges[1:-1], edges[-1] + EDGE]
+        rows.append((feature, *[e if digits is None else round(e, digits) for e in edges]))
+    schema = ", ".join(["feature string", *[f"e{i} double" for i in range(bins + 1)]])
+    table = small_table(ranks.counts.sparkSession, rows, schema)  # one row per feature
+    return ranks.cumulated().join(F.broadcast(table), "feature").withColumn("bin", _bin(bins))
 
 
 def _psi() -> Column:
@@ -126,7 +107,7 @@ def _per_bin(binned: DataFrame) -> DataFrame:
 def psi(df: DataFrame, cols: Sequence[str], is_ref: Column, bins: int = 10, edge_digits: int | None = None) -> DataFrame:
     """(feature, psi) over quantile bins of the reference. Current values outside the bins are not
     counted in a bin but stay in the denominator."""
-    return _per_bin(_binned(_cumulated(df, cols, is_ref), bins, edge_digits)).groupBy("feature").agg(_psi())
+    return _per_bin(_binned(_ranks(df, cols, is_ref), bins, edge_digits)).groupBy("feature").agg(_psi())
 
 
 def drift_features(
@@ -140,9 +121,9 @@ def drift_features(
 ) -> DataFrame:
     """(feature, ks_statistic, p_value, wasserstein_distance, psi, is_drifted).
 
-    All four come from one cumulative table. A feature without values on either side is skipped.
+    All four come from one cumulative table, which is one scan of the rows. A feature without values on either side is skipped.
     """
-    per_bin = _per_bin(_binned(_cumulated(df, cols, is_ref), bins, edge_digits))
+    per_bin = _per_bin(_binned(_ranks(df, cols, is_ref), bins, edge_digits))
     out = per_bin.groupBy("feature").agg(
         F.max("n_ref").alias("n_ref"),
         F.max("n_cur").alias("n_cur"),
@@ -150,14 +131,13 @@ def drift_features(
         F.sum("wasserstein_distance").alias("wasserstein_distance"),
         _psi(),
     )
-    p = ks_pvalue(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"))
-    return out.select(
+    return _with_pvalue(out).select(
         "feature",
         "ks_statistic",
-        p.alias("p_value"),
+        "p_value",
         "wasserstein_distance",
         "psi",
-        ((p < alpha) | (F.col("psi") > psi_limit)).alias("is_drifted"),
+        ((F.col("p_value") < alpha) | (F.col("psi") > psi_limit)).alias("is_drifted"),
     )
 
 

@@ -22,6 +22,7 @@ from plumbline.plans.ranks import (
     long_values,
     split_points,
 )
+from plumbline.session import small_table
 
 INLINE_CLASSES = 1000
 
@@ -80,7 +81,7 @@ def _apply_cuts(
         return df.withColumn("split", _split_name(at, _cut(t), _cut(v)))
     kind = df.schema[klass].dataType.simpleString()
     rows = [(c, *(t or (None, None)), *(v or (None, None))) for c, (t, v) in cuts.items()]
-    table = df.sparkSession.createDataFrame(rows, f"_c {kind}, _th string, _tk string, _vh string, _vk string")
+    table = small_table(df.sparkSession, rows, f"_c {kind}, _th string, _tk string, _vh string, _vk string")
     if len(rows) <= INLINE_CLASSES:
         table = F.broadcast(table)
     joined = df.join(table, col(klass).eqNullSafe(F.col("_c")))
@@ -331,7 +332,7 @@ def with_class_weights(df: DataFrame, weights: Mapping[object, float], target: s
     """Adds ``weight``, one literal per class (1 for a class that was not in the train rows)."""
     if len(weights) > INLINE_CLASSES:
         kind = df.schema[target].dataType.simpleString()
-        table = df.sparkSession.createDataFrame(list(weights.items()), f"_c {kind}, _w double")
+        table = small_table(df.sparkSession, list(weights.items()), f"_c {kind}, _w double")
         joined = df.join(table, col(target) == F.col("_c"), "left")
         return joined.select(*[col(c) for c in df.columns], F.coalesce("_w", F.lit(1.0)).alias("weight"))
     value = F.lit(1.0)

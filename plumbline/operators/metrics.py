@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import clip, col, ratio, total
-from plumbline.plans.ranks import cumulate, exact_quantiles, value_counts
+from plumbline.plans.ranks import RankTable, exact_quantiles
+from plumbline.session import small_table
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -115,13 +116,12 @@ def weighted_metrics(df: DataFrame, label: str = "label", prediction: str = "pre
     )
 
 
-def _auc_rows(counts: DataFrame) -> DataFrame:
-    """(feature, positives, negatives, auc) from value counts with weights pos and neg."""
-    c = cumulate(counts, ["pos", "neg"])
+def _auc_rows(ranks: RankTable) -> DataFrame:
+    """(feature, positives, negatives, auc) from a rank table with weights pos and neg."""
     below = F.col("cum_neg") - F.col("neg")
     # exact integers: twice the Mann-Whitney statistic
     twice = F.sum((F.col("pos") * (2 * below + F.col("neg"))).cast("decimal(38,0)"))
-    g = c.groupBy("feature").agg(
+    g = ranks.cumulated().groupBy("feature").agg(
         F.max("all_pos").alias("positives"), F.max("all_neg").alias("negatives"), twice.alias("twice")
     )
     pairs = F.col("positives").cast("double") * F.col("negatives")
@@ -136,7 +136,7 @@ def _flag(c: Column) -> Column:
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row (positives, negatives, auc): Mann-Whitney with ties at one half; 0.5 with a single class."""
     weights = {"pos": _flag(col(label) == 1), "neg": _flag(col(label) != 1)}
-    return _auc_rows(value_counts(df, [score], weights)).drop("feature")
+    return _auc_rows(RankTable.build(df, [score], weights)).drop("feature")
 
 
 def roc_auc_ovr(
@@ -149,7 +149,7 @@ def roc_auc_ovr(
         "neg": [_flag(col(label) != F.lit(c)) for c in scores],
     }
     names = [str(c) for c in scores]
-    per = _auc_rows(value_counts(df, list(scores.values()), weights, names))
+    per = _auc_rows(RankTable.build(df, list(scores.values()), weights, names))
     w = F.col("positives") if average == "weighted" else F.lit(1)
     return per.agg(F.count(F.lit(1)).alias("classes"), ratio(F.sum(F.col("auc") * w), F.sum(w)).alias("auc"))
 
@@ -171,7 +171,7 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, tp, fp, precision, recall), one row per distinct score."""
     weights = {"pos": _flag(col(label) == 1), "neg": _flag(col(label) != 1)}
-    c = cumulate(value_counts(df, [score], weights), ["pos", "neg"], descending=True)
+    c = RankTable.build(df, [score], weights).cumulated(descending=True)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return c.select(
         F.col("value").alias("threshold"),
@@ -204,13 +204,13 @@ def optimal_threshold(
 def percentiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
     """(prob, value): exact interpolated quantiles of one column."""
     (qs,) = exact_quantiles(df, [value], probs)
-    return df.sparkSession.createDataFrame(list(zip(map(float, probs), qs, strict=True)), "prob double, value double")
+    return small_table(df.sparkSession, list(zip(map(float, probs), qs, strict=True)), "prob double, value double")
 
 
 def latency_percentiles(df: DataFrame, value: str = "latency_ms") -> DataFrame:
     """One row p50, p95, p99."""
     (qs,) = exact_quantiles(df, [value], [0.5, 0.95, 0.99])
-    return df.sparkSession.createDataFrame([tuple(qs)], "p50 double, p95 double, p99 double")
+    return small_table(df.sparkSession, [tuple(qs)], "p50 double, p95 double, p99 double")
 
 
 def metric_rows(one: DataFrame, names: Sequence[str], **tags: str) -> DataFrame:

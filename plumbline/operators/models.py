@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from plumbline.functions.scalars import col
 from plumbline.operators import metrics
 from plumbline.operators.features import class_weights, kfold_assign, to_vector, with_class_weights
+from plumbline.session import small_table
 
 log = logging.getLogger(__name__)
 
@@ -229,7 +230,7 @@ def cross_validate(
     finally:
         folded.unpersist()
     rows = [(algorithm, f"cv_{m}", float(np.mean([r[m] for r in runs]))) for m in runs[0]]
-    return train.sparkSession.createDataFrame(rows, "algorithm string, metric string, value double")
+    return small_table(train.sparkSession, rows, "algorithm string, metric string, value double")
 
 
 def train_all(
@@ -271,7 +272,7 @@ def train_all(
     finally:
         table.unpersist()
     schema = "algorithm string, position int, metric string, value double"
-    return table.sparkSession.createDataFrame(rows, schema), models
+    return small_table(table.sparkSession, rows, schema), models
 
 
 def select_best(results: DataFrame, metric: str = "f1", prefix: str = "test_") -> DataFrame:

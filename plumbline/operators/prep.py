@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.scalars import col, finite, is_infinite, present, try_double
 from plumbline.plans.ranks import bucketed_row_number
+from plumbline.session import small_table
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 MAX_CATEGORIES = 1000
@@ -63,7 +64,7 @@ def encode_labels(df: DataFrame, target: str = "target", check: bool = True) ->
     if check and len(head) < 2:
         raise ValueError(f"classification target '{target}' needs at least 2 classes, found {len(head)}")
     if len(head) <= INLINE_CLASSES:
-        codes = F.broadcast(df.sparkSession.createDataFrame(head, codes.schema))
+        codes = F.broadcast(small_table(df.sparkSession, head, codes.schema))
     rest = [col(c) if c != target else F.col("code").alias(target) for c in df.columns]
     return df.join(codes, col(target).cast("string") == F.col("label"), "left").select(*rest)
 
@@ -231,7 +232,7 @@ def detect_task_type(df: DataFrame, cols: Sequence[str], limit: int = 15) -> Dat
     numeric = numeric_columns(df, cols)
     over = more_distinct_than(df, {c: missing_safe(df, c) for c in numeric}, limit) if numeric else {}
     rows = [(c, "regression" if over.get(c, False) else "classification") for c in cols]
-    return df.sparkSession.createDataFrame(rows, "column string, task string")
+    return small_table(df.sparkSession, rows, "column string, task string")
 
 
 def continuous_columns(df: DataFrame, cols: Sequence[str], limit: int = 20) -> dict[str, tuple[bool, bool]]:
@@ -246,6 +247,7 @@ def continuous_columns(df: DataFrame, cols: Sequence[str], limit: int = 20) -> d
 def is_continuous(df: DataFrame, cols: Sequence[str], limit: int = 20) -> DataFrame:
     """(column, many_values, has_fraction, continuous): continuous if either holds."""
     rows = [(c, many, part, many or part) for c, (many, part) in continuous_columns(df, cols, limit).items()]
-    return df.sparkSession.createDataFrame(
+    return small_table(
+        df.sparkSession,
         rows, "column string, many_values boolean, has_fraction boolean, continuous boolean"
     )

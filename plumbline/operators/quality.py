@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from plumbline.functions.scalars import all_of, col, finite, is_infinite, total
 from plumbline.operators import prep
 from plumbline.plans.ranks import exact_quantiles
-from plumbline.session import materialise
+from plumbline.session import materialise, small_table
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,8 @@ def class_balance(df: DataFrame, target: str = "target", threshold: float = 0.10
     """(class, n, share, min_share, passed); a continuous target gives one passing row with a note."""
     groups = df.filter(~_missing(df, target)).groupBy(col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     if not isinstance(df.schema[target].dataType, prep.INTEGRAL) or groups.limit(21).count() > 20:
-        return df.sparkSession.createDataFrame(
+        return small_table(
+            df.sparkSession,
             [(None, None, None, None, True, "continuous target")],
             "class string, n bigint, share double, min_share double, passed boolean, note string",
         )
@@ -280,7 +281,8 @@ def fit_outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = 4.0) -> li
 def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = 4.0) -> DataFrame:
     """(column, n, q1, q3, lower, upper)."""
     rows = [(b.column, b.n, b.q1, b.q3, b.lower, b.upper) for b in fit_outlier_bounds(df, cols, k)]
-    return df.sparkSession.createDataFrame(
+    return small_table(
+        df.sparkSession,
         rows, "column string, n bigint, q1 double, q3 double, lower double, upper double"
     )
 

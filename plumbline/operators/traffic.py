@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from plumbline.functions.scalars import col, present
 from plumbline.operators.gates import equal_width_bins
 from plumbline.operators.metrics import weighted_metrics
+from plumbline.session import small_table
 
 # Upper bounds of the latency histogram in seconds, and the statuses that are no error.
 LATENCY_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
@@ -103,7 +104,7 @@ def latency_bins(log: DataFrame, latency: str = "latency_ms", bins: int = 20) ->
     v = present(col(latency))
     lo, hi, n = log.agg(F.min(v), F.max(v), F.count(v)).first()
     if not n:
-        return log.sparkSession.createDataFrame([], "bin int, low double, high double, n bigint")
+        return small_table(log.sparkSession, [], "bin int, low double, high double, n bigint")
     bins = min(bins, n)
     start, width = (lo, (hi - lo) / bins) if hi > lo else (lo - 0.5, 1.0 / bins)
     return (

@@ -5,29 +5,35 @@ All rank-based operators (quantiles, KS, Wasserstein, PSI, AUC, PR curve, thresh
 1. split points: approximate quantiles of a sample cut each column's range into buckets. They only
    steer the load; results are exact whatever they are.
 2. value counts: rows are aggregated to distinct (feature, bucket, value) before anything is sorted,
-   so a value that holds a third of the rows is combined on the map side.
-3. cumulation: a window inside each bucket plus an offset from the (small) table of bucket totals.
+   so a value that holds a third of the rows is combined on the map side. The aggregated table is
+   written once, and everything below reads it, not the rows.
+3. cumulation: a window inside each bucket plus the offset of the bucket, which comes from the bucket
+   totals (#features x #buckets numbers).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import col, order_hash, present
+from plumbline.session import materialise, small_table
 
 MAX_BUCKETS = 1024
+MAX_CELLS = 200_000
 SAMPLE_FRACTION = 0.1
 SKETCH_GROUPS = 64
-INLINE_ROWS = 10_000
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return max(2, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def bucket_count(spark: SparkSession, features: int = 1) -> int:
+    """As many buckets as shuffle partitions, within bounds that keep the bucket totals small."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, min(MAX_BUCKETS, wanted, MAX_CELLS // max(1, features)))
 
 
 def split_points(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> list[list[float]]:
@@ -36,7 +42,7 @@ def split_points(df: DataFrame, cols: Sequence[str], buckets: int | None = None)
     Sketches are built in ``SKETCH_GROUPS`` independent groups and then sketched again, so that no
     single task merges one sketch per input split.
     """
-    buckets = buckets or bucket_count(df.sparkSession)
+    buckets = buckets or bucket_count(df.sparkSession, len(cols))
     probs = [i / buckets for i in range(1, buckets)]
     values = [present(col(c)).alias(f"v{i}") for i, c in enumerate(cols)]
     grouped = (
@@ -93,59 +99,94 @@ def long_values(
     return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter(F.col("value").isNotNull())
 
 
-def value_counts(
-    df: DataFrame,
-    cols: Sequence[str],
-    weights: Mapping[str, Column | Sequence[Column]],
-    names: Sequence[str] | None = None,
-    splits: Sequence[Sequence[float]] | None = None,
-) -> DataFrame:
-    """Distinct (feature, bucket, value) with the sum of each weight expression."""
-    splits = splits if splits is not None else split_points(df, cols)
-    return (
-        long_values(df, cols, splits, weights, names)
-        .groupBy("feature", "bucket", "value")
-        .agg(*[F.sum(w).alias(w) for w in weights])
-    )
+@dataclass(frozen=True)
+class RankTable:
+    """Distinct values per feature with summed weights, and the totals of each bucket.
 
+    ``counts`` is a written table (feature, bucket, value, weights); ``totals`` has one entry per
+    feature: its buckets in order as (bucket, lowest value, highest value, {weight: sum}).
+    """
 
-def cumulate(counts: DataFrame, weights: Sequence[str], descending: bool = False) -> DataFrame:
-    """Adds, per weight w: ``cum_w`` (running sum including the row) and ``all_w`` (feature total),
-    and ``next_value`` (the following distinct value of the feature, null at the end)."""
-    direction = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    edge = F.max if descending else F.min
-    totals = counts.groupBy("feature", "bucket").agg(
-        *[F.sum(w).alias(f"t_{w}") for w in weights], edge("value").alias("t_first")
-    )
-    over = Window.partitionBy("feature").orderBy(direction("bucket"))
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy("feature")
-    offsets = totals.select(
-        "feature",
-        "bucket",
-        F.lead("t_first").over(over).alias("o_next"),
-        *[F.coalesce(F.sum(f"t_{w}").over(before), F.lit(0)).alias(f"o_{w}") for w in weights],
-        *[F.sum(f"t_{w}").over(everything).alias(f"all_{w}") for w in weights],
-    )
-    inside = Window.partitionBy("feature", "bucket").orderBy(direction("value"))
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        counts.select(
-            "*",
-            *[F.sum(w).over(running).alias(f"c_{w}") for w in weights],
-            F.lead("value").over(inside).alias("c_next"),
+    counts: DataFrame
+    weights: tuple[str, ...]
+    totals: dict[str, list[tuple[int, float, float, dict[str, int]]]]
+
+    @staticmethod
+    def build(
+        df: DataFrame,
+        cols: Sequence[str],
+        weights: Mapping[str, Column | Sequence[Column]],
+        names: Sequence[str] | None = None,
+        splits: Sequence[Sequence[float]] | None = None,
+    ) -> RankTable:
+        splits = splits if splits is not None else split_points(df, cols)
+        counts = materialise(
+            long_values(df, cols, splits, weights, names)
+            .groupBy("feature", "bucket", "value")
+            .agg(*[F.sum(w).alias(w) for w in weights]),
+            "values",
         )
-        .join(offsets, ["feature", "bucket"])
-        .select(
-            "feature",
-            "bucket",
-            "value",
-            *weights,
-            *[(F.col(f"c_{w}") + F.col(f"o_{w}")).alias(f"cum_{w}") for w in weights],
-            *[f"all_{w}" for w in weights],
-            F.coalesce("c_next", "o_next").alias("next_value"),
+        rows = (
+            counts.groupBy("feature", "bucket")
+            .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), *[F.sum(w).alias(w) for w in weights])
+            .collect()
+        )
+        totals: dict[str, list[tuple[int, float, float, dict[str, int]]]] = {}
+        for r in sorted(rows, key=lambda r: (r["feature"], r["bucket"])):
+            sums = {w: r[w] or 0 for w in weights}
+            totals.setdefault(r["feature"], []).append((r["bucket"], r["lo"], r["hi"], sums))
+        return RankTable(counts, tuple(weights), totals)
+
+    def total(self, feature: str, weight: str) -> int:
+        return sum(sums[weight] for *_, sums in self.totals.get(feature, []))
+
+    def only(self, features: Sequence[str]) -> RankTable:
+        """The same table for some of the features."""
+        return RankTable(
+            self.counts.filter(F.col("feature").isin(list(features))),
+            self.weights,
+            {f: t for f, t in self.totals.items() if f in set(features)},
         )
-    )
+
+    def cumulated(self, descending: bool = False) -> DataFrame:
+        """Adds, per weight w: ``cum_w`` (running sum including the row) and ``all_w`` (feature total),
+        and ``next_value`` (the following distinct value of the feature, null at the end)."""
+        rows = []
+        for feature, buckets in self.totals.items():
+            along = buckets[::-1] if descending else buckets
+            seen = dict.fromkeys(self.weights, 0)
+            for k, (bucket, _, _, sums) in enumerate(along):
+                following = along[k + 1][2 if descending else 1] if k + 1 < len(along) else None
+                rows.append((feature, bucket, following, *seen.values(), *[self.total(feature, w) for w in self.weights]))
+                seen = {w: seen[w] + sums[w] for w in self.weights}
+        longs = [f"{kind}_{w} bigint" for kind in ("o", "all") for w in self.weights]
+        schema = ", ".join(["feature string", "bucket int", "o_next double", *longs])
+        offsets = small_table(self.counts.sparkSession, rows, schema)  # at most MAX_CELLS rows
+        order = F.desc("value") if descending else F.asc("value")
+        inside = Window.partitionBy("feature", "bucket").orderBy(order)
+        running = inside.rowsBetween(Window.unboundedPreceding, 0)
+        return (
+            self.counts.select(
+                "*",
+                *[F.sum(w).over(running).alias(f"c_{w}") for w in self.weights],
+                F.lead("value").over(inside).alias("c_next"),
+            )
+            .join(F.broadcast(offsets), ["feature", "bucket"])
+            .select(
+                "feature",
+                "bucket",
+                "value",
+                *self.weights,
+                *[(F.col(f"c_{w}") + F.col(f"o_{w}")).alias(f"cum_{w}") for w in self.weights],
+                *[f"all_{w}" for w in self.weights],
+                F.coalesce("c_next", "o_next").alias("next_value"),
+            )
+        )
+
+    def quantiles(self, probs: Sequence[float], weight: str) -> dict[str, list[float | None]]:
+        """Exact interpolated quantiles per feature of the rows counted by ``weight``."""
+        sizes = {f: {b: sums[weight] for b, _, _, sums in t} for f, t in self.totals.items()}
+        return _quantiles(self.counts.filter(F.col(weight) > 0), weight, sizes, probs)
 
 
 def exact_quantiles(
@@ -161,60 +202,60 @@ def exact_quantiles(
     """
     splits = splits if splits is not None else split_points(df, cols)
     ids = [str(i) for i in range(len(cols))]
-    cells = long_values(df, cols, splits, names=ids)
+    cells = long_values(df, cols, splits, {"n": F.lit(1).cast("bigint")}, ids)
     sizes: dict[str, dict[int, int]] = {i: {} for i in ids}
-    for r in cells.groupBy("feature", "bucket").count().collect():
-        sizes[r["feature"]][r["bucket"]] = r["count"]
+    for r in cells.groupBy("feature", "bucket").agg(F.sum("n").alias("n")).collect():
+        sizes[r["feature"]][r["bucket"]] = r["n"]
+    found = _quantiles(cells, "n", sizes, probs)
+    return [found[i] for i in ids]
+
+
+def _quantiles(
+    cells: DataFrame, weight: str, sizes: Mapping[str, Mapping[int, int]], probs: Sequence[float]
+) -> dict[str, list[float | None]]:
+    """Quantiles from weighted cells (feature, bucket, value, weight) whose bucket sizes are known."""
     wanted: dict[tuple[str, int], set[int]] = {}
-    place: dict[str, dict[int, tuple[int, int]]] = {i: {} for i in ids}
-    for i in ids:
-        n = sum(sizes[i].values())
-        ranks = sorted({r for p in probs for r in _ranks(p, n)[:2]}) if n else []
-        for rank in ranks:
+    place: dict[tuple[str, int], tuple[int, int]] = {}
+    for f, buckets in sizes.items():
+        n = sum(buckets.values())
+        for rank in sorted({r for p in probs for r in _ranks(p, n)[:2]}) if n else []:
             seen = 0
-            for b in sorted(sizes[i]):
-                if rank < seen + sizes[i][b]:
-                    wanted.setdefault((i, b), set()).add(rank - seen)
-                    place[i][rank] = (b, rank - seen)
+            for b in sorted(buckets):
+                if rank < seen + buckets[b]:
+                    wanted.setdefault((f, b), set()).add(rank - seen)
+                    place[f, rank] = (b, rank - seen)
                     break
-                seen += sizes[i][b]
+                seen += buckets[b]
     found: dict[tuple[str, int, int], float] = {}
     if wanted:
-        # one row per (feature, wanted bucket): at most 2 * #columns * #probs rows
-        targets = df.sparkSession.createDataFrame(
+        # one row per (feature, wanted bucket): at most 2 * #features * #probs rows
+        targets = small_table(
+            cells.sparkSession,
             [(f, b, sorted(rs)) for (f, b), rs in wanted.items()], "feature string, bucket int, ranks array<bigint>"
         )
-        distinct = (
-            cells.join(F.broadcast(targets.select("feature", "bucket")), ["feature", "bucket"], "left_semi")
-            .groupBy("feature", "bucket", "value")
-            .count()
-        )
         running = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         hits = (
-            distinct.withColumn("upto", F.sum("count").over(running))
+            cells.join(F.broadcast(targets.select("feature", "bucket")), ["feature", "bucket"], "left_semi")
+            .groupBy("feature", "bucket", "value")
+            .agg(F.sum(weight).alias("n"))
+            .withColumn("upto", F.sum("n").over(running))
             .join(F.broadcast(targets), ["feature", "bucket"])
-            .withColumn(
-                "hit",
-                F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("count"))),
-            )
+            .withColumn("hit", F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
             .filter(F.size("hit") > 0)
-            .select("feature", "bucket", "value", "hit")
         )
-        for r in hits.collect():
-            for rank in r["hit"]:
-                found[(r["feature"], r["bucket"], rank)] = r["value"]
-    out: list[list[float | None]] = []
-    for i in ids:
-        n = sum(sizes[i].values())
-        row: list[float | None] = []
+        for r in hits.select("feature", "bucket", "value", "hit").collect():
+            found.update({(r["feature"], r["bucket"], rank): r["value"] for rank in r["hit"]})
+    out: dict[str, list[float | None]] = {}
+    for f, buckets in sizes.items():
+        n = sum(buckets.values())
+        out[f] = []
         for p in probs:
             if n == 0:
-                row.append(None)
+                out[f].append(None)
                 continue
             lo, hi, part = _ranks(p, n)
-            a, b = (found[(i, *place[i][k])] for k in (lo, hi))
-            row.append(a if lo == hi else (1.0 - part) * a + part * b)
-        out.append(row)
+            a, b = (found[(f, *place[f, k])] for k in (lo, hi))
+            out[f].append(a if lo == hi else (1.0 - part) * a + part * b)
     return out
 
 
@@ -290,7 +331,7 @@ def hash_cuts(
     found: dict[tuple[object, int], tuple[str, str]] = {}
     if rows:
         schema = f"k {base.schema['k'].dataType.simpleString()}, b string, local bigint, rank bigint"
-        targets = spark.createDataFrame(rows, schema)
+        targets = small_table(spark, rows, schema)
         inside = base.join(F.broadcast(targets.select("k", "b").distinct()), ["k", "b"], "left_semi").withColumn(
             "local", F.row_number().over(Window.partitionBy("k", "b").orderBy("h", "key")).cast("bigint")
         )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import col
 from plumbline.operators import drift, traffic
 from plumbline.operators.anomaly import ReferenceProfile
-from plumbline.session import scratch_path
+from plumbline.session import scratch_path, small_table
 
 MIN_REQUESTS = 3
 
@@ -148,7 +148,7 @@ def drain_complete(df: DataFrame, label: str) -> DataFrame:
 
     path = drain_batches(df, label, write, "complete")
     if last[0] < 0:
-        return spark.createDataFrame([], df.schema)
+        return small_table(spark, [], df.schema)
     return spark.read.schema(df.schema).parquet(f"{path}/table/batch={last[0]}")
 
 
@@ -184,7 +184,7 @@ def stream_drift(
         batch = batch.select(*cols).persist()
         n = batch.count()
         if n < MIN_REQUESTS:
-            out = spark.createDataFrame([(i, "insufficient_samples", n, None, False, "")], DRIFT_SCHEMA)
+            out = small_table(spark, [(i, "insufficient_samples", n, None, False, "")], DRIFT_SCHEMA)
         else:
             both = drift.both_sides(reference, batch, cols)
             report = drift.drift_report(drift.drift_features(both, cols, F.col("_ref")), len(cols))
