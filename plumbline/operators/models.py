@@ -287,35 +287,46 @@ def select_best(results: DataFrame, metric: str = "f1", prefix: str = "test_") -
 
 # --------------------------------------------------------------------------- nearest neighbours
 
-QUERY_BLOCK = 2048
-TRAIN_BLOCK_ROWS = 200_000
-
-
-def _neighbours(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of ``x`` for each row of ``q``, ties by id; exact squared distances."""
-    best_d = np.full((len(q), 0), np.inf)
-    best_i = np.zeros((len(q), 0), dtype=np.int64)
-    best_y = np.zeros((len(q), 0))
-    step = max(1, 2_000_000 // max(1, len(q)))
-    for s in range(0, len(x), step):
-        part = x[s : s + step]
-        d = np.zeros((len(q), len(part)))
-        for j in range(q.shape[1]):
-            diff = q[:, j, None] - part[None, :, j]
-            d += diff * diff
-        d = np.concatenate([best_d, d], axis=1)
-        i = np.concatenate([best_i, np.broadcast_to(ids[s : s + step], (len(q), len(part)))], axis=1)
-        t = np.concatenate([best_y, np.broadcast_to(y[s : s + step], (len(q), len(part)))], axis=1)
-        order = np.lexsort((i, d), axis=1)[:, :k]
-        best_d, best_i, best_y = (np.take_along_axis(a, order, axis=1) for a in (d, i, t))
-    m = best_d.shape[1]
-    return pd.DataFrame(
-        {"query": np.repeat(q_ids, m), "id": best_i.ravel(), "label": best_y.ravel(), "distance": best_d.ravel()}
-    )
+BLOCK_ROWS = 50_000
+CHUNK_CELLS = 4_000_000
+
+
+def _closest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of ``x`` for each row of ``q``, by exact squared distance, then id.
+
+    A matrix product bounds the distances; only pairs that can be among the k nearest are computed
+    exactly, so rounding in the product does not decide anything.
+    """
+    k = min(k, len(x))
+    norms = (x * x).sum(axis=1)
+    slack = 1e-9 * (1.0 + norms.max())
+    rows = []
+    step = max(1, CHUNK_CELLS // len(x))
+    for s in range(0, len(q), step):
+        part = q[s : s + step]
+        rough = norms[None, :] - 2.0 * part @ x.T
+        own = (part * part).sum(axis=1)
+        bar = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack + 1e-9 * own
+        at, to = np.nonzero(rough <= bar[:, None])
+        diff = part[at] - x[to]
+        exact = (diff * diff).sum(axis=1)
+        order = np.lexsort((ids[to], exact, at))
+        at, to, exact = at[order], to[order], exact[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        best = place < k
+        rows.append((q_ids[s + at[best]], ids[to[best]], y[to[best]], exact[best]))
+    names = ("query", "id", "label", "distance")
+    return pd.DataFrame({n: np.concatenate([r[i] for r in rows]) for i, n in enumerate(names)})
 
 
 def nearest(
-    queries: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 5, blocks: int | None = None
+    queries: DataFrame,
+    train: DataFrame,
+    key: str,
+    vector: str,
+    label: str,
+    k: int = 5,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query, id, label, distance): the k nearest train rows of each query, by squared distance, then id.
 
@@ -324,23 +335,25 @@ def nearest(
     a task holds one block of each.
     """
     shape = [col(key).cast("bigint").alias("id"), col(vector).cast("array<double>").alias("x")]
-    q = queries.select(*shape, F.lit(0.0).alias("y"), F.lit(0).alias("side"))
-    t = train.select(*shape, col(label).cast("double").alias("y"), F.lit(1).alias("side"))
+    q = queries.select(*shape, F.lit(0.0).alias("y"))
+    t = train.select(*shape, col(label).cast("double").alias("y"))
     n_q, n_t = q.count(), t.count()
-    q_blocks = max(1, -(-n_q // QUERY_BLOCK))
-    t_blocks = blocks or max(1, -(-n_t // TRAIN_BLOCK_ROWS))
+    t_blocks = max(1, -(-n_t // block_rows))
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q_blocks = max(1, -(-n_q // block_rows), min(-(-tasks // t_blocks), n_q // 256))
     spread = F.xxhash64("id")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
     q = q.withColumn("qb", F.pmod(spread, F.lit(q_blocks)).cast("int")).withColumn("tb", every(t_blocks))
     t = t.withColumn("tb", F.pmod(spread, F.lit(t_blocks)).cast("int")).withColumn("qb", every(q_blocks))
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query": [], "id": [], "label": [], "distance": []})
-        xs = [np.stack(p["x"].to_numpy()).astype(float) for p in (left, right)]
-        return _neighbours(
-            xs[0], left["id"].to_numpy(), xs[1], right["id"].to_numpy(), right["y"].to_numpy(), k
-        )
+        a, b = (np.stack(p["x"].to_numpy()).astype(float) for p in (left, right))
+        return _closest(a, left["id"].to_numpy(), b, right["id"].to_numpy(), right["y"].to_numpy(), k)
 
     found = (
         q.groupBy("qb", "tb")
