@@ -20,6 +20,7 @@ MIN_WEIGHT = 1e-4
 FRONTIER_LIMIT = 50_000
 KEPT_IN_TASK = 20_000
 BLOCK = 5_000
+MAX_ROUNDS = 100
 
 
 def dmu_prepare(df: DataFrame, name: str = "name") -> DataFrame:
@@ -93,7 +94,7 @@ def _efficiency(
         reduced[basis] = 0.0
         bad = np.flatnonzero(reduced < -1e-10)
         if not len(bad):
-            return float(cost[basis] @ value), price[:s], -price[s:]
+            return float(cost[basis] @ value), price[:s], price[s:]
         enter = int(bad[0]) if step > 300 else int(bad[np.argmin(reduced[bad])])
         direction = inverse @ table[:, enter]
         can_leave = [i for i in range(rows) if direction[i] > 1e-11 and basis[i] != free]
@@ -219,7 +220,7 @@ def _dea_rounds(points: DataFrame, front: DataFrame, kind: str, block: int = BLO
     empty = F.array().cast("array<array<double>>")
     open_rows = points.withColumns({"cx": empty, "cy": empty})
     done: DataFrame | None = None
-    while True:
+    for _ in range(MAX_ROUNDS):
         solved = materialise(open_rows.mapInPandas(solve, solved_schema), "dea-round")
         pairs = solved.withColumn("db", F.pmod(F.xxhash64("dmu"), F.lit(n_d)).cast("int")).withColumn("fb", every(n_f))
         found = pairs.groupBy("db", "fb").cogroup(blocks.groupBy("db", "fb")).applyInPandas(
@@ -235,6 +236,7 @@ def _dea_rounds(points: DataFrame, front: DataFrame, kind: str, block: int = BLO
         open_rows = solved.join(added, "dmu").select(
             "dmu", "x", "y", F.concat("cx", "ax").alias("cx"), F.concat("cy", "ay").alias("cy")
         )
+    raise ArithmeticError(f"efficiencies did not settle in {MAX_ROUNDS} rounds")
 
 
 def dea_rank(
