@@ -245,7 +245,8 @@ def adversarial_gate(
 
 
 def checksum_scan(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, name, bytes, sha256), one row per file. Files above 2 GB do not fit a binary column."""
+    """(path, name, bytes, sha256), one row per non-empty file. Files above 2 GB do not fit a binary
+    column; an empty file gives no row, so the gate sees it as missing."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

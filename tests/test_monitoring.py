@@ -96,7 +96,7 @@ def test_value_divergence_of_a_constant(spark):
 
 def test_checksums(spark, tmp_path):
     (tmp_path / "model.bin").write_bytes(b"weights")
-    (tmp_path / "other.bin").write_bytes(b"")
+    (tmp_path / "other.bin").write_bytes(b"more")
     found = gates.checksum_scan(spark, str(tmp_path), "*.bin")
     hashes = {r["name"]: r["sha256"] for r in found.collect()}
     assert hashes["model.bin"] == hashlib.sha256(b"weights").hexdigest()

@@ -67,9 +67,9 @@ def test_huge_inputs_have_no_feasible_weights_unless_scaled(spark):
 
 def test_three_workflows(spark):
     rows = [
-        ("A", 10.0, 14, 180.0, 48.0, 0.80, 0.20, 0.45, 0.0),
-        ("B", 12.0, 6, 45.0, 4.0, 0.82, 0.55, 0.60, 0.25),
-        ("C", 15.0, 0, 0.5, 0.5, 0.83, 0.95, 0.85, 1.0),
+        ("A", 10.0, 14.0, 180.0, 48.0, 0.80, 0.20, 0.45, 0.0),
+        ("B", 12.0, 6.0, 45.0, 4.0, 0.82, 0.55, 0.60, 0.25),
+        ("C", 15.0, 0.0, 0.5, 0.5, 0.83, 0.95, 0.85, 1.0),
     ]
     df = ranking.dmu_prepare(spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c == 'name' else 'double'}" for c in COLUMNS)))
     ins, outs = [f"in_{i}" for i in range(4)], [f"out_{i}" for i in range(4)]

@@ -38,11 +38,11 @@ def _stream(spark, path):
 def test_windows_equal_batch_after_a_sentinel_and_late_rows_are_dropped(spark, folder):
     rows = [_row(i, i / 2) for i in range(20)]
     late = [_row(100, 0), _row(101, 120)]
-    path = folder(rows, [_row(200, 60)], late)
+    path = folder(rows, [_row(200, 60)], [_row(201, 61)], late)
     done = monitors.drain_append(monitors.stream_traffic(_stream(spark, path)), "t")
     got = {r["start"]: (r["requests"], r["errors"]) for r in done.collect()}
     want = {}
-    for r in [*rows, _row(200, 60)]:
+    for r in [*rows, _row(200, 60), _row(201, 61)]:
         at = r[1].replace(second=0)
         n, e = want.get(at, (0, 0))
         want[at] = (n + 1, e + (r[3] == "error"))
