@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.base import FEATURES, ctes, query, table, view
 from plumbline.operators import metrics, models
-from plumbline.operators.features import Imputer, split_random, split_stratified
+from plumbline.operators.features import FeatureTransform, split_random, split_stratified
 from plumbline.session import small_table
 
 
@@ -204,9 +204,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = view(spark, sf, "feat").select("row_key", "side", "target", *FEATURES)
-    filled = Imputer.fit(rows.filter("side = 'ref'"), FEATURES).transform(rows)
-    return filled.filter("side = 'ref'"), filled.filter("side = 'cur'")
+    rows = view(spark, sf, "feat").select("row_key", "side", "target", F.col("f_price").alias("price"), *FEATURES)
+    ready = FeatureTransform.fit(rows.filter("side = 'ref'"), FEATURES).transform(rows)
+    return ready.filter("side = 'ref'"), ready.filter("side = 'cur'")
 
 
 def _classifier(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -225,8 +225,8 @@ def _regressor(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         train, test = _sides(spark, sf)
-        scored = models.batch_score(test, models.fit(train, name, cols, "f_price"), cols)
-        found = models.evaluate(scored, "f_price", "regression")
+        scored = models.batch_score(test, models.fit(train, name, cols, "price"), cols)
+        found = models.evaluate(scored, "price", "regression")
         rows = [(name, m, round(float(v), 6)) for m, v in found.items()]
         return small_table(spark, rows, "algorithm string, metric string, value double")
 
@@ -309,8 +309,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "feat").select("row_key", "target", *FEATURES)
     parts = split_stratified(rows, "target", ["row_key"])
-    filled = Imputer.fit(parts.filter("split = 'train'"), FEATURES).transform(parts)
-    results, _ = models.train_all(filled, ["logistic_regression", "decision_tree", "svm"], FEATURES)
+    ready = FeatureTransform.fit(parts.filter("split = 'train'"), FEATURES).transform(parts)
+    results, _ = models.train_all(ready, ["logistic_regression", "decision_tree", "svm"], FEATURES)
     return _round(results, ["value"])
 
 
@@ -319,8 +319,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["f_qty", "f_disc", "f_tax"]
     rows = view(spark, sf, "feat").select("row_key", "f_price", *cols)
     parts = split_random(rows, ["row_key"])
-    filled = Imputer.fit(parts.filter("split = 'train'"), cols).transform(parts)
-    results, _ = models.train_all(filled, ["linear_regression", "decision_tree_regressor", "svm_regressor"], cols, "f_price")
+    ready = FeatureTransform.fit(parts.filter("split = 'train'"), cols).transform(parts)
+    results, _ = models.train_all(ready, ["linear_regression", "decision_tree_regressor", "svm_regressor"], cols, "f_price")
     return _round(results, ["value"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import FEATURES, ctes, query, table, view
-from plumbline.operators import anomaly, drift, gates, models, quality, traffic
+from plumbline.operators import anomaly, drift, gates, models, traffic
 from plumbline.operators.features import Imputer
 from plumbline.session import scratch_path
 from plumbline.sources import readers, writers
@@ -148,10 +148,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _feat(spark, sf)
-    missing = quality.profile(rows, FEATURES).select(F.col("column").alias("feature"), "missing")
-    found = drift.drift_features(rows, FEATURES, is_ref(), edge_digits=9)
-    out = found.join(F.broadcast(missing), "feature")  # one row per feature
+    out = drift.feature_health(_feat(spark, sf), FEATURES, is_ref(), edge_digits=9)
     return _round(out, ["ks_statistic", "p_value", "wasserstein_distance", "psi"])
 
 

@@ -26,15 +26,22 @@ def both_sides(reference: DataFrame, current: DataFrame, cols: Sequence[str]) ->
     )
 
 
-def _ranks(df: DataFrame, cols: Sequence[str], is_ref: Column) -> RankTable:
-    """Value counts per side of the features that have values on both."""
+def _rank_table(df: DataFrame, cols: Sequence[str], is_ref: Column) -> RankTable:
+    """Value counts per side."""
     weights = {
         "ref": F.when(is_ref, F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
         "cur": F.when(is_ref, F.lit(0)).otherwise(F.lit(1)).cast("bigint"),
     }
-    ranks = RankTable.build(df, cols, weights)
-    both = [c for c in cols if ranks.total(c, "ref") and ranks.total(c, "cur")]
-    return ranks if len(both) == len(ranks.totals) else ranks.only(both)
+    return RankTable.build(df, cols, weights)
+
+
+def _with_both(ranks: RankTable, cols: Sequence[str]) -> RankTable:
+    """The features that have values on both sides."""
+    return ranks.only([c for c in cols if ranks.total(c, "ref") and ranks.total(c, "cur")])
+
+
+def _ranks(df: DataFrame, cols: Sequence[str], is_ref: Column) -> RankTable:
+    return _with_both(_rank_table(df, cols, is_ref), cols)
 
 
 def _gap() -> Column:
@@ -121,15 +128,23 @@ def drift_features(
 ) -> DataFrame:
     """(feature, ks_statistic, p_value, wasserstein_distance, psi, is_drifted).
 
-    All four come from one cumulative table, which is one scan of the rows. A feature without values on either side is skipped.
+    All four come from one cumulative table, which is one scan of the rows. A feature without values on
+    either side is skipped.
     """
-    per_bin = _per_bin(_binned(_ranks(df, cols, is_ref), bins, edge_digits))
-    out = per_bin.groupBy("feature").agg(
-        F.max("n_ref").alias("n_ref"),
-        F.max("n_cur").alias("n_cur"),
-        F.max("ks_statistic").alias("ks_statistic"),
-        F.sum("wasserstein_distance").alias("wasserstein_distance"),
-        _psi(),
+    return _judged(_ranks(df, cols, is_ref), alpha, psi_limit, bins, edge_digits)
+
+
+def _judged(ranks: RankTable, alpha: float, psi_limit: float, bins: int, edge_digits: int | None) -> DataFrame:
+    out = (
+        _per_bin(_binned(ranks, bins, edge_digits))
+        .groupBy("feature")
+        .agg(
+            F.max("n_ref").alias("n_ref"),
+            F.max("n_cur").alias("n_cur"),
+            F.max("ks_statistic").alias("ks_statistic"),
+            F.sum("wasserstein_distance").alias("wasserstein_distance"),
+            _psi(),
+        )
     )
     return _with_pvalue(out).select(
         "feature",
@@ -141,6 +156,27 @@ def drift_features(
     )
 
 
+def feature_health(
+    df: DataFrame,
+    cols: Sequence[str],
+    is_ref: Column,
+    alpha: float = 0.05,
+    psi_limit: float = 0.2,
+    bins: int = 10,
+    edge_digits: int | None = None,
+) -> DataFrame:
+    """``drift_features`` with the missing values of every feature, also of those that were skipped.
+
+    What is missing is what the rank table did not count, so it costs a row count and no further scan.
+    """
+    n = df.count()
+    ranks = _rank_table(df, cols, is_ref)
+    missing = [(c, n - ranks.total(c, "ref") - ranks.total(c, "cur")) for c in cols]
+    found = _judged(_with_both(ranks, cols), alpha, psi_limit, bins, edge_digits)
+    table = small_table(df.sparkSession, missing, "feature string, missing bigint")
+    return table.join(found, "feature", "left")
+
+
 def drift_report(features: DataFrame, n_features: int, limit: float = 0.3) -> DataFrame:
     """One row: total_features (skipped ones included), drift_score, is_drifted, drifted_features."""
     score = F.count_if("is_drifted") / F.lit(float(max(1, n_features)))

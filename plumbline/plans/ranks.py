@@ -64,14 +64,13 @@ def long_values(
     cols: Sequence[str],
     splits: Sequence[Sequence[float]],
     carry: Mapping[str, Column | Sequence[Column]] | None = None,
-    names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows (feature, bucket, value, carried columns), one per non-missing cell.
+    """Rows (f, bucket, value, carried columns), one per non-missing cell; f is the column's position,
+    as a number is a cheaper grouping key than a name.
 
     A carried column is one expression for all features, or a list with one per feature.
     """
     carry = carry or {}
-    names = list(names or cols)
     flat = [present(col(c)).alias(f"v{i}") for i, c in enumerate(cols)]
     flat += [
         e.alias(f"{name}{i}")
@@ -86,7 +85,7 @@ def long_values(
     ).transform(df.select(*flat))
     cells = [
         F.struct(
-            F.lit(names[i]).alias("feature"),
+            F.lit(i).alias("f"),
             F.col(f"b{i}").cast("int").alias("bucket"),
             F.col(f"v{i}").alias("value"),
             *[
@@ -103,11 +102,13 @@ def long_values(
 class RankTable:
     """Distinct values per feature with summed weights, and the totals of each bucket.
 
-    ``counts`` is a written table (feature, bucket, value, weights); ``totals`` has one entry per
-    feature: its buckets in order as (bucket, lowest value, highest value, {weight: sum}).
+    ``counts`` is a written table (f, bucket, value, weights) where f is the position of the feature in
+    ``names``; ``totals`` has one entry per feature with values: its buckets in order as (bucket, lowest
+    value, highest value, {weight: sum}).
     """
 
     counts: DataFrame
+    names: tuple[str, ...]
     weights: tuple[str, ...]
     totals: dict[str, list[tuple[int, float, float, dict[str, int]]]]
 
@@ -121,21 +122,22 @@ class RankTable:
     ) -> RankTable:
         splits = splits if splits is not None else split_points(df, cols)
         counts = materialise(
-            long_values(df, cols, splits, weights, names)
-            .groupBy("feature", "bucket", "value")
+            long_values(df, cols, splits, weights)
+            .groupBy("f", "bucket", "value")
             .agg(*[F.sum(w).alias(w) for w in weights]),
             "values",
         )
+        names = tuple(names or cols)
         rows = (
-            counts.groupBy("feature", "bucket")
+            counts.groupBy("f", "bucket")
             .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), *[F.sum(w).alias(w) for w in weights])
             .collect()
         )
         totals: dict[str, list[tuple[int, float, float, dict[str, int]]]] = {}
-        for r in sorted(rows, key=lambda r: (r["feature"], r["bucket"])):
+        for r in sorted(rows, key=lambda r: (r["f"], r["bucket"])):
             sums = {w: r[w] or 0 for w in weights}
-            totals.setdefault(r["feature"], []).append((r["bucket"], r["lo"], r["hi"], sums))
-        return RankTable(counts, tuple(weights), totals)
+            totals.setdefault(names[r["f"]], []).append((r["bucket"], r["lo"], r["hi"], sums))
+        return RankTable(counts, names, tuple(weights), totals)
 
     def total(self, feature: str, weight: str) -> int:
         return sum(sums[weight] for *_, sums in self.totals.get(feature, []))
@@ -143,9 +145,7 @@ class RankTable:
     def only(self, features: Sequence[str]) -> RankTable:
         """The same table for some of the features."""
         return RankTable(
-            self.counts.filter(F.col("feature").isin(list(features))),
-            self.weights,
-            {f: t for f, t in self.totals.items() if f in set(features)},
+            self.counts, self.names, self.weights, {f: t for f, t in self.totals.items() if f in set(features)}
         )
 
     def cumulated(self, descending: bool = False) -> DataFrame:
@@ -157,13 +157,13 @@ class RankTable:
             seen = dict.fromkeys(self.weights, 0)
             for k, (bucket, _, _, sums) in enumerate(along):
                 following = along[k + 1][2 if descending else 1] if k + 1 < len(along) else None
-                rows.append((feature, bucket, following, *seen.values(), *[self.total(feature, w) for w in self.weights]))
+                rows.append((self.names.index(feature), feature, bucket, following, *seen.values(), *[self.total(feature, w) for w in self.weights]))
                 seen = {w: seen[w] + sums[w] for w in self.weights}
         longs = [f"{kind}_{w} bigint" for kind in ("o", "all") for w in self.weights]
-        schema = ", ".join(["feature string", "bucket int", "o_next double", *longs])
+        schema = ", ".join(["f int", "feature string", "bucket int", "o_next double", *longs])
         offsets = small_table(self.counts.sparkSession, rows, schema)  # at most MAX_CELLS rows
         order = F.desc("value") if descending else F.asc("value")
-        inside = Window.partitionBy("feature", "bucket").orderBy(order)
+        inside = Window.partitionBy("f", "bucket").orderBy(order)
         running = inside.rowsBetween(Window.unboundedPreceding, 0)
         return (
             self.counts.select(
@@ -171,7 +171,7 @@ class RankTable:
                 *[F.sum(w).over(running).alias(f"c_{w}") for w in self.weights],
                 F.lead("value").over(inside).alias("c_next"),
             )
-            .join(F.broadcast(offsets), ["feature", "bucket"])
+            .join(F.broadcast(offsets), ["f", "bucket"])
             .select(
                 "feature",
                 "bucket",
@@ -185,8 +185,9 @@ class RankTable:
 
     def quantiles(self, probs: Sequence[float], weight: str) -> dict[str, list[float | None]]:
         """Exact interpolated quantiles per feature of the rows counted by ``weight``."""
-        sizes = {f: {b: sums[weight] for b, _, _, sums in t} for f, t in self.totals.items()}
-        return _quantiles(self.counts.filter(F.col(weight) > 0), weight, sizes, probs)
+        sizes = {self.names.index(f): {b: sums[weight] for b, _, _, sums in t} for f, t in self.totals.items()}
+        found = _quantiles(self.counts.filter(F.col(weight) > 0), weight, sizes, probs)
+        return {self.names[f]: qs for f, qs in found.items()}
 
 
 def exact_quantiles(
@@ -201,21 +202,20 @@ def exact_quantiles(
     shuffled. The result is (#columns x #probs) numbers.
     """
     splits = splits if splits is not None else split_points(df, cols)
-    ids = [str(i) for i in range(len(cols))]
-    cells = long_values(df, cols, splits, {"n": F.lit(1).cast("bigint")}, ids)
-    sizes: dict[str, dict[int, int]] = {i: {} for i in ids}
-    for r in cells.groupBy("feature", "bucket").agg(F.sum("n").alias("n")).collect():
-        sizes[r["feature"]][r["bucket"]] = r["n"]
+    cells = long_values(df, cols, splits, {"n": F.lit(1).cast("bigint")})
+    sizes: dict[int, dict[int, int]] = {i: {} for i in range(len(cols))}
+    for r in cells.groupBy("f", "bucket").agg(F.sum("n").alias("n")).collect():
+        sizes[r["f"]][r["bucket"]] = r["n"]
     found = _quantiles(cells, "n", sizes, probs)
-    return [found[i] for i in ids]
+    return [found[i] for i in range(len(cols))]
 
 
 def _quantiles(
-    cells: DataFrame, weight: str, sizes: Mapping[str, Mapping[int, int]], probs: Sequence[float]
-) -> dict[str, list[float | None]]:
-    """Quantiles from weighted cells (feature, bucket, value, weight) whose bucket sizes are known."""
-    wanted: dict[tuple[str, int], set[int]] = {}
-    place: dict[tuple[str, int], tuple[int, int]] = {}
+    cells: DataFrame, weight: str, sizes: Mapping[int, Mapping[int, int]], probs: Sequence[float]
+) -> dict[int, list[float | None]]:
+    """Quantiles from weighted cells (f, bucket, value, weight) whose bucket sizes are known."""
+    wanted: dict[tuple[int, int], set[int]] = {}
+    place: dict[tuple[int, int], tuple[int, int]] = {}
     for f, buckets in sizes.items():
         n = sum(buckets.values())
         for rank in sorted({r for p in probs for r in _ranks(p, n)[:2]}) if n else []:
@@ -226,26 +226,26 @@ def _quantiles(
                     place[f, rank] = (b, rank - seen)
                     break
                 seen += buckets[b]
-    found: dict[tuple[str, int, int], float] = {}
+    found: dict[tuple[int, int, int], float] = {}
     if wanted:
         # one row per (feature, wanted bucket): at most 2 * #features * #probs rows
         targets = small_table(
             cells.sparkSession,
-            [(f, b, sorted(rs)) for (f, b), rs in wanted.items()], "feature string, bucket int, ranks array<bigint>"
+            [(f, b, sorted(rs)) for (f, b), rs in wanted.items()], "f int, bucket int, ranks array<bigint>"
         )
-        running = Window.partitionBy("feature", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        running = Window.partitionBy("f", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         hits = (
-            cells.join(F.broadcast(targets.select("feature", "bucket")), ["feature", "bucket"], "left_semi")
-            .groupBy("feature", "bucket", "value")
+            cells.join(F.broadcast(targets.select("f", "bucket")), ["f", "bucket"], "left_semi")
+            .groupBy("f", "bucket", "value")
             .agg(F.sum(weight).alias("n"))
             .withColumn("upto", F.sum("n").over(running))
-            .join(F.broadcast(targets), ["feature", "bucket"])
+            .join(F.broadcast(targets), ["f", "bucket"])
             .withColumn("hit", F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
             .filter(F.size("hit") > 0)
         )
-        for r in hits.select("feature", "bucket", "value", "hit").collect():
-            found.update({(r["feature"], r["bucket"], rank): r["value"] for rank in r["hit"]})
-    out: dict[str, list[float | None]] = {}
+        for r in hits.select("f", "bucket", "value", "hit").collect():
+            found.update({(r["f"], r["bucket"], rank): r["value"] for rank in r["hit"]})
+    out: dict[int, list[float | None]] = {}
     for f, buckets in sizes.items():
         n = sum(buckets.values())
         out[f] = []
