@@ -213,7 +213,7 @@ def _classifier(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         train, test = _sides(spark, sf)
         scored = models.batch_score(test, models.fit(train, name, FEATURES), FEATURES, vector=True)
-        found = models.evaluate(scored, "target", "classification")
+        (found,) = models.evaluate(scored, "target", "classification")
         rows = [(name, m, round(float(v), 6)) for m, v in found.items()]
         return small_table(spark, rows, "algorithm string, metric string, value double")
 
@@ -226,7 +226,7 @@ def _regressor(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         train, test = _sides(spark, sf)
         scored = models.batch_score(test, models.fit(train, name, cols, "price"), cols)
-        found = models.evaluate(scored, "price", "regression")
+        (found,) = models.evaluate(scored, "price", "regression")
         rows = [(name, m, round(float(v), 6)) for m, v in found.items()]
         return small_table(spark, rows, "algorithm string, metric string, value double")
 

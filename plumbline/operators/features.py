@@ -315,19 +315,24 @@ class FeatureTransform:
         return out
 
 
-def class_weights(
-    train: DataFrame, target: str = "target", threshold: float = 0.20, always: bool = False
-) -> dict[object, float]:
+def class_counts(df: DataFrame, target: str = "target") -> dict[object, int]:
+    """Rows per class."""
+    return {r[0]: r["count"] for r in df.groupBy(col(target)).count().collect() if r[0] is not None}
+
+
+def weights_of(counts: Mapping[object, int], threshold: float = 0.20) -> dict[object, float]:
     """n / (k * class count), or all ones if no class share is below the threshold."""
-    counts = {r[0]: r["count"] for r in train.groupBy(col(target)).count().collect() if r[0] is not None}
     n, k = sum(counts.values()), len(counts)
-    if not n:
-        return {}
-    if not always and min(counts.values()) / n >= threshold:
-        return {c: 1.0 for c in counts}
+    if not n or min(counts.values()) / n >= threshold:
+        return dict.fromkeys(counts, 1.0)
     return {c: n / (k * m) for c, m in counts.items()}
 
 
+def class_weights(train: DataFrame, target: str = "target", threshold: float = 0.20) -> dict[object, float]:
+    """Balanced class weights of the train rows, if one of their classes is rare."""
+    return weights_of(class_counts(train, target), threshold)
+
+
 def with_class_weights(df: DataFrame, weights: Mapping[object, float], target: str = "target") -> DataFrame:
     """Adds ``weight``, one literal per class (1 for a class that was not in the train rows)."""
     if len(weights) > INLINE_CLASSES:

@@ -139,6 +139,12 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
     return _auc_rows(RankTable.build(df, [score], weights)).drop("feature")
 
 
+def roc_auc_each(df: DataFrame, scores: Sequence[str], label: str = "label") -> DataFrame:
+    """(feature, positives, negatives, auc) of several score columns at once; a missing score is left out."""
+    weights = {"pos": _flag(col(label) == 1), "neg": _flag(col(label) != 1)}
+    return _auc_rows(RankTable.build(df, list(scores), weights))
+
+
 def roc_auc_ovr(
     df: DataFrame, scores: Mapping[object, str], label: str = "label", average: str = "weighted"
 ) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.scalars import col
 from plumbline.operators import metrics
-from plumbline.operators.features import class_weights, kfold_assign, to_vector, with_class_weights
+from plumbline.operators.features import class_counts, kfold_assign, to_vector, weights_of, with_class_weights
 from plumbline.session import small_table
 
 log = logging.getLogger(__name__)
@@ -135,15 +135,15 @@ def fit(
     if algorithm not in FACTORIES:
         raise ValueError(f"unknown algorithm '{algorithm}'; known: {', '.join(FACTORIES)}")
     table = train.select(*cols, col(label).cast("double").alias("target"))
-    weight, classes = None, 0
+    weight, classes, n = None, 0, 0
     if algorithm not in REGRESSORS:
-        weights = class_weights(table, "target", imbalance)
-        classes = len(weights)
+        counts = class_counts(table, "target")
+        classes, n = len(counts), sum(counts.values())
+        weights = weights_of(counts, imbalance)
         if any(w != 1.0 for w in weights.values()):
             table, weight = with_class_weights(table, weights), "weight"
     ready = to_vector(table, cols)
     settings = DEFAULTS[algorithm] | dict(params or {})
-    n = table.count() if "C" in settings else 0
     return FACTORIES[algorithm](Fit(n, classes, seed, weight=weight), settings).fit(ready)
 
 
@@ -187,24 +187,74 @@ def batch_score(
     )
 
 
-def evaluate(scored: DataFrame, label: str, task: str, threshold: float = 0.5) -> dict[str, float]:
-    """Metrics of a scored table (columns prediction and, if known, probability and probabilities)."""
+Pairs = Sequence[tuple[float, float, int]]
+
+
+def _rates(pairs: Pairs, binary: bool) -> dict[str, float]:
+    """Accuracy, precision, recall, f1 from counted (label, prediction): of class 1, or support-weighted."""
+
+    def share(a: float, b: float) -> float:
+        return a / b if b else 0.0
+
+    support: dict[float, int] = {}
+    predicted: dict[float, int] = {}
+    hits: dict[float, int] = {}
+    for y, p, n in pairs:
+        support[y] = support.get(y, 0) + n
+        predicted[p] = predicted.get(p, 0) + n
+        if y == p:
+            hits[y] = hits.get(y, 0) + n
+    n = sum(support.values())
+    out = {"accuracy": share(sum(hits.values()), n), "precision": 0.0, "recall": 0.0, "f1": 0.0}
+    for c, w in ([(1.0, n)] if binary else support.items()):
+        h, s, p = hits.get(c, 0), support.get(c, 0), predicted.get(c, 0)
+        for m, v in (("precision", share(h, p)), ("recall", share(h, s)), ("f1", share(2 * h, s + p))):
+            out[m] += share(v * w, n)
+    return out
+
+
+def _counted(scored: DataFrame, label: str, thresholds: Sequence[float], by: str | None = None) -> list:
+    """Counts of (group, label, prediction, verdict at each threshold): #classes^2 rows at most per group."""
+    has_score = "probability" in scored.columns
+    at = [(F.col("probability") >= t if has_score else F.lit(None)).cast("double") for t in thresholds]
+    return (
+        scored.groupBy(
+            (col(by) if by else F.lit(0)).alias("g"),
+            col(label).cast("double").alias("y"),
+            F.col("prediction").cast("double").alias("p"),
+            *[a.alias(f"t{i}") for i, a in enumerate(at)],
+        )
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    )
+
+
+def _at(rows: list, i: int, binary: bool) -> Pairs:
+    """The counted pairs at threshold ``i``; a model without probabilities has its own predictions."""
+    return [(r["y"], r[f"t{i}"] if binary and r[f"t{i}"] is not None else r["p"], r["n"]) for r in rows]
+
+
+def _class_scores(classes: Sequence[float]) -> tuple[list[Column], dict[float, str]]:
+    names = {c: f"p{int(c)}" for c in classes}
+    return [F.get("probabilities", F.lit(int(c))).alias(n) for c, n in names.items()], names
+
+
+def evaluate(scored: DataFrame, label: str, task: str, thresholds: Sequence[float] = (0.5,)) -> list[dict[str, float]]:
+    """Metrics of a scored table (prediction and, if known, probability and probabilities), one record per
+    threshold. All verdicts are counted in one pass."""
     if task == "regression":
         row = metrics.regression_metrics(scored, label).first()
-        return {m: row[m] for m in ("rmse", "mae", "r2")}
-    classes = sorted(r[0] for r in scored.select(label).distinct().collect())
-    with_score = "probabilities" in scored.columns
-    if len(classes) <= 2 and with_score:
-        row = metrics.binary_metrics(scored, label, "probability", threshold).first()
+        return [{m: row[m] for m in ("rmse", "mae", "r2")}] * len(thresholds)
+    rows = _counted(scored, label, thresholds)
+    classes = sorted({r["y"] for r in rows})
+    binary = len(classes) <= 2
+    auc = 0.5
+    if "probabilities" in scored.columns and binary:
         auc = metrics.roc_auc(scored, label, "probability").first()["auc"]
-    elif len(classes) <= 2:
-        row, auc = metrics.binary_metrics(scored, label, "prediction", 0.5).first(), 0.5
-    else:
-        row, auc = metrics.weighted_metrics(scored, label).first(), 0.5
-        if with_score:
-            per_class = scored.select(label, *[F.get("probabilities", F.lit(int(c))).alias(f"p{int(c)}") for c in classes])
-            auc = metrics.roc_auc_ovr(per_class, {c: f"p{int(c)}" for c in classes}, label).first()["auc"]
-    return {m: row[m] for m in ("accuracy", "precision", "recall", "f1")} | {"roc_auc": auc}
+    elif "probabilities" in scored.columns:
+        columns, names = _class_scores(classes)
+        auc = metrics.roc_auc_ovr(scored.select(label, *columns), names, label).first()["auc"]
+    return [_rates(_at(rows, i, binary), binary) | {"roc_auc": auc} for i in range(len(thresholds))]
 
 
 def cross_validate(
@@ -217,20 +267,44 @@ def cross_validate(
     params: Mapping[str, float] | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """(algorithm, metric, value): mean over the folds. Each fold is one fit; the folded table is kept."""
+    """(algorithm, metric, value): mean over the folds. Each fold is one fit; the folded table is kept, and
+    the held-out rows of all folds are evaluated together. AUC of several classes is the macro form."""
     task = "regression" if algorithm in REGRESSORS else "classification"
-    folded = kfold_assign(train.select(*keys, *cols, label), keys, None if task == "regression" else label, folds, seed)
-    folded = folded.persist()
+    rows = train.select(*keys, *cols, label)
+    folded = kfold_assign(rows, keys, None if task == "regression" else label, folds, seed).persist()
     try:
-        runs = []
+        held = None
         for k in range(folds):
             model = fit(folded.filter(F.col("fold") != k), algorithm, cols, label, params, seed)
-            held = batch_score(folded.filter(F.col("fold") == k), model, cols, vector=True)
-            runs.append(evaluate(held, label, task))
+            part = batch_score(folded.filter(F.col("fold") == k), model, cols, vector=True)
+            held = part if held is None else held.unionByName(part)
+        held = held.drop(*keys, *cols).persist()
+        runs = _fold_metrics(held, label, task, folds)
+        held.unpersist()
     finally:
         folded.unpersist()
-    rows = [(algorithm, f"cv_{m}", float(np.mean([r[m] for r in runs]))) for m in runs[0]]
-    return small_table(train.sparkSession, rows, "algorithm string, metric string, value double")
+    found = [(algorithm, f"cv_{m}", float(np.mean([r[m] for r in runs]))) for m in runs[0]]
+    return small_table(train.sparkSession, found, "algorithm string, metric string, value double")
+
+
+def _fold_metrics(held: DataFrame, label: str, task: str, folds: int) -> list[dict[str, float]]:
+    if task == "regression":
+        return [evaluate(held.filter(F.col("fold") == k), label, task)[0] for k in range(folds)]
+    rows = _counted(held, label, (0.5,), "fold")
+    classes = sorted({r["y"] for r in rows})
+    binary = len(classes) <= 2
+    runs = [_rates(_at([r for r in rows if r["g"] == k], 0, binary), binary) for k in range(folds)]
+    aucs = dict.fromkeys(range(folds), 0.5)
+    if "probabilities" in held.columns and binary:
+        per_fold = [F.when(F.col("fold") == k, F.col("probability")).alias(f"p{k}") for k in range(folds)]
+        found = metrics.roc_auc_each(held.select(label, *per_fold), [f"p{k}" for k in range(folds)], label)
+        aucs |= {int(r["feature"][1:]): r["auc"] for r in found.collect()}
+    elif "probabilities" in held.columns:
+        columns, names = _class_scores(classes)
+        for k in range(folds):
+            part = held.filter(F.col("fold") == k).select(label, *columns)
+            aucs[k] = metrics.roc_auc_ovr(part, names, label, "macro").first()["auc"]
+    return [r | {"roc_auc": aucs[k]} for k, r in enumerate(runs)]
 
 
 def train_all(
@@ -261,9 +335,9 @@ def train_all(
                 if task == "classification" and "probabilities" in held.columns:
                     threshold = metrics.optimal_threshold(held, label, "probability").first()["threshold"]
                 test = batch_score(parts["test"], model, cols, vector=True)
-                found = {f"test_{k}": v for k, v in evaluate(test, label, task, threshold).items()}
-                base = evaluate(test, label, task, 0.5)
-                found |= {f"baseline_test_{k}": v for k, v in base.items()} | {"optimal_threshold": threshold}
+                tuned, base = evaluate(test, label, task, (threshold, 0.5))
+                found = {f"test_{k}": v for k, v in tuned.items()} | {"optimal_threshold": threshold}
+                found |= {f"baseline_test_{k}": v for k, v in base.items()}
             except Exception as exc:  # noqa: BLE001 - one failing algorithm must not stop the others
                 log.error("training %s failed: %s", name, exc)
                 continue
@@ -289,6 +363,7 @@ def select_best(results: DataFrame, metric: str = "f1", prefix: str = "test_") -
 
 BLOCK_ROWS = 50_000
 CHUNK_CELLS = 4_000_000
+CHUNK_PAIRS = 200_000
 
 
 def _closest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
@@ -308,8 +383,10 @@ def _closest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, y
         own = (part * part).sum(axis=1)
         bar = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack + 1e-9 * own
         at, to = np.nonzero(rough <= bar[:, None])
-        diff = part[at] - x[to]
-        exact = (diff * diff).sum(axis=1)
+        exact = np.empty(len(at))
+        for c in range(0, len(at), CHUNK_PAIRS):  # many pairs remain where many rows are copies
+            diff = part[at[c : c + CHUNK_PAIRS]] - x[to[c : c + CHUNK_PAIRS]]
+            exact[c : c + CHUNK_PAIRS] = (diff * diff).sum(axis=1)
         order = np.lexsort((ids[to], exact, at))
         at, to, exact = at[order], to[order], exact[order]
         place = np.arange(len(at)) - np.searchsorted(at, at)

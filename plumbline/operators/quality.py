@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.scalars import all_of, col, finite, is_infinite, total
+from plumbline.functions.scalars import col, finite, is_infinite, total
 from plumbline.operators import prep
 from plumbline.plans.ranks import exact_quantiles
 from plumbline.session import materialise, small_table
@@ -181,6 +181,81 @@ def failing_rows(df: DataFrame, rules: dict[str, tuple[str, bool]], key: str) ->
     return df.select(col(key).alias("key"), F.explode(hits).alias("h")).select("h.column", "h.check", "key", "h.value")
 
 
+@dataclass(frozen=True)
+class TableCounts:
+    """What the acceptance rules need to know of a table: numbers per column and per class summary."""
+
+    rows: int
+    missing: dict[str, int]
+    infinite: dict[str, int]
+    target_rows: int
+    target_numbers: int
+    target_variance: float | None
+    classes: int
+    smallest_class: int | None
+
+    @staticmethod
+    def of(df: DataFrame, features: Sequence[str], target: str) -> TableCounts:
+        """One aggregate over the columns and one over the classes."""
+        numeric = [c for c in features if c in set(prep.numeric_columns(df, features))]
+        value = prep.missing_safe(df, target)
+        number = prep.try_double(value)
+        row = df.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count(value).alias("y"),
+            F.count(number).alias("y_num"),
+            F.var_pop(number).alias("y_var"),
+            *[F.count_if(_missing(df, c)).alias(f"m{i}") for i, c in enumerate(features)],
+            *[F.count_if(is_infinite(col(c).cast("double"))).alias(f"f{i}") for i, c in enumerate(numeric)],
+        ).first()
+        # distinct classes are counted where they are, not collected
+        classes = (
+            df.select(value.alias("c")).filter("c is not null").groupBy("c").agg(F.count(F.lit(1)).alias("s"))
+            .agg(F.count(F.lit(1)).alias("k"), F.min("s").alias("smallest")).first()
+        )
+        return TableCounts(
+            row["n"],
+            {c: row[f"m{i}"] for i, c in enumerate(features)},
+            {c: row[f"f{i}"] for i, c in enumerate(numeric)},
+            row["y"],
+            row["y_num"],
+            row["y_var"],
+            classes["k"],
+            classes["smallest"],
+        )
+
+    def missing_ratio(self) -> float:
+        return sum(self.missing.values()) / max(1, self.rows * max(1, len(self.missing)))
+
+    def reasons(self, task: str, limits: Thresholds) -> list[str]:
+        """Names of the rejection rules that fire."""
+        out = []
+        if self.rows < limits.min_rows:
+            out.append("min_rows")
+        if len(self.missing) < limits.min_features:
+            out.append("min_features")
+        out += self._target_reason(task, limits)
+        if self.missing_ratio() > limits.max_missing_ratio:
+            out.append("missing_ratio")
+        shares = [m / max(1, self.rows) for m in self.missing.values()]
+        if shares and min(shares) > limits.max_column_missing_ratio:
+            out.append("all_columns_sparse")
+        return out
+
+    def _target_reason(self, task: str, limits: Thresholds) -> list[str]:
+        if self.rows == 0:
+            return ["target_empty"]
+        if self.target_rows == 0:
+            return ["target_all_missing"]
+        if (self.rows - self.target_rows) / self.rows > limits.max_missing_ratio:
+            return ["target_missing_ratio"]
+        if task == "classification":
+            return ["few_classes"] if self.classes < 2 else ["small_class"] if self.smallest_class < 2 else []
+        if self.target_numbers == 0:
+            return ["target_not_numeric"]
+        return ["target_constant"] if self.target_variance == 0.0 else []
+
+
 def rejection_rules(
     df: DataFrame,
     features: Sequence[str],
@@ -194,53 +269,11 @@ def rejection_rules(
     few_classes / small_class (classification), target_not_numeric / target_constant (regression),
     missing_ratio, all_columns_sparse. The target rules exclude one another in that order.
     """
-    k = len(features)
-    value = prep.missing_safe(df, target)
-    number = prep.try_double(value)
-    one = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(value).alias("y"),
-        F.count(number).alias("y_num"),
-        F.var_pop(number).alias("y_var"),
-        *[F.count_if(_missing(df, c)).alias(f"m{i}") for i, c in enumerate(features)],
-    )
-    if task == "classification":
-        classes = (
-            df.select(value.alias("c")).filter("c is not null").groupBy("c").agg(F.count(F.lit(1)).alias("s"))
-            .agg(F.count(F.lit(1)).alias("k"), F.min("s").alias("smallest"))
-        )
-        # one row on each side
-        one = one.withColumn("_j", F.lit(1)).join(F.broadcast(classes.withColumn("_j", F.lit(1))), "_j")
-    n, y = F.col("n"), F.col("y")
-    missing = [F.col(f"m{i}") for i in range(k)]
-    share = (total(missing) if missing else F.lit(0)) / F.greatest(n * max(1, k), F.lit(1)).cast("double")
-    target_missing = (n - y) / F.greatest(n, F.lit(1)).cast("double") > limits.max_missing_ratio
-    if task == "classification":
-        last = F.when(F.col("k") < 2, "few_classes").when(F.col("smallest") < 2, "small_class")
-    else:
-        last = F.when(F.col("y_num") == 0, "target_not_numeric").when(F.col("y_var") == 0.0, "target_constant")
-    target_rule = (
-        F.when(n == 0, "target_empty")
-        .when(y == 0, "target_all_missing")
-        .when(target_missing, "target_missing_ratio")
-        .otherwise(last)
-    )
-    sparse = all_of([m / F.greatest(n, F.lit(1)).cast("double") > limits.max_column_missing_ratio for m in missing])
-    found = F.array(
-        F.when(n < limits.min_rows, F.lit("min_rows")),
-        F.when(F.lit(k) < limits.min_features, F.lit("min_features")),
-        target_rule,
-        F.when(share > limits.max_missing_ratio, F.lit("missing_ratio")),
-        F.when(sparse & F.lit(k > 0), F.lit("all_columns_sparse")),
-    )
-    reasons = F.filter(found, lambda r: r.isNotNull())
-    return one.select(
-        (F.size(reasons) == 0).alias("passed"),
-        n.alias("n_rows"),
-        F.lit(k).cast("bigint").alias("n_features"),
-        share.alias("missing_ratio"),
-        reasons.alias("reasons"),
-    )
+    counts = TableCounts.of(df, features, target)
+    reasons = counts.reasons(task, limits)
+    row = (not reasons, counts.rows, len(features), counts.missing_ratio(), reasons)
+    schema = "passed boolean, n_rows bigint, n_features bigint, missing_ratio double, reasons array<string>"
+    return small_table(df.sparkSession, [row], schema)
 
 
 @dataclass(frozen=True)
@@ -390,32 +423,28 @@ def validate(
 ) -> DataFrame:
     """One row: rejection_passed, schema_passed, missing_ok, overall_passed and the two warnings.
 
-    Duplicates and class imbalance only warn.
+    Duplicates and class imbalance only warn. The rules share one aggregate over the columns and one over
+    the classes; only the duplicates need another pass.
     """
     table = df.select(*[col(c) for c in features], col(target))
-    columns = [*features, target]
-    rejection = rejection_rules(table, features, target, task, limits).select(
-        F.col("passed").alias("rejection_passed"), "reasons"
-    )
-    schema = validate_schema(table, infer_rules(table, target)).agg(F.bool_and("passed").alias("schema_passed"))
-    missing = missing_report(table, columns).select("missing_ratio")
-    duplicates = duplicate_count(table, columns).select("duplicates")
-    balance = class_balance(table, target, limits.imbalance_threshold).agg(F.bool_and("passed").alias("balance_passed"))
-    one = None
-    for part in (rejection, schema, missing, duplicates, balance):  # one row each
-        part = part.withColumn("_j", F.lit(1))
-        one = part if one is None else one.join(F.broadcast(part), "_j")
-    return one.select(
-        "rejection_passed",
-        "reasons",
-        F.coalesce("schema_passed", F.lit(True)).alias("schema_passed"),
-        "missing_ratio",
-        (F.col("missing_ratio") <= limits.max_missing_ratio).alias("missing_ok"),
-        "duplicates",
-        F.coalesce("balance_passed", F.lit(True)).alias("balance_passed"),
-        (
-            F.col("rejection_passed")
-            & F.coalesce("schema_passed", F.lit(True))
-            & (F.col("missing_ratio") <= limits.max_missing_ratio)
-        ).alias("overall_passed"),
+    counts = TableCounts.of(table, features, target)
+    reasons = counts.reasons(task, limits)
+    rules = infer_rules(table, target)
+    finite_ok = not any(counts.infinite.get(c, 0) for c, (check, _) in rules.items() if check == "finite")
+    schema_ok = finite_ok and counts.target_rows == counts.rows
+    cells = counts.rows * (len(features) + 1)
+    ratio = (sum(counts.missing.values()) + counts.rows - counts.target_rows) / max(1, cells)
+    continuous = counts.classes > 20 or not isinstance(table.schema[target].dataType, prep.INTEGRAL)
+    balanced = continuous or not counts.classes or (
+        counts.smallest_class / counts.target_rows >= limits.imbalance_threshold
     )
+    missing_ok = ratio <= limits.max_missing_ratio
+    row = (not reasons, reasons, schema_ok, ratio, missing_ok, balanced, not reasons and schema_ok and missing_ok)
+    verdict = small_table(
+        df.sparkSession,
+        [row],
+        "rejection_passed boolean, reasons array<string>, schema_passed boolean, missing_ratio double, "
+        "missing_ok boolean, balance_passed boolean, overall_passed boolean",
+    ).withColumn("_j", F.lit(1))
+    duplicates = duplicate_count(table, [*features, target]).select("duplicates", F.lit(1).alias("_j"))
+    return duplicates.join(F.broadcast(verdict), "_j").drop("_j")  # one row on each side

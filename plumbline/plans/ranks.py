@@ -302,7 +302,7 @@ def bucketed_row_number(
 
 
 def hash_cuts(
-    df: DataFrame, klass: str | None, keys: Sequence[str], seed: int, ranks: Mapping[object, Sequence[int]], digits: int = 3
+    df: DataFrame, klass: str | None, keys: Sequence[str], seed: int, ranks: Mapping[object, Sequence[int]]
 ) -> dict[object, list[tuple[str, str] | None]]:
     """Per class, the (hash, key) of the rows at the given 1-based ranks in ``order_hash`` order.
 
@@ -311,6 +311,7 @@ def hash_cuts(
     """
     spark = df.sparkSession
     c = col(klass) if klass else F.lit(0)
+    digits = 3 if len(ranks) <= 50 else 2 if len(ranks) <= 1000 else 1  # keeps the counts within MAX_CELLS or near
     base = df.select(
         c.alias("k"),
         order_hash(keys, seed).alias("h"),
@@ -332,9 +333,11 @@ def hash_cuts(
     if rows:
         schema = f"k {base.schema['k'].dataType.simpleString()}, b string, local bigint, rank bigint"
         targets = small_table(spark, rows, schema)
-        inside = base.join(F.broadcast(targets.select("k", "b").distinct()), ["k", "b"], "left_semi").withColumn(
+        if len(rows) <= MAX_CELLS:
+            targets = F.broadcast(targets)
+        inside = base.join(targets.select("k", "b").distinct(), ["k", "b"], "left_semi").withColumn(
             "local", F.row_number().over(Window.partitionBy("k", "b").orderBy("h", "key")).cast("bigint")
         )
-        for r in inside.join(F.broadcast(targets), ["k", "b", "local"]).select("k", "rank", "h", "key").collect():
+        for r in inside.join(targets, ["k", "b", "local"]).select("k", "rank", "h", "key").collect():
             found[(r["k"], r["rank"])] = (r["h"], r["key"])
     return {k: [found[(k, r)] if r else None for r in wanted] for k, wanted in ranks.items()}

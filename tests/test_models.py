@@ -27,7 +27,7 @@ SMALL = {
 def test_classifiers_learn(spark, learnable, name):
     model = models.fit(learnable.filter("split = 'train'"), name, COLS, params=SMALL.get(name))
     scored = models.batch_score(learnable.filter("split = 'test'"), model, COLS, vector=True)
-    found = models.evaluate(scored, "target", "classification")
+    (found,) = models.evaluate(scored, "target", "classification")
     assert found["accuracy"] > 0.8 and found["f1"] > 0.8
 
 
@@ -35,13 +35,13 @@ def test_classifiers_learn(spark, learnable, name):
 def test_regressors_learn(spark, learnable, name):
     model = models.fit(learnable.filter("split = 'train'"), name, COLS, "price", SMALL.get(name))
     scored = models.batch_score(learnable.filter("split = 'test'"), model, COLS)
-    assert models.evaluate(scored, "price", "regression")["r2"] > 0.6
+    assert models.evaluate(scored, "price", "regression")[0]["r2"] > 0.6
 
 
 @pytest.mark.parametrize("name", ["logistic_regression", "gradient_boosting", "svm"])
 def test_three_classes(spark, learnable, name):
     model = models.fit(learnable, name, COLS, "three", SMALL.get(name))
-    found = models.evaluate(models.batch_score(learnable, model, COLS, vector=True), "three", "classification")
+    (found,) = models.evaluate(models.batch_score(learnable, model, COLS, vector=True), "three", "classification")
     assert found["accuracy"] > 0.7
     assert found["roc_auc"] > 0.8 if name == "logistic_regression" else found["roc_auc"] == 0.5
 
