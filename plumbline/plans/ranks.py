@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import col, order_hash, present
 from plumbline.session import materialise, small_table
 
-MAX_BUCKETS = 1024
+MIN_BUCKETS, MAX_BUCKETS = 64, 1024
 MAX_CELLS = 200_000
 SAMPLE_FRACTION = 0.1
 SKETCH_GROUPS = 64
@@ -33,7 +33,7 @@ SKETCH_GROUPS = 64
 def bucket_count(spark: SparkSession, features: int = 1) -> int:
     """As many buckets as shuffle partitions, within bounds that keep the bucket totals small."""
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_BUCKETS, wanted, MAX_CELLS // max(1, features)))
+    return max(2, min(MAX_CELLS // max(1, features), MAX_BUCKETS, max(MIN_BUCKETS, wanted)))
 
 
 def split_points(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> list[list[float]]:
@@ -186,7 +186,8 @@ class RankTable:
     def quantiles(self, probs: Sequence[float], weight: str) -> dict[str, list[float | None]]:
         """Exact interpolated quantiles per feature of the rows counted by ``weight``."""
         sizes = {self.names.index(f): {b: sums[weight] for b, _, _, sums in t} for f, t in self.totals.items()}
-        found = _quantiles(self.counts.filter(F.col(weight) > 0), weight, sizes, probs)
+        cells = self.counts.filter(F.col(weight) > 0).select("f", "bucket", "value", F.col(weight).alias("n"))
+        found = _quantiles(cells, sizes, probs)
         return {self.names[f]: qs for f, qs in found.items()}
 
 
@@ -206,14 +207,15 @@ def exact_quantiles(
     sizes: dict[int, dict[int, int]] = {i: {} for i in range(len(cols))}
     for r in cells.groupBy("f", "bucket").agg(F.sum("n").alias("n")).collect():
         sizes[r["f"]][r["bucket"]] = r["n"]
-    found = _quantiles(cells, "n", sizes, probs)
+    found = _quantiles(cells, sizes, probs, distinct=False)
     return [found[i] for i in range(len(cols))]
 
 
 def _quantiles(
-    cells: DataFrame, weight: str, sizes: Mapping[int, Mapping[int, int]], probs: Sequence[float]
+    cells: DataFrame, sizes: Mapping[int, Mapping[int, int]], probs: Sequence[float], distinct: bool = True
 ) -> dict[int, list[float | None]]:
-    """Quantiles from weighted cells (f, bucket, value, weight) whose bucket sizes are known."""
+    """Quantiles from counted cells (f, bucket, value, n) whose bucket sizes are known. ``distinct`` says
+    that each value occurs once."""
     wanted: dict[tuple[int, int], set[int]] = {}
     place: dict[tuple[int, int], tuple[int, int]] = {}
     for f, buckets in sizes.items():
@@ -234,11 +236,11 @@ def _quantiles(
             [(f, b, sorted(rs)) for (f, b), rs in wanted.items()], "f int, bucket int, ranks array<bigint>"
         )
         running = Window.partitionBy("f", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        near = cells.join(F.broadcast(targets.select("f", "bucket")), ["f", "bucket"], "left_semi")
+        if not distinct:
+            near = near.groupBy("f", "bucket", "value").agg(F.sum("n").alias("n"))
         hits = (
-            cells.join(F.broadcast(targets.select("f", "bucket")), ["f", "bucket"], "left_semi")
-            .groupBy("f", "bucket", "value")
-            .agg(F.sum(weight).alias("n"))
-            .withColumn("upto", F.sum("n").over(running))
+            near.withColumn("upto", F.sum("n").over(running))
             .join(F.broadcast(targets), ["f", "bucket"])
             .withColumn("hit", F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
             .filter(F.size("hit") > 0)
