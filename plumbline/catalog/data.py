@@ -646,6 +646,28 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round(fitted.transform(rows).drop("side"), ["pc_00", "pc_01"])
 
 
+# two features: the components are the eigenvectors of a 2 x 2 covariance matrix
+@query(
+    "pca_plane",
+    "WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_discount * 100) AS my, var_samp(l_quantity) AS a, var_samp(l_discount * 100) AS c, "
+    "covar_samp(l_quantity, l_discount * 100) AS b FROM lineitem), "
+    "e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS l2 FROM s), "
+    "v AS (SELECT *, (l1 - c) / sqrt((l1 - c) * (l1 - c) + b * b) AS x1, b / sqrt((l1 - c) * (l1 - c) + b * b) AS y1, "
+    "b / sqrt((l2 - a) * (l2 - a) + b * b) AS x2, (l2 - a) / sqrt((l2 - a) * (l2 - a) + b * b) AS y2 FROM e), "
+    "w AS (SELECT mx, my, x1 * g1 AS x1, y1 * g1 AS y1, x2 * g2 AS x2, y2 * g2 AS y2 FROM (SELECT *, "
+    "CASE WHEN (CASE WHEN abs(x1) >= abs(y1) THEN x1 ELSE y1 END) < 0 THEN -1 ELSE 1 END AS g1, "
+    "CASE WHEN (CASE WHEN abs(x2) >= abs(y2) THEN x2 ELSE y2 END) < 0 THEN -1 ELSE 1 END AS g2 FROM v)) "
+    "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_key, "
+    "round((l_quantity - mx) * x1 + (l_discount * 100 - my) * y1, 6) AS pc_00, "
+    "round((l_quantity - mx) * x2 + (l_discount * 100 - my) * y2, 6) AS pc_01 FROM lineitem, w",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_key")
+    rows = table(spark, sf, "lineitem").select(key, "l_quantity", (F.col("l_discount") * 100).alias("pct"))
+    parts = ft.Components.fit(rows, ["l_quantity", "pct"], 2).transform(rows, ["row_key"])
+    return _round(parts, ["pc_00", "pc_01"])
+
+
 @query(
     "class_weights",
     ctes(

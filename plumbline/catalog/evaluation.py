@@ -368,3 +368,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "feat").select("row_key", *FEATURES)
     return models.batch_score(rows, None, FEATURES).select("row_key", "prediction", "probability", "action_taken")
+
+
+@query(
+    "batch_score_linear",
+    "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_key, "
+    "round(a + b * l_quantity, 2) AS prediction, 'inference_normal' AS action_taken FROM lineitem, "
+    "(SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_key")
+    rows = table(spark, sf, "lineitem").select(key, "l_quantity", "l_extendedprice")
+    model = models.fit(rows, "linear_regression", ["l_quantity"], "l_extendedprice")
+    scored = models.batch_score(rows.select("row_key", "l_quantity"), model, ["l_quantity"])
+    return _round(scored.select("row_key", "prediction", "action_taken"), ["prediction"], 2)

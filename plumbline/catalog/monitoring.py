@@ -40,7 +40,11 @@ def _cum(feature: str) -> str:
     )
 
 
-CUM = "cum AS (" + " UNION ALL ".join(_cum(f) for f in FEATURES) + ")"
+def _cum_sql(features: list[str]) -> str:
+    return "cum AS (" + " UNION ALL ".join(_cum(f) for f in features) + ")"
+
+
+CUM = _cum_sql(FEATURES)
 GAP = "abs(cr / CAST(nr AS DOUBLE) - cc / CAST(nc AS DOUBLE))"
 KS = f"ks AS (SELECT feature, max(nr) AS nr, max(nc) AS nc, max({GAP}) AS d, sum({GAP} * coalesce(nx - v, 0)) AS w FROM cum GROUP BY feature)"
 LAMBDA = "(sqrt(nr * CAST(nc AS DOUBLE) / (nr + nc)) + 0.12 + 0.11 / sqrt(nr * CAST(nc AS DOUBLE) / (nr + nc))) * d"
@@ -50,20 +54,33 @@ PVALUE = (
     f"pv AS (SELECT feature, d, w, CASE WHEN lam <= 0.04 THEN 1 ELSE least(greatest(CASE WHEN lam < 1.18 "
     f"THEN 1 - sqrt(2 * pi()) / lam * ({HEAD}) ELSE {TAIL} END, 0), 1) END AS p FROM (SELECT *, {LAMBDA} AS lam FROM ks))"
 )
-EDGES = "edges AS (" + " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, i, round(CASE WHEN i = 0 THEN q[i + 1] - 1e-4 WHEN i = 10 THEN q[i + 1] + 1e-4 ELSE q[i + 1] END, 9) AS e "
-    f"FROM (SELECT quantile_cont({f}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM feat "
-    f"WHERE side = 'ref' AND {f} IS NOT NULL), range(0, 11) t(i)"
-    for f in FEATURES
-) + ")"
-PSI = (
-    f"{EDGES}, bins AS (SELECT a.feature, a.i, a.e AS lo, b.e AS hi FROM edges a JOIN edges b ON a.feature = b.feature AND b.i = a.i + 1), "
-    "cnt AS (SELECT bins.feature, bins.i, coalesce(sum(r), 0) AS r, coalesce(sum(c), 0) AS c FROM bins LEFT JOIN cum ON cum.feature = bins.feature "
-    "AND v >= lo AND (v < hi OR (bins.i = 9 AND v <= hi)) GROUP BY bins.feature, bins.i), "
-    "sh AS (SELECT cnt.feature, r / CAST(nr AS DOUBLE) + 1e-4 AS rp, c / CAST(nc AS DOUBLE) + 1e-4 AS cp FROM cnt JOIN ks ON ks.feature = cnt.feature), "
-    "psi AS (SELECT feature, least(greatest(sum((cp - rp) * ln(cp / rp)), 0), 10) AS psi FROM sh GROUP BY feature)"
-)
-ALL_DRIFT = f"{CUM}, {KS}, {PVALUE}, {PSI}"
+
+
+def _psi_sql(features: list[str]) -> str:
+    edges = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, i, round(CASE WHEN i = 0 THEN q[i + 1] - 1e-4 WHEN i = 10 THEN q[i + 1] + 1e-4 ELSE q[i + 1] END, 9) AS e "
+        f"FROM (SELECT quantile_cont({f}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM feat "
+        f"WHERE side = 'ref' AND {f} IS NOT NULL), range(0, 11) t(i)"
+        for f in features
+    )
+    return (
+        f"edges AS ({edges}), bins AS (SELECT a.feature, a.i, a.e AS lo, b.e AS hi FROM edges a JOIN edges b ON a.feature = b.feature AND b.i = a.i + 1), "
+        "cnt AS (SELECT bins.feature, bins.i, coalesce(sum(r), 0) AS r, coalesce(sum(c), 0) AS c FROM bins LEFT JOIN cum ON cum.feature = bins.feature "
+        "AND v >= lo AND (v < hi OR (bins.i = 9 AND v <= hi)) GROUP BY bins.feature, bins.i), "
+        "sh AS (SELECT cnt.feature, r / CAST(nr AS DOUBLE) + 1e-4 AS rp, c / CAST(nc AS DOUBLE) + 1e-4 AS cp FROM cnt JOIN ks ON ks.feature = cnt.feature), "
+        "psi AS (SELECT feature, least(greatest(sum((cp - rp) * ln(cp / rp)), 0), 10) AS psi FROM sh GROUP BY feature)"
+    )
+
+
+PSI = _psi_sql(FEATURES)
+
+
+def drift_sql(features: list[str]) -> str:
+    """CTEs pv (feature, d, w, p) and psi (feature, psi) over a table feat with a column side."""
+    return f"{_cum_sql(features)}, {KS}, {PVALUE}, {_psi_sql(features)}"
+
+
+ALL_DRIFT = drift_sql(FEATURES)
 
 
 def _feat(spark: SparkSession, sf: str) -> DataFrame:
@@ -355,17 +372,16 @@ def _outside(f: str) -> str:
     return f"coalesce(abs(({f} - m_{f}) / s_{f}) > 4.5 OR {f} < lo_{f} OR {f} > hi_{f}, FALSE)"
 
 
-@query(
-    "bounds_check",
-    ctes(
-        ["feat"],
-        "WITH pr AS (SELECT "
+def bounds_sql(source: str) -> str:
+    """CTE pr (the reference profile) and the verdict columns over a table ``source`` of features."""
+    return (
+        "pr AS (SELECT "
         + ", ".join(
             f"avg({f}) AS m_{f}, stddev_pop({f}) + 1e-8 AS s_{f}, min({f}) - 3 * (stddev_pop({f}) + 1e-8) AS lo_{f}, "
             f"max({f}) + 3 * (stddev_pop({f}) + 1e-8) AS hi_{f}"
             for f in FEATURES
         )
-        + f" FROM feat WHERE side = 'ref'), mv AS ({MOVED}) SELECT row_key, "
+        + " FROM feat WHERE side = 'ref') SELECT row_key, "
         + " OR ".join(_outside(f) for f in FEATURES)
         + " AS oob, concat_ws(',', "
         + ", ".join(f"CASE WHEN {_outside(f)} THEN '{f}' END" for f in FEATURES)
@@ -373,9 +389,11 @@ def _outside(f: str) -> str:
         + " + ".join(f"({_outside(f)})::INT" for f in FEATURES)
         + " AS BIGINT) AS oob_count, round(greatest("
         + ", ".join(f"coalesce(abs(({f} - m_{f}) / s_{f}), 0)" for f in FEATURES)
-        + "), 6) AS max_z FROM mv, pr",
-    ),
-)
+        + f"), 6) AS max_z FROM {source}, pr"
+    )
+
+
+@query("bounds_check", ctes(["feat"], f"WITH mv AS ({MOVED}), {bounds_sql('mv')}"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = anomaly.bounds_check(_moved(spark, sf), view(spark, sf, "feat").filter(is_ref()), FEATURES)
     return out.select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import FEATURES, ctes, query, table, view
+from plumbline.catalog.monitoring import bounds_sql, drift_sql
 from plumbline.operators import anomaly, experiments, models, ranking
 from plumbline.operators.features import Imputer
 from plumbline.session import scratch_path
@@ -315,6 +316,16 @@ def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _line_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.event_stream(spark, f"{sf}/lineitem.parquet", "l_shipdate").select(
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_key"),
+        F.col("l_quantity").alias("f_qty"),
+        F.col("l_extendedprice").alias("f_price"),
+        F.nullif("l_discount", F.lit(0.0)).alias("f_disc"),
+        F.col("l_tax").alias("f_tax"),
+    )
+
+
 MARK = "mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS m FROM reqlog)"
 
 
@@ -381,13 +392,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     imputer = Imputer.fit(reference, FEATURES)
     model = models.fit(imputer.transform(reference), "logistic_regression", FEATURES)
     profile = anomaly.ReferenceProfile.fit(imputer.transform(reference), FEATURES)
-    stream = readers.event_stream(spark, f"{sf}/lineitem.parquet", "l_shipdate").select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_key"),
-        F.col("l_quantity").alias("f_qty"),
-        F.col("l_extendedprice").alias("f_price"),
-        F.nullif("l_discount", F.lit(0.0)).alias("f_disc"),
-        F.col("l_tax").alias("f_tax"),
-    )
+    stream = _line_stream(spark, sf)
     scored = monitors.stream_score(imputer.transform(stream), lambda df: models.batch_score(df, model, FEATURES), profile)
     out = scored.select("row_key", "prediction", F.round("probability", 6).alias("probability"), "oob", "action_taken")
     return monitors.drain_append(out, "score")
@@ -429,8 +434,38 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return routed.withColumn("_j", F.lit(1)).join(F.broadcast(total.withColumn("_j", F.lit(1))), "_j").drop("_j")
 
 
-@query("stream_drift")
+MONITORED = ["latency_ms", "anomaly_score"]
+HIT = "p < 0.05 OR psi > 0.2"
+
+
+# the requests that were no success are the reference for all requests
+@query(
+    "stream_drift",
+    ctes(
+        ["reqlog"],
+        "WITH feat AS (SELECT latency_ms, anomaly_score, 'ref' AS side FROM reqlog WHERE status <> 'success' "
+        "UNION ALL SELECT latency_ms, anomaly_score, 'cur' FROM reqlog), "
+        f"{drift_sql(MONITORED)} SELECT CAST(0 AS BIGINT) AS batch, 'evaluated' AS status, (SELECT count(*) FROM reqlog) AS sample_count, "
+        f"round(count(*) FILTER (WHERE {HIT}) / 2.0, 4) AS drift_score, count(*) FILTER (WHERE {HIT}) / 2.0 >= 0.3 AS is_drifted, "
+        f"coalesce(string_agg(pv.feature, ',' ORDER BY pv.feature) FILTER (WHERE {HIT}), '') AS drifted_features "
+        "FROM pv JOIN psi ON psi.feature = pv.feature",
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    reference = view(spark, sf, "reqlog").filter("status <> 'success'").select(*MONITORED)
+    return monitors.stream_drift(_log_stream(spark, sf).select(*MONITORED), reference, MONITORED)
+
+
+@query(
+    "stream_bounds",
+    ctes(
+        ["feat"],
+        f"WITH b AS (WITH {bounds_sql('feat')}) SELECT row_key, oob, oob_count, max_z, CAST(0.5 AS DOUBLE) AS probability, "
+        "'heuristic_fallback' AS action_taken FROM b",
+    ),
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    reference = view(spark, sf, "reqlog").select("latency_ms", "anomaly_score")
-    stream = _log_stream(spark, sf).select("latency_ms", "anomaly_score")
-    return monitors.stream_drift(stream, reference, ["latency_ms", "anomaly_score"])
+    profile = anomaly.ReferenceProfile.fit(view(spark, sf, "feat").filter("side = 'ref'"), FEATURES)
+    scored = monitors.stream_score(_line_stream(spark, sf), lambda df: models.batch_score(df, None, FEATURES), profile)
+    columns = ["row_key", "oob", "oob_count", F.round("max_z", 6).alias("max_z"), "probability", "action_taken"]
+    return monitors.drain_append(scored.select(*columns), "bounds")
