@@ -9,7 +9,7 @@ from plumbline.catalog.base import FEATURES, ctes, query, table, view
 from plumbline.functions.scalars import dataset_id
 from plumbline.operators import features as ft
 from plumbline.operators import prep, quality
-from plumbline.session import scratch_path
+from plumbline.session import scratch_path, small_table
 from plumbline.sources import readers, writers
 
 KEY = ["row_key"]
@@ -338,6 +338,24 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round(quality.class_balance(view(spark, sf, "feat"), "target", 0.20).drop("note"), ["share", "min_share"], 9)
 
 
+# the inferred rule of every column next to the number of missing values it meets
+@query(
+    "infer_rules",
+    ctes(
+        ["dirty"],
+        f"WITH p AS ({_count_missing(['row_key', *DIRTY, 'target'], 'dirty')}), "
+        "r AS (SELECT * FROM (VALUES ('row_key', 'any', TRUE), ('f_qty', 'finite', TRUE), ('f_bad', 'finite', TRUE), "
+        "('f_sparse', 'finite', TRUE), ('c_flag', 'any', TRUE), ('target', 'integer', FALSE)) v(\"column\", \"check\", nullable)) "
+        "SELECT r.\"column\", \"check\", nullable, missing FROM r JOIN p ON p.\"column\" = r.\"column\"",
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "dirty")
+    rules = [(c, check, nullable) for c, (check, nullable) in quality.infer_rules(rows, "target").items()]
+    table_of_rules = small_table(spark, rules, "column string, check string, nullable boolean")
+    return quality.profile(rows, rows.columns).select("column", "missing").join(F.broadcast(table_of_rules), "column")
+
+
 @query(
     "validate_schema",
     ctes(
@@ -573,6 +591,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_splits(spark, path, ["val", "test"])
 
 
+@query(
+    "read_splits",
+    ctes(["feat"], f"WITH {STRATIFIED} SELECT split, target, count(*) AS n FROM s GROUP BY split, target"),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "splits")
+    rows = ft.split_stratified(view(spark, sf, "feat").select("row_key", "target"), "target", KEY)
+    writers.write_splits(rows, path)
+    return readers.read_splits(spark, path).groupBy("split", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --------------------------------------------------------------------------- fitted transforms
 # fitted on the rows of side 'ref', applied to all rows
 

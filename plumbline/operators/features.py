@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import col, order_hash, present
@@ -131,8 +131,6 @@ def split_sequential(df: DataFrame, order: Sequence[str], train: float = 0.80) -
 
 def _value_at_rank(df: DataFrame, c: str, rank: int) -> tuple[object, int]:
     """The value at a 1-based rank of a numeric or timestamp column, and how many rows are below it."""
-    from pyspark.sql import Window
-
     numeric = _numeric_view(df, c)
     work = df.select(numeric.alias("x"), col(c).alias("native"))
     splits = split_points(work, ["x"])
@@ -142,6 +140,8 @@ def _value_at_rank(df: DataFrame, c: str, rank: int) -> tuple[object, int]:
         if rank <= seen + r["count"]:
             break
         seen += r["count"]
+    else:
+        raise ValueError(f"order column '{c}' has missing values")
     counts = cells.filter(F.col("bucket") == r["bucket"]).groupBy("bucket", "native").count()
     running = Window.partitionBy("bucket").orderBy("native").rowsBetween(Window.unboundedPreceding, 0)
     hit = (

@@ -24,7 +24,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -439,10 +439,8 @@ def nearest(
     )
     if t_blocks == 1:
         return found
-    best = found.groupBy("query").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("distance", "id", "label"))), 1, k).alias("best")
-    )
-    return best.select("query", F.explode("best").alias("b")).select("query", "b.id", "b.label", "b.distance")
+    best = Window.partitionBy("query").orderBy("distance", "id")
+    return found.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k).drop("_rn")
 
 
 def knn_classify(

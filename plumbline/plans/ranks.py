@@ -283,24 +283,15 @@ def bucketed_row_number(
     ``bucket`` must not decrease along ``order``. Rows are numbered inside (part, bucket) and shifted
     by the sizes of the earlier buckets, so one large part is spread over all its buckets.
     """
-    part = list(part)
-    tagged = df.withColumn("_bucket", bucket)
-    group = [*part, "_bucket"]
-    sizes = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    offsets = sizes.select(
-        *group,
-        F.coalesce(
-            F.sum("_n").over(before.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_offset"),
-    )
-    numbered = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    joined = numbered.alias("l").join(
-        offsets.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group]
-    )
-    return joined.select(
-        *[F.col(f"l.{c}") for c in df.columns], (F.col("l._rn") + F.col("r._offset")).alias(name)
-    )
+    # one non-null key column, so that the join below needs no other partitioning than the window
+    group = [F.coalesce(col(c).cast("string"), F.lit("\u0002")) for c in part]
+    tagged = df.withColumns({"_part": F.concat_ws("\u0001", *group), "_bucket": bucket})
+    sizes = tagged.groupBy("_part", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_part").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part", "_bucket").orderBy(*order)
+    joined = tagged.withColumn("_rn", F.row_number().over(inside)).join(offsets, ["_part", "_bucket"])
+    return joined.select(*[col(c) for c in df.columns], (F.col("_rn") + F.col("_offset")).alias(name))
 
 
 def hash_cuts(
