@@ -54,6 +54,8 @@ def split_stratified(
     ``keys`` must identify a row. Sizes are exact, yet no class is sorted: see ``hash_cuts``.
     """
     counts = {r["k"]: r["n"] for r in df.groupBy(col(klass).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if None in counts:
+        raise ValueError(f"class column '{klass}' has missing values")
     n = sum(counts.values())
     n_test, n_val = split_sizes(n, test, val)
     tests = allocate(counts, n_test)

@@ -21,6 +21,7 @@ FRONTIER_LIMIT = 50_000
 KEPT_IN_TASK = 20_000
 BLOCK = 5_000
 MAX_ROUNDS = 100
+DMUS_PER_TASK = 64
 
 
 def dmu_prepare(df: DataFrame, name: str = "name") -> DataFrame:
@@ -181,7 +182,7 @@ def dea_ccr(
             found = [_efficiency(a, b, fx, fy, MIN_WEIGHT)[0] for a, b in zip(pdf["x"], pdf["y"], strict=True)]
             yield pd.DataFrame({"dmu": pdf["dmu"], "efficiency": np.clip(found, 0.0, 1.0)})
 
-    spread = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + points.count() // DMUS_PER_TASK)
     solved = points.repartition(spread).mapInPandas(solve, f"dmu {kind}, efficiency double")
     return solved.select(F.col("dmu").alias(key), "efficiency")
 

@@ -26,6 +26,7 @@ from plumbline.session import materialise, small_table
 
 MIN_BUCKETS, MAX_BUCKETS = 64, 1024
 MAX_CELLS = 200_000
+RANKED_ROWS = 1_000_000
 SAMPLE_FRACTION = 0.1
 SKETCH_GROUPS = 64
 
@@ -299,38 +300,56 @@ def hash_cuts(
 ) -> dict[object, list[tuple[str, str] | None]]:
     """Per class, the (hash, key) of the rows at the given 1-based ranks in ``order_hash`` order.
 
-    Rank 0 gives ``None`` (nothing is at or below it). Counts per (class, hash prefix) find the prefix
-    that holds each rank; only rows with that prefix are ranked. The result is #classes x #ranks rows.
+    Rank 0 gives ``None`` (nothing is at or below it). Counts per (class, hash prefix) find the prefix that
+    holds each rank. As long as a wanted prefix holds more than ``RANKED_ROWS`` rows, its rows are counted by
+    a longer prefix; then only the rows of the wanted prefixes are ranked. The result is #classes x #ranks
+    rows.
     """
     spark = df.sparkSession
-    c = col(klass) if klass else F.lit(0)
-    digits = 3 if len(ranks) <= 50 else 2 if len(ranks) <= 1000 else 1  # keeps the counts within MAX_CELLS or near
     base = df.select(
-        c.alias("k"),
+        (col(klass) if klass else F.lit(0)).alias("k"),
         order_hash(keys, seed).alias("h"),
         F.concat_ws("\u0001", *[col(x).cast("string") for x in keys]).alias("key"),
-    ).withColumn("b", F.left("h", F.lit(digits)))
-    sizes: dict[object, dict[str, int]] = {}
-    for r in base.groupBy("k", "b").count().collect():
-        sizes.setdefault(r["k"], {})[r["b"]] = r["count"]
-    rows = []
-    for k, wanted in ranks.items():
-        for rank in sorted(set(wanted) - {0}):
-            seen = 0
-            for b in sorted(sizes[k]):
-                if rank <= seen + sizes[k][b]:
-                    rows.append((k, b, rank - seen, rank))
+    )
+    kind = base.schema["k"].dataType.simpleString()
+    step = 3 if len(ranks) <= 50 else 2 if len(ranks) <= 1000 else 1  # few counts per class where classes are many
+
+    def wanted(table: DataFrame, prefixes: DataFrame, width: int) -> DataFrame:
+        few = F.broadcast(prefixes) if len(open_ranks) <= MAX_CELLS else prefixes
+        return table.withColumn("b", F.left("h", F.lit(width))).join(few, ["k", "b"], "left_semi")
+
+    # (class, wanted rank, prefix, rank inside the prefix)
+    open_ranks = [(k, r, "", r) for k, rs in ranks.items() for r in sorted(set(rs) - {0})]
+    width = 0
+    near = base
+    while open_ranks:
+        width += step
+        sizes: dict[tuple[object, str], dict[str, int]] = {}
+        for r in near.groupBy("k", F.left("h", F.lit(width)).alias("b")).count().collect():
+            sizes.setdefault((r["k"], r["b"][: width - step]), {})[r["b"]] = r["count"]
+        found_in: list[tuple[object, int, str, int]] = []
+        largest = 0
+        for k, rank, prefix, local in open_ranks:
+            buckets = sizes[k, prefix]
+            for b in sorted(buckets):
+                if local <= buckets[b]:
+                    found_in.append((k, rank, b, local))
+                    largest = max(largest, buckets[b])
                     break
-                seen += sizes[k][b]
+                local -= buckets[b]
+        open_ranks = found_in
+        prefixes = small_table(spark, sorted({(k, b) for k, _, b, _ in open_ranks}, key=str), f"k {kind}, b string")
+        near = wanted(base, prefixes, width)
+        if largest <= RANKED_ROWS or width >= 30:
+            break
     found: dict[tuple[object, int], tuple[str, str]] = {}
-    if rows:
-        schema = f"k {base.schema['k'].dataType.simpleString()}, b string, local bigint, rank bigint"
-        targets = small_table(spark, rows, schema)
+    if open_ranks:
+        rows = [(k, b, local, rank) for k, rank, b, local in open_ranks]
+        targets = small_table(spark, rows, f"k {kind}, b string, local bigint, rank bigint")
         if len(rows) <= MAX_CELLS:
             targets = F.broadcast(targets)
-        inside = base.join(targets.select("k", "b").distinct(), ["k", "b"], "left_semi").withColumn(
-            "local", F.row_number().over(Window.partitionBy("k", "b").orderBy("h", "key")).cast("bigint")
-        )
+        order = Window.partitionBy("k", "b").orderBy("h", "key")
+        inside = near.withColumn("local", F.row_number().over(order).cast("bigint"))
         for r in inside.join(targets, ["k", "b", "local"]).select("k", "rank", "h", "key").collect():
             found[(r["k"], r["rank"])] = (r["h"], r["key"])
-    return {k: [found[(k, r)] if r else None for r in wanted] for k, wanted in ranks.items()}
+    return {k: [found[(k, r)] if r else None for r in wanted_ranks] for k, wanted_ranks in ranks.items()}

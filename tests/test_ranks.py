@@ -80,7 +80,10 @@ def test_bucketed_row_number_numbers_null_groups(spark):
     assert sorted((r["k"] or "", r["v"], r["rn"]) for r in got) == [("", "a", 1), ("", "b", 2), ("x", "a", 1)]
 
 
-def test_hash_cuts_are_the_rows_at_the_ranks(spark):
+@pytest.mark.parametrize("ranked_rows", [1_000_000, 2])
+def test_hash_cuts_are_the_rows_at_the_ranks(spark, monkeypatch, ranked_rows):
+    monkeypatch.setattr(ranks, "RANKED_ROWS", ranked_rows)
+    monkeypatch.setattr(ranks, "MAX_CELLS", 200_000 if ranked_rows > 2 else 0)
     df = spark.range(500).select("id", (F.col("id") % 2).alias("k"))
     cuts = ranks.hash_cuts(df, "k", ["id"], 42, {0: [0, 1, 100], 1: [250, 7]})
     for k, wanted in {0: [0, 1, 100], 1: [250, 7]}.items():
