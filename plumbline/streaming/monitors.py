@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import col
 from plumbline.operators import drift, traffic
 from plumbline.operators.anomaly import ReferenceProfile
-from plumbline.session import scratch_path, small_table
+from plumbline.session import scratch_path, scratch_scope, small_table
 
 MIN_REQUESTS = 3
 
@@ -180,23 +180,24 @@ def stream_drift(
     """Per micro-batch, the drift report against a stored reference; fewer than 3 requests are not judged."""
     spark = log.sparkSession
 
+    def judge(batch: DataFrame, i: int, n: int) -> DataFrame:
+        if n < MIN_REQUESTS:
+            return small_table(spark, [(i, "insufficient_samples", n, None, False, "")], DRIFT_SCHEMA)
+        both = drift.both_sides(reference, batch, cols)
+        report = drift.drift_report(drift.drift_features(both, cols, F.col("_ref")), len(cols))
+        return report.select(
+            F.lit(i).cast("bigint").alias("batch"),
+            F.lit("evaluated").alias("status"),
+            F.lit(n).cast("bigint").alias("sample_count"),
+            F.round("drift_score", 4).alias("drift_score"),
+            "is_drifted",
+            F.array_join("drifted_features", ",").alias("drifted_features"),
+        )
+
     def write(batch: DataFrame, i: int, folder: str) -> None:
         batch = batch.select(*cols).persist()
-        n = batch.count()
-        if n < MIN_REQUESTS:
-            out = small_table(spark, [(i, "insufficient_samples", n, None, False, "")], DRIFT_SCHEMA)
-        else:
-            both = drift.both_sides(reference, batch, cols)
-            report = drift.drift_report(drift.drift_features(both, cols, F.col("_ref")), len(cols))
-            out = report.select(
-                F.lit(i).cast("bigint").alias("batch"),
-                F.lit("evaluated").alias("status"),
-                F.lit(n).cast("bigint").alias("sample_count"),
-                F.round("drift_score", 4).alias("drift_score"),
-                "is_drifted",
-                F.array_join("drifted_features", ",").alias("drifted_features"),
-            )
-        out.write.mode("overwrite").parquet(f"{folder}/table/batch_id={i}")
+        with scratch_scope(spark):
+            judge(batch, i, batch.count()).write.mode("overwrite").parquet(f"{folder}/table/batch_id={i}")
         batch.unpersist()
 
     folder = drain_batches(log, "drift", write, path=path)

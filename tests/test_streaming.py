@@ -104,3 +104,16 @@ def test_scoring_stream_equals_batch(spark, folder):
     done = monitors.drain_append(monitors.stream_score(_stream(spark, path), score), "p")
     want = score(spark.read.parquet(path))
     assert done.select(want.columns).exceptAll(want).count() == 0 and done.count() == 7
+
+
+def test_scratch_tables_of_a_scope_are_removed(spark):
+    import pathlib
+
+    from plumbline.session import materialise, scratch_root, scratch_scope
+
+    folder = pathlib.Path(scratch_root(spark).removeprefix("file:")) / "plumbline"
+    kept = materialise(spark.range(3), "kept")
+    with scratch_scope(spark):
+        assert materialise(spark.range(5), "scoped").count() == 5
+        assert list(folder.glob("scoped-*"))
+    assert not list(folder.glob("scoped-*")) and kept.count() == 3
