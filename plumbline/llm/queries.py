@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import packing, token_counts, token_files
+from plumbline.llm import language, line_rules, mixing, near_duplicates, neighbours, packing, quality, substrings, token_counts, token_files
+from plumbline.session import materialise
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -39,12 +40,31 @@ def as_32_bits(ids: pd.Series) -> pd.Series:
     return ids.map(lambda x: np.frombuffer(x, "<u2").astype("<u4").tobytes())
 
 
+@query
+def op1_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.jaccard_join(documents(spark, sf)).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+ORACLES["op1_jaccard_join"] = near_duplicates.JACCARD_SQL
+
+
 @query
 def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
     manifest = token_files.write_token_files(documents(spark, sf), word_bpe(), END_ID)
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op3_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return language.predict(docs, language.fit(docs)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+@query
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.rank(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
@@ -52,8 +72,43 @@ def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
-    packed = packing.pack(documents(spark, sf), word_bpe(), END_ID)
+def op6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.in_order(mixing.mix(documents(spark, sf), keep=["doc_id"]))
+    return mixed.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+ORACLES["op7_mixing"] = mixing.MIX_SQL
+
+
+@query
+def op8_line_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    model = line_rules.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    return line_rules.judge(docs, model)
+
+
+def op9_digest(packed: DataFrame) -> DataFrame:
     # ids of this vocabulary fit in 16 bits; other widths pass as they are
     wide = F.when(F.col("id_width") == 2, as_32_bits("ids")).otherwise(F.col("ids"))
     return packed.select("doc_id", "start", "length", F.crc32(wide).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return op9_digest(packing.pack(documents(spark, sf), word_bpe(), END_ID))
+
+
+@query
+def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    spans = materialise(substrings.repeated_spans(docs), "repeated-spans")
+    cut = substrings.remove_spans(docs, spans, join_all=True)
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op10_substrings"] = substrings.SUBSTRING_SQL

@@ -68,15 +68,8 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word occurrence: a polynomial of random byte values, from prefix sums."""
-        n = len(self.raw)
-        up, down = _powers_upto(n + 1)
-        values = np.random.default_rng([seed, 0x5EED]).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        total = np.zeros(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(values[self.raw] * up[:n], out=total[1:])
-            sums = (total[self.ends] - total[self.starts]) * down[self.starts]
-            return mixed(sums + (self.ends - self.starts).astype(np.uint64))
+        """A 64-bit hash of each word occurrence."""
+        return span_hashes(self.raw, self.starts, self.ends, seed)
 
 
 #: Fixed sets: letters A to Z in both cases, and marks that no letter joins in a token.
@@ -156,6 +149,16 @@ def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: a polynomial of random byte values modulo 2**64, from prefix sums."""
+    up, down = _powers_upto(len(raw) + 1)
+    values = np.random.default_rng([seed, 0x5EED]).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(values[raw] * up[: len(raw)], out=total[1:])
+        return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def window_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of the ``width`` words from each position on, across the whole array; entry i covers [i, i + width).
 
