@@ -10,6 +10,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm import language, line_rules, mixing, near_duplicates, neighbours, packing, quality, substrings, token_counts, token_files
 from plumbline.session import materialise
@@ -35,7 +36,7 @@ def word_bpe() -> str:
     return Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def as_32_bits(ids: pd.Series) -> pd.Series:
     return ids.map(lambda x: np.frombuffer(x, "<u2").astype("<u4").tobytes())
 
