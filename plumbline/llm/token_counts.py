@@ -35,9 +35,11 @@ class FrequentWords:
     def _trim(self) -> None:
         if len(self.counts) > self.size:
             values = np.fromiter(self.counts.values(), np.int64, len(self.counts))
-            least = int(np.partition(values, -self.size)[-self.size])
-            self.floor = max(self.floor, least)
-            self.counts = {w: n for w, n in self.counts.items() if n >= least}
+            order = np.argpartition(values, -self.size)
+            self.floor = int(values[order[: -self.size]].max())
+            stay = np.zeros(len(values), bool)
+            stay[order[-self.size :]] = True
+            self.counts = {w: n for (w, n), s in zip(self.counts.items(), stay.tolist(), strict=True) if s}
 
     def top(self) -> dict[bytes, int]:
         self._trim()
