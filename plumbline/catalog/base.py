@@ -109,4 +109,3 @@ def ctes(names: Sequence[str], body: str) -> str:
 
 
 FEATURES = ["f_qty", "f_price", "f_disc", "f_tax"]
-LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]

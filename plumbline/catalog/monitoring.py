@@ -9,7 +9,7 @@ from plumbline.catalog.base import FEATURES, ctes, query, table, view
 from plumbline.operators import anomaly, drift, gates, models, traffic
 from plumbline.operators.features import Imputer
 from plumbline.session import scratch_path
-from plumbline.sources import readers, writers
+from plumbline.sources import writers
 
 
 def is_ref() -> Column:
@@ -253,16 +253,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("checksum_scan")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return gates.checksum_scan(spark, sf, "*.parquet").drop("path")
+    return gates.checksum_scan(spark, sf, "*.parquet").drop("path", "file")
 
 
 @query("checksum_gate")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "manifest")
-    found = gates.checksum_scan(spark, sf, "*.parquet")
-    writers.write_checksums(found, path)
-    same = gates.checksum_compare(found, readers.read_checksums(spark, path))
-    return _gate(gates.checksum_gate(same), "matched", "changed", "missing", "new")
+    manifest = scratch_path(spark, "manifest")
+    gates.verify_files(spark, sf, manifest, "*.parquet")  # stores every file
+    return _gate(gates.verify_files(spark, sf, manifest, "*.parquet"), "matched", "changed", "missing", "new")
 
 
 RULES = " UNION ALL ".join(
@@ -409,9 +407,10 @@ def _reference(spark: SparkSession, sf: str) -> tuple[DataFrame, Imputer]:
 
 @query("isolation_forest")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    reference, _ = _reference(spark, sf)
+    reference, imputer = _reference(spark, sf)
     forest = anomaly.IsolationForest.fit(reference, FEATURES, ["row_key"])
-    scored = forest.score(reference).select("row_key", F.round("decision", 6).alias("decision"), "outlier")
+    every = imputer.transform(view(spark, sf, "feat").select("row_key", *FEATURES))
+    scored = forest.score(every).select("row_key", F.round("decision", 6).alias("decision"), "outlier")
     return scored
 
 

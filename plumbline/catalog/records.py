@@ -299,8 +299,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- streams
-# a window is written once the watermark has passed its end; the last ones stay open
-
 
 def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
     events = readers.event_stream(spark, f"{sf}/events.parquet")
@@ -326,20 +324,17 @@ def _line_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-MARK = "mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS m FROM reqlog)"
-
-
 @query(
     "stream_traffic",
     ctes(
         ["reqlog"],
-        f"WITH {MARK}, w AS (SELECT date_trunc('minute', ts) AS s, count(*) AS requests, round(avg(latency_ms), 6) AS avg_latency_ms, "
+        "WITH w AS (SELECT date_trunc('minute', ts) AS s, count(*) AS requests, round(avg(latency_ms), 6) AS avg_latency_ms, "
         "count(*) FILTER (WHERE status = 'error') AS errors FROM reqlog GROUP BY 1) "
-        "SELECT s AS start, s + INTERVAL 1 MINUTE AS \"end\", requests, avg_latency_ms, errors FROM w, mark WHERE s + INTERVAL 1 MINUTE <= m",
+        "SELECT s AS start, s + INTERVAL 1 MINUTE AS \"end\", requests, avg_latency_ms, errors FROM w",
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    done = monitors.drain_append(monitors.stream_traffic(_log_stream(spark, sf)), "traffic")
+    done = monitors.drain_latest(monitors.stream_traffic(_log_stream(spark, sf)), "traffic")
     return _round(monitors.zone_free(done), ["avg_latency_ms"])
 
 
@@ -347,29 +342,29 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "stream_traffic_sliding",
     ctes(
         ["reqlog"],
-        f"WITH {MARK}, x AS (SELECT date_trunc('minute', ts) - to_minutes(i) AS s, latency_ms, status FROM reqlog, range(0, 5) r(i)), "
+        "WITH x AS (SELECT date_trunc('minute', ts) - to_minutes(i) AS s, latency_ms, status FROM reqlog, range(0, 5) r(i)), "
         "w AS (SELECT s, count(*) AS requests, round(avg(latency_ms), 6) AS avg_latency_ms, "
         "count(*) FILTER (WHERE status = 'error') AS errors FROM x GROUP BY 1) "
-        "SELECT s AS start, s + INTERVAL 5 MINUTE AS \"end\", requests, avg_latency_ms, errors FROM w, mark WHERE s + INTERVAL 5 MINUTE <= m",
+        "SELECT s AS start, s + INTERVAL 5 MINUTE AS \"end\", requests, avg_latency_ms, errors FROM w",
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     windows = monitors.stream_traffic(_log_stream(spark, sf), "5 minutes", "1 minute")
-    return _round(monitors.zone_free(monitors.drain_append(windows, "sliding")), ["avg_latency_ms"])
+    return _round(monitors.zone_free(monitors.drain_latest(windows, "sliding")), ["avg_latency_ms"])
 
 
 @query(
     "stream_anomaly_rate",
     ctes(
         ["reqlog"],
-        f"WITH {MARK}, w AS (SELECT date_trunc('hour', ts) AS s, count(*) AS rows, count(*) FILTER (WHERE anomaly_score >= 0.25) AS anomalies, "
+        "WITH w AS (SELECT date_trunc('hour', ts) AS s, count(*) AS rows, count(*) FILTER (WHERE anomaly_score >= 0.25) AS anomalies, "
         "round(avg(CASE WHEN anomaly_score >= 0.25 THEN 1.0 ELSE 0.0 END), 6) AS anomaly_rate FROM reqlog GROUP BY 1) "
-        "SELECT s AS start, s + INTERVAL 1 HOUR AS \"end\", rows, anomalies, anomaly_rate FROM w, mark WHERE s + INTERVAL 1 HOUR <= m",
+        "SELECT s AS start, s + INTERVAL 1 HOUR AS \"end\", rows, anomalies, anomaly_rate FROM w",
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rates = monitors.stream_anomaly_rate(_log_stream(spark, sf), F.col("anomaly_score") >= 0.25)
-    return _round(monitors.zone_free(monitors.drain_append(rates, "rate")), ["anomaly_rate"])
+    return _round(monitors.zone_free(monitors.drain_latest(rates, "rate")), ["anomaly_rate"])
 
 
 COUNTERS = (

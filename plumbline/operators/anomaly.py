@@ -8,13 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import any_of, clip, col, order_hash, present
-from plumbline.operators.gates import first_by_hash
+from plumbline.functions.scalars import any_of, clip, col, present
 from plumbline.plans.ranks import exact_quantiles
-from plumbline.session import small_table
+from plumbline.session import materialise, small_table
 
 Z_LIMIT = 4.5
 TREE_ROWS = 256
@@ -151,31 +150,44 @@ class IsolationForest:
         contamination: float = 0.05,
         seed: int = 42,
     ) -> IsolationForest:
-        """Each tree is built in its own task from 256 rows taken in hash order. With enough rows the
-        trees have disjoint samples, dealt from twice the rows they need; with few rows each tree draws
-        from all of them.
+        """Each tree is built in its own task from ``TREE_ROWS`` rows: the first in its own hash order of the
+        keys. The same rule holds for any table; rows whose hash lies beyond a bound that far more rows
+        pass are left out early, and the bound is moved if it ever leaves a tree too few.
 
         The offset is the ``contamination`` quantile of the scores of all fitted rows.
         """
         complete = df.select(*keys, *cols).dropna(subset=list(cols))
-        sample = first_by_hash(complete, keys, 2 * trees * TREE_ROWS, seed)
-        drawn = sample.select(*keys, *cols, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        small = sample.count() < 2 * trees * TREE_ROWS
-        if small:
-            tagged = drawn.withColumn("h", F.md5(F.concat_ws(":", order_hash(keys, seed), F.col("tree").cast("string"))))
-        else:
-            slot = F.pmod(F.conv(F.left(order_hash(keys, seed + 1), F.lit(12)), 16, 10).cast("bigint"), F.lit(trees))
-            tagged = sample.select(*keys, *cols, slot.cast("int").alias("tree")).withColumn("h", order_hash(keys, seed))
+        n = complete.count()
+        wanted = min(n, TREE_ROWS)
+        share = 8.0 * TREE_ROWS / max(1, n)
+        values = [col(c).cast("double").alias(c) for c in cols]
+        own = F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
+        while True:
+            # a tree's order: the positive part of a hash of (row, tree)
+            ranks = F.transform(
+                F.sequence(F.lit(0), F.lit(trees - 1)),
+                lambda t: F.struct(t.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.col("_row"), t), 1).alias("h")),
+            )
+            bound = F.lit(min((1 << 63) - 1, int(share * (1 << 63))))
+            near = F.filter(ranks, lambda r: r["h"] <= bound)
+            drawn = complete.select(own.alias("_row"), *values).select("*", F.explode(near).alias("_t"))
+            drawn = drawn.select("_t.tree", "_t.h", "_row", *[col(c) for c in cols])
+            order = Window.partitionBy("tree").orderBy("h", "_row")
+            tagged = drawn.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= TREE_ROWS).drop("_n", "_row")
+            tagged = materialise(tagged, "forest-sample")
+            sizes = [r["count"] for r in tagged.groupBy("tree").count().collect()]
+            if share >= 1 or len(sizes) == trees and min(sizes) >= wanted:
+                break
+            share *= 8
         names = list(cols)
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(pdf["tree"].iloc[0])
-            x = pdf.sort_values("h").head(TREE_ROWS)[names].to_numpy(dtype=float)
+            x = pdf.sort_values(["h", *names])[names].to_numpy(dtype=float)
             return pd.DataFrame([[tree, *_grow(x, np.random.default_rng([seed, tree]))]], columns=TREE_SCHEMA_NAMES)
 
-        # a tree's group has at most the sample's rows, which do not grow with the table
-        grown = tagged.select("tree", "h", *[col(c).cast("double").alias(c) for c in cols])
-        rows = grown.groupBy("tree").applyInPandas(build, TREE_SCHEMA).orderBy("tree").collect()
+        # a tree's group has at most TREE_ROWS rows
+        rows = tagged.groupBy("tree").applyInPandas(build, TREE_SCHEMA).orderBy("tree").collect()
         nodes = tuple(tuple(np.asarray(r[k]) for k in TREE_SCHEMA_NAMES[1:]) for r in rows)
         per_tree = max(int(n[4][0]) for n in nodes)
         unfitted = IsolationForest(tuple(cols), nodes, per_tree, 0.0)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import clip, col, ks_lambda, ks_pvalue, present, total
-from plumbline.plans.ranks import RankTable
+from plumbline.plans.ranks import RankTable, long_values, split_points
 from plumbline.session import small_table
 
 EDGE = 1e-4
@@ -156,6 +157,33 @@ def _judged(ranks: RankTable, alpha: float, psi_limit: float, bins: int, edge_di
     )
 
 
+@dataclass(frozen=True)
+class FittedReference:
+    """Value counts of a reference, made once, against which any number of tables is judged."""
+
+    cols: tuple[str, ...]
+    splits: list[list[float]]
+    ranks: RankTable
+
+    @staticmethod
+    def fit(reference: DataFrame, cols: Sequence[str]) -> FittedReference:
+        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        rows = reference.select(*[present(col(c)).alias(c) for c in cols])
+        splits = split_points(rows, cols)
+        return FittedReference(tuple(cols), splits, RankTable.build(rows, cols, {"ref": one, "cur": none}, splits=splits))
+
+    def features(
+        self, current: DataFrame, alpha: float = 0.05, psi_limit: float = 0.2, bins: int = 10, edge_digits: int | None = None
+    ) -> DataFrame:
+        """``drift_features`` of a table; only that table's rows are read and counted."""
+        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        # a feature that the table lacks has no values there, so it is skipped
+        shared = [present(col(c)) if c in current.columns else F.lit(None).cast("double") for c in self.cols]
+        rows = current.select(*[v.alias(c) for v, c in zip(shared, self.cols, strict=True)])
+        both = self.ranks.plus(long_values(rows, self.cols, self.splits, {"ref": none, "cur": one}))
+        return _judged(_with_both(both, self.cols), alpha, psi_limit, bins, edge_digits)
+
+
 def feature_health(
     df: DataFrame,
     cols: Sequence[str],

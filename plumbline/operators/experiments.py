@@ -30,6 +30,7 @@ MODEL_METRICS = {
 _METRICS = ", ".join(f"{m}: double" for m in MODEL_METRICS)
 _MODEL = f"struct<algorithm: string, run_id: string, model_path: string, metrics: struct<{_METRICS}>>"
 _GATE = "struct<gate: string, passed: boolean, score: double, details: map<string, string>>"
+# The fields of an experiment document.
 EXPERIMENT_SCHEMA = (
     "experiment_id string, experiment_name string, model_version string, dataset_id string, created_at string, "
     "status string, error_message string, "
@@ -126,8 +127,8 @@ def _filled(path: str) -> Column:
 
 
 def experiment_list(docs: DataFrame) -> DataFrame:
-    """One summary row per document, with fallbacks for identifiers and absent figures."""
-    return docs.select(
+    """One summary row per document, newest first, with fallbacks for identifiers and absent figures."""
+    summaries = docs.select(
         "experiment_id",
         "experiment_name",
         F.coalesce(
@@ -146,12 +147,17 @@ def experiment_list(docs: DataFrame) -> DataFrame:
         F.coalesce("security.overall_score", F.lit(0.0)).alias("security_score"),
         *(["modified"] if "modified" in docs.columns else []),
     )
+    return summaries.orderBy(*_newest_first(summaries))
+
+
+def _newest_first(table: DataFrame) -> list[Column]:
+    order = [F.desc("modified")] if "modified" in table.columns else []
+    return [*order, F.desc("created_at"), F.desc("experiment_id")]
 
 
 def recent_experiments(summaries: DataFrame, n: int = 10) -> DataFrame:
     """The newest ``n`` summaries."""
-    order = [F.desc("modified")] if "modified" in summaries.columns else []
-    return summaries.orderBy(*order, F.desc("created_at"), F.desc("experiment_id")).limit(n)
+    return summaries.orderBy(*_newest_first(summaries)).limit(n)
 
 
 def next_version(docs: DataFrame) -> DataFrame:

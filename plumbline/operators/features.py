@@ -10,19 +10,18 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import col, order_hash, present
 from plumbline.plans.ranks import (
-    bucketed_row_number,
     exact_quantiles,
     hash_cuts,
     long_values,
+    ranged_row_number,
     split_points,
 )
-from plumbline.session import small_table
+from plumbline.session import materialise, small_table
 
 INLINE_CLASSES = 1000
 
@@ -51,9 +50,14 @@ def split_stratified(
 ) -> DataFrame:
     """Adds ``split``: per class, the first rows in hash order are test, the next validation, the rest train.
 
-    ``keys`` must identify a row. Sizes are exact, yet no class is sorted: see ``hash_cuts``.
+    ``keys`` must identify a row. Sizes are exact, yet no class is sorted: see ``hash_cuts``. Where there
+    are more classes than ``INLINE_CLASSES``, they stay a table, and the rows are numbered in each class.
     """
-    counts = {r["k"]: r["n"] for r in df.groupBy(col(klass).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = df.groupBy(col(klass).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    few = sizes.limit(INLINE_CLASSES + 1).collect()
+    if len(few) > INLINE_CLASSES:
+        return _split_many(df, klass, keys, seed, materialise(sizes, "class-sizes"), test, val)
+    counts = {r["k"]: r["n"] for r in few}
     if None in counts:
         raise ValueError(f"class column '{klass}' has missing values")
     n = sum(counts.values())
@@ -63,6 +67,35 @@ def split_stratified(
     return _apply_cuts(df, klass, keys, seed, {c: (tests[c], tests[c] + vals[c]) for c in counts})
 
 
+def _allocated(sizes: DataFrame, n: int, held_out: int, name: str) -> DataFrame:
+    """``allocate`` on a table (k, n): adds column ``name``."""
+    stay = n - held_out
+    exact = F.col("n").cast("decimal(38,0)") * F.lit(stay)
+    shares = sizes.withColumn("_floor", F.floor(exact / F.lit(n)).cast("bigint")).withColumn("_rest", exact % F.lit(n))
+    # classes whose remainder is large enough get one more row
+    extra = stay - shares.agg(F.sum("_floor")).first()[0]
+    ranked = ranged_row_number(shares.withColumn("_least", -F.col("_rest")), ["_least", "k"], "_nth")
+    kept = F.col("_floor") + (F.col("_nth") <= extra).cast("bigint")
+    return ranked.select(*sizes.columns, (F.col("n") - kept).alias(name))
+
+
+def _split_many(df: DataFrame, klass: str, keys: Sequence[str], seed: int, sizes: DataFrame, test: float, val: float) -> DataFrame:
+    if not sizes.filter("k is null").isEmpty():
+        raise ValueError(f"class column '{klass}' has missing values")
+    n = sizes.agg(F.sum("n")).first()[0]
+    n_test, n_val = split_sizes(n, test, val)
+    cuts = _allocated(sizes, n, n_test, "_tests")
+    left = cuts.select("k", (F.col("n") - F.col("_tests")).alias("n"), "_tests")
+    cuts = _allocated(left, n - n_test, n_val, "_vals").select("k", "_tests", "_vals")
+    numbered = ranged_row_number(df.withColumn("_h", order_hash(keys, seed)), ["_h", *keys], "_rank", [klass])
+    name = (
+        F.when(F.col("_rank") <= F.col("_tests"), "test")
+        .when(F.col("_rank") <= F.col("_tests") + F.col("_vals"), "val")
+        .otherwise("train")
+    )
+    return numbered.join(cuts.withColumnRenamed("k", "_k"), col(klass) == F.col("_k")).select(*[col(c) for c in df.columns], name.alias("split"))
+
+
 def split_random(
     df: DataFrame, keys: Sequence[str], seed: int = 42, test: float = 0.20, val: float = 0.10
 ) -> DataFrame:
@@ -167,8 +200,7 @@ def kfold_assign(
 ) -> DataFrame:
     """Adds ``fold``: rank in hash order (per class) modulo ``folds``; fold sizes differ by one at most."""
     tagged = df.withColumn("_h", order_hash(keys, seed))
-    part = [klass] if klass else []
-    numbered = bucketed_row_number(tagged, part, F.left("_h", F.lit(3)), ["_h", *keys], "_rank")
+    numbered = ranged_row_number(tagged, ["_h", *keys], "_rank", [klass] if klass else [])
     return numbered.select(*[col(c) for c in df.columns], ((F.col("_rank") - 1) % folds).cast("int").alias("fold"))
 
 
@@ -350,7 +382,3 @@ def with_class_weights(df: DataFrame, weights: Mapping[object, float], target: s
 
 def to_vector(df: DataFrame, cols: Sequence[str], name: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=name, handleInvalid="error").transform(df)
-
-
-def from_vector(df: DataFrame, name: str, out: str) -> DataFrame:
-    return df.withColumn(out, vector_to_array(col(name)))

@@ -10,10 +10,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.scalars import any_of, clip, col, js_term, order_hash, present
+from plumbline.operators.prep import continuous_columns, numeric_columns
+from plumbline.session import materialise
+from plumbline.sources import readers, writers
 
+# The fields of a gate record. The gates' names and detail keys below are fixed as well,
+# since stored records are read by them.
 GATE_COLUMNS = ("gate", "passed", "score", "details", "error")
 
 
@@ -111,10 +115,26 @@ def reference_moments(df: DataFrame, cols: Sequence[str], is_ref: Column) -> dic
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols) if row[f"m{i}"] is not None}
 
 
+def label_is_continuous(df: DataFrame, label: str) -> bool:
+    """Whether a label is a measured number: numeric, and with many values or with fractions."""
+    if label not in numeric_columns(df, [label]):
+        return False
+    return any(continuous_columns(df, [label])[label])
+
+
 def data_integrity_gate(
-    df: DataFrame, cols: Sequence[str], label: str, is_ref: Column, threshold: float = 0.05, continuous: bool = False
+    df: DataFrame,
+    cols: Sequence[str],
+    label: str,
+    is_ref: Column,
+    threshold: float = 0.05,
+    continuous: bool | None = None,
 ) -> DataFrame:
-    """Gate row: divergence <= threshold and anomaly rate <= 2 * threshold; score 1 - divergence - rate / 2."""
+    """Gate row: divergence <= threshold and anomaly rate <= 2 * threshold; score 1 - divergence - rate / 2.
+
+    Whether the label is compared by classes or by value bins is found from the data, unless given.
+    """
+    continuous = label_is_continuous(df, label) if continuous is None else continuous
     js = value_js_divergence(df, label, is_ref) if continuous else label_js_divergence(df, label, is_ref)
     rate = zscore_anomaly_rate(df, cols, is_ref)
     # one row on each side
@@ -166,20 +186,23 @@ def adversarial_gate(
     keys: Sequence[str],
     epsilon: float = 0.1,
     delta: float = 1e-4,
-    n: int = 500,
+    n: int | None = None,
     min_score: float = 0.70,
-    regression: bool = False,
+    regression: bool | None = None,
     seed: int = 42,
     vector: str = "features",
 ) -> DataFrame:
     """Gate row: accuracy after moving each feature by epsilon in the direction that changes the score.
 
-    ``n`` rows are sampled; each becomes one row per feature plus itself, all scored in one pass, and a
-    second pass scores the moved rows. For regression the score is 1 - mean shift / prediction range.
-    Where the model gives no score (more than two classes) the direction is a hash bit.
+    All rows are judged, or the first ``n`` in hash order. Each becomes one row per feature plus itself,
+    all scored in one pass, and a second pass scores the moved rows. For regression, which is found from
+    the label unless given, the score is 1 - mean shift / prediction range. Where the model gives no
+    score (more than two classes) the direction is a hash bit.
     """
     d = len(cols)
-    sample = first_by_hash(df.select(*keys, label, *cols), keys, n, seed)
+    regression = label_is_continuous(df, label) if regression is None else regression
+    rows = df.select(*keys, label, *cols)
+    sample = rows if n is None else first_by_hash(rows, keys, n, seed)
     base = sample.select(
         *[col(k).alias(f"k{i}") for i, k in enumerate(keys)],
         col(label).cast("double").alias("y"),
@@ -245,21 +268,32 @@ def adversarial_gate(
 
 
 def checksum_scan(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, name, bytes, sha256), one row per non-empty file. Files above 2 GB do not fit a binary
-    column; an empty file gives no row, so the gate sees it as missing."""
+    """(path, file, name, bytes, sha256), one row per non-empty file below ``path``, ``file`` relative to it.
+
+    Files above 2 GB do not fit a binary column; an empty file gives no row, so the gate sees it as missing.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = system.resolvePath(where).toUri().getPath().rstrip("/")
+    inside = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    file = F.when(F.startswith(inside, F.lit(f"{root}/")), F.substr(inside, F.lit(len(root) + 2))).otherwise(inside)
     return reader.load(path).select(
         "path",
+        file.alias("file"),
         F.element_at(F.split("path", "/"), -1).alias("name"),
         F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
 
 
-def checksum_compare(found: DataFrame, manifest: DataFrame, on: str = "name") -> DataFrame:
-    """(name, sha256, expected, status): matched, changed, missing or new."""
+def checksum_compare(found: DataFrame, manifest: DataFrame, on: str = "file") -> DataFrame:
+    """(file, sha256, expected, status): matched, changed, missing or new.
+
+    Files are told apart by their path below the root, as one name may stand in several folders.
+    """
     status = (
         F.when(F.col("sha256").isNull(), "missing")
         .when(F.col("expected").isNull(), "new")
@@ -270,8 +304,22 @@ def checksum_compare(found: DataFrame, manifest: DataFrame, on: str = "name") ->
     return found.select(on, "sha256").join(expected, on, "full_outer").withColumn("status", status)
 
 
+def verify_files(spark: SparkSession, path: str, manifest: str, pattern: str | None = None) -> DataFrame:
+    """Judge the files below ``path`` by the manifest stored at ``manifest``, and store the new ones in it.
+
+    The first call, without a manifest, stores all files. A changed or missing file keeps its stored
+    checksum, so it is found again by the next call.
+    """
+    found = materialise(checksum_scan(spark, path, pattern).select("file", "sha256"), "checksums")
+    known = readers.read_checksums(spark, manifest) if readers.exists(spark, manifest) else found.limit(0)
+    compared = materialise(checksum_compare(found, known), "checksums")
+    if not compared.filter("status = 'new'").isEmpty():
+        writers.write_checksums(compared.select("file", F.coalesce("expected", "sha256").alias("sha256")), manifest)
+    return checksum_gate(compared)
+
+
 def checksum_gate(compared: DataFrame) -> DataFrame:
-    """Gate row: no file changed or missing; a new file is stored, not judged."""
+    """Gate row: no file changed or missing; a new file is not judged."""
     bad = F.count_if(F.col("status").isin("changed", "missing"))
     one = compared.agg(
         bad.alias("bad"), *[F.count_if(F.col("status") == s).alias(s) for s in ("matched", "changed", "missing", "new")]
@@ -300,7 +348,7 @@ SECRET_PATTERNS = (
 def secret_findings(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """(keys, rule, severity, secret), one row per hit in the whole text.
 
-    Texts without any hit are dropped by one combined match before the hits are extracted.
+    Texts without any hit are dropped by one match of all patterns before the hits are extracted.
     """
     t = col(text)
     per_rule = [
@@ -311,7 +359,7 @@ def secret_findings(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
         )
         for rule, severity, pattern in SECRET_PATTERNS
     ]
-    candidate = any_of([F.rlike(t, F.lit(p)) for _, _, p in SECRET_PATTERNS])
+    candidate = F.rlike(t, F.lit("|".join(f"(?:{p})" for _, _, p in SECRET_PATTERNS)))
     kept = [col(k) for k in keys]
     hits = df.filter(candidate).select(*kept, F.explode(F.array(*per_rule)).alias("h"))
     return hits.select(*kept, "h.rule", "h.severity", F.explode("h.secrets").alias("secret"))
@@ -379,13 +427,3 @@ def gate_rollup(gates: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.coalesce("score", F.lit(0.0))), F.lit(0.0)).alias("overall_score"),
     )
 
-
-GATE_SCHEMA = T.StructType(
-    [
-        T.StructField("gate", T.StringType()),
-        T.StructField("passed", T.BooleanType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("details", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("error", T.StringType()),
-    ]
-)

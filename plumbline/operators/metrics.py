@@ -7,24 +7,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import clip, col, ratio, total
-from plumbline.plans.ranks import RankTable, exact_quantiles
-from plumbline.session import small_table
+from plumbline.functions.scalars import clip, col, ratio
+from plumbline.plans.ranks import RankTable, exact_quantiles, ranged_row_number
+from plumbline.session import materialise, small_table
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(label, prediction, n) over the full grid of labels and predictions, zeros included.
 
-    The grid is built from the class list, which the counted pairs already hold.
+    Classes are numbered, and each class gets a row for every number, so the class list is nowhere whole.
     """
     pairs = df.groupBy(col(label).alias("label"), col(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    classes = F.array_sort(F.array_distinct(F.array_union(F.collect_set("label"), F.collect_set("prediction"))))
+    pairs = materialise(pairs, "confusion")
+    classes = pairs.select(F.explode(F.array("label", "prediction")).alias("c")).filter("c is not null").distinct()
+    numbered = ranged_row_number(classes, ["c"], "i")
+    k = numbered.count()
+    if k == 0:
+        return pairs
     grid = (
-        pairs.agg(classes.alias("c"))
-        .select(F.explode("c").alias("label"), F.col("c"))
-        .select("label", F.explode("c").alias("prediction"))
+        numbered.select(F.col("c").alias("label"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(k).cast("bigint"))).alias("i"))
+        .join(numbered.withColumnRenamed("c", "prediction"), "i")
+        .select("label", "prediction")
     )
     return grid.join(pairs, ["label", "prediction"], "left").select(
         "label", "prediction", F.coalesce("n", F.lit(0)).alias("n")
@@ -217,15 +222,3 @@ def latency_percentiles(df: DataFrame, value: str = "latency_ms") -> DataFrame:
     """One row p50, p95, p99."""
     (qs,) = exact_quantiles(df, [value], [0.5, 0.95, 0.99])
     return small_table(df.sparkSession, [tuple(qs)], "p50 double, p95 double, p99 double")
-
-
-def metric_rows(one: DataFrame, names: Sequence[str], **tags: str) -> DataFrame:
-    """A one-row metric table as (tags, metric, value)."""
-    cells = [F.struct(F.lit(m).alias("metric"), col(m).cast("double").alias("value")) for m in names]
-    return one.select(*[F.lit(v).alias(k) for k, v in tags.items()], F.explode(F.array(*cells)).alias("m")).select(
-        *tags, "m.*"
-    )
-
-
-def mean_of(cols: Sequence[Column]) -> Column:
-    return total(list(cols)) / float(len(cols))

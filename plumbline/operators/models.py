@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
@@ -28,10 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.scalars import col
+from plumbline.functions.scalars import col, total
 from plumbline.operators import metrics
 from plumbline.operators.features import class_counts, kfold_assign, to_vector, weights_of, with_class_weights
-from plumbline.session import small_table
+from plumbline.session import materialise, small_table
 
 log = logging.getLogger(__name__)
 
@@ -42,11 +43,13 @@ DEFAULTS: dict[str, dict[str, float]] = {
     "gradient_boosting": {"rounds": 100, "rate": 0.1, "depth": 5},
     "decision_tree": {"depth": 30},
     "svm": {"C": 1.0, "max_iter": 100},
+    "knn": {"k": 5},
     "linear_regression": {},
     "random_forest_regressor": {"trees": 100, "depth": 10, "min_split": 5},
     "gradient_boosting_regressor": {"rounds": 100, "rate": 0.1, "depth": 5},
     "decision_tree_regressor": {"depth": 30},
     "svm_regressor": {"max_iter": 100},
+    "knn_regressor": {"k": 5},
 }
 REGRESSORS = ("linear_regression", *[n for n in DEFAULTS if n.endswith("_regressor")])
 
@@ -90,17 +93,93 @@ def _forest(cls: type) -> Callable[[Fit, Mapping[str, float]], Estimator]:
     return make
 
 
+class PerClassModel:
+    """One two-class model per class; the probabilities are theirs for their own class, made to sum to 1."""
+
+    def __init__(self, models: Sequence[Transformer], features: str) -> None:
+        self.models, self.features = list(models), features
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out, own = df, []
+        for i, m in enumerate(self.models):
+            names = {k: f"_{k}_{i}" for k in ("prediction", "rawPrediction", "probability")}
+            out = m.copy({m.predictionCol: names["prediction"], m.rawPredictionCol: names["rawPrediction"], m.probabilityCol: names["probability"]}).transform(out)
+            out = out.withColumn(f"_own_{i}", vector_to_array(F.col(names["probability"]))[1]).drop(*names.values())
+            own.append(F.col(f"_own_{i}"))
+        sums = F.greatest(total(own), F.lit(1e-300))
+        shares = F.array(*[p / sums for p in own])
+        best = F.array_position(shares, F.array_max(shares)) - 1
+        out = out.withColumns({"probability": array_to_vector(shares), "prediction": best.cast("double")})
+        return out.drop(*[f"_own_{i}" for i in range(len(own))])
+
+
+@dataclass(frozen=True)
+class PerClass:
+    """Fits a two-class estimator with probabilities once per class."""
+
+    binary: Estimator
+    info: Fit
+
+    def fit(self, table: DataFrame) -> PerClassModel:
+        label = self.info.label
+        models = [
+            self.binary.fit(table.withColumn(label, (F.col(label) == float(c)).cast("double")))
+            for c in range(self.info.classes)
+        ]
+        return PerClassModel(models, self.info.features)
+
+
 def _boosting(cls: type) -> Callable[[Fit, Mapping[str, float]], Estimator]:
     def make(f: Fit, p: Mapping[str, float]) -> Estimator:
         one = cls(
             maxIter=int(p["rounds"]), stepSize=p["rate"], maxDepth=int(p["depth"]), checkpointInterval=10,
             seed=f.seed, **f.common(),
         )
-        return f.several(one) if cls is GBTClassifier else one
+        return PerClass(one, f) if cls is GBTClassifier and f.classes > 2 else one
 
     return make
 
 
+class NearestModel:
+    """The k nearest train rows vote on a class, or give the mean label."""
+
+    def __init__(self, train: DataFrame, k: int, classes: int, features: str) -> None:
+        self.train, self.k, self.classes, self.features = train, k, classes, features
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The rows are written with a number first, by which their votes find back to them."""
+        rows = materialise(df.withColumn("_key", F.monotonically_increasing_id()), "queries")
+        query = rows.select("_key", vector_to_array(F.col(self.features)).alias("_x"))
+        found = nearest(query, self.train, "_key", "_x", "_y", self.k)
+        if not self.classes:
+            votes = found.groupBy("query").agg(F.avg("label").alias("prediction"))
+        else:
+            share = [F.avg((F.col("label") == float(c)).cast("double")).alias(f"_p{c}") for c in range(self.classes)]
+            p = F.array(*[F.col(f"_p{c}") for c in range(self.classes)])
+            votes = found.groupBy("query").agg(*share).select(
+                "query", array_to_vector(p).alias("probability"), (F.array_position(p, F.array_max(p)) - 1).cast("double").alias("prediction")
+            )
+        return rows.join(votes, rows["_key"] == votes["query"]).drop("_key", "query")
+
+
+@dataclass(frozen=True)
+class Nearest:
+    """Keeps the train rows in a written table."""
+
+    info: Fit
+    k: int
+    regression: bool
+
+    def fit(self, table: DataFrame) -> NearestModel:
+        rows = table.select(
+            F.monotonically_increasing_id().alias("_key"),
+            vector_to_array(F.col(self.info.features)).alias("_x"),
+            F.col(self.info.label).alias("_y"),
+        )
+        classes = 0 if self.regression else self.info.classes
+        return NearestModel(materialise(rows, "neighbours"), self.k, classes, self.info.features)
+
+
 def _tree(cls: type) -> Callable[[Fit, Mapping[str, float]], Estimator]:
     return lambda f, p: cls(maxDepth=int(p["depth"]), seed=f.seed, **f.common())
 
@@ -113,11 +192,13 @@ FACTORIES: dict[str, Callable[[Fit, Mapping[str, float]], Estimator]] = {
     "svm": lambda f, p: f.several(
         LinearSVC(regParam=1.0 / (p["C"] * f.n), maxIter=int(p["max_iter"]), **f.common())
     ),
+    "knn": lambda f, p: Nearest(f, int(p["k"]), False),
     "linear_regression": lambda f, p: LinearRegression(solver="normal", **f.common()),
     "random_forest_regressor": _forest(RandomForestRegressor),
     "gradient_boosting_regressor": _boosting(GBTRegressor),
     "decision_tree_regressor": _tree(DecisionTreeRegressor),
     "svm_regressor": lambda f, p: LinearRegression(loss="huber", maxIter=int(p["max_iter"]), **f.common()),
+    "knn_regressor": lambda f, p: Nearest(f, int(p["k"]), True),
 }
 
 
@@ -138,7 +219,8 @@ def fit(
     weight, classes, n = None, 0, 0
     if algorithm not in REGRESSORS:
         counts = class_counts(table, "target")
-        classes, n = len(counts), sum(counts.values())
+        # labels are codes from 0, and one that is not in these rows has a place all the same
+        classes, n = max(len(counts), int(max(counts, default=0)) + 1), sum(counts.values())
         weights = weights_of(counts, imbalance)
         if any(w != 1.0 for w in weights.values()):
             table, weight = with_class_weights(table, weights), "weight"
@@ -278,9 +360,8 @@ def cross_validate(
             model = fit(folded.filter(F.col("fold") != k), algorithm, cols, label, params, seed)
             part = batch_score(folded.filter(F.col("fold") == k), model, cols, vector=True)
             held = part if held is None else held.unionByName(part)
-        held = held.drop(*keys, *cols).persist()
-        runs = _fold_metrics(held, label, task, folds)
-        held.unpersist()
+        # scored once, read by every metric
+        runs = _fold_metrics(materialise(held.drop(*keys, *cols), "held-out"), label, task, folds)
     finally:
         folded.unpersist()
     found = [(algorithm, f"cv_{m}", float(np.mean([r[m] for r in runs]))) for m in runs[0]]
@@ -315,11 +396,15 @@ def train_all(
     split: str = "split",
     params: Mapping[str, Mapping[str, float]] | None = None,
     seed: int = 42,
+    keys: Sequence[str] = (),
+    folds: int = 5,
 ) -> tuple[DataFrame, dict[str, Transformer]]:
     """Fit every algorithm on the train rows, tune the threshold on validation, evaluate on test.
 
-    Returns (algorithm, position, metric, value) and the models. An algorithm that fails is logged and
-    left out.
+    Returns (algorithm, position, metric, value) and the models. Metrics have the prefix ``test_`` (at the
+    tuned threshold), ``baseline_test_`` (at 0.5), ``val_`` and, if ``keys`` name a row so that folds can be
+    dealt, ``cv_``. ``confusion_<label>_<prediction>`` counts test rows at the tuned threshold, and
+    ``training_time_sec`` is the time of the fit. An algorithm that fails is logged and left out.
     """
     table = table.persist()
     rows: list[tuple[str, int, str, float]] = []
@@ -328,16 +413,29 @@ def train_all(
         parts = {s: table.filter(col(split) == s) for s in ("train", "val", "test")}
         for position, name in enumerate(algorithms):
             try:
+                began = time.perf_counter()
                 model = fit(parts["train"], name, cols, label, (params or {}).get(name), seed)
+                took = time.perf_counter() - began
                 task = "regression" if name in REGRESSORS else "classification"
                 threshold = 0.5
-                held = batch_score(parts["val"], model, cols, vector=True)
+                held = _scored(parts["val"], model, cols, label)
                 if task == "classification" and "probabilities" in held.columns:
                     threshold = metrics.optimal_threshold(held, label, "probability").first()["threshold"]
-                test = batch_score(parts["test"], model, cols, vector=True)
+                test = _scored(parts["test"], model, cols, label)
                 tuned, base = evaluate(test, label, task, (threshold, 0.5))
                 found = {f"test_{k}": v for k, v in tuned.items()} | {"optimal_threshold": threshold}
                 found |= {f"baseline_test_{k}": v for k, v in base.items()}
+                found |= {f"val_{k}": v for k, v in evaluate(held, label, task, (threshold,))[0].items()}
+                found["training_time_sec"] = took
+                if task == "classification":
+                    counted = _counted(test, label, (threshold,))
+                    binary = len({r["y"] for r in counted}) <= 2
+                    for y, p, n in _at(counted, 0, binary):
+                        cell = f"confusion_{int(y)}_{int(p)}"
+                        found[cell] = found.get(cell, 0) + n
+                if keys:
+                    cv = cross_validate(parts["train"], name, cols, keys, label, folds, (params or {}).get(name), seed)
+                    found |= {r["metric"]: r["value"] for r in cv.collect()}
             except Exception as exc:  # noqa: BLE001 - one failing algorithm must not stop the others
                 log.error("training %s failed: %s", name, exc)
                 continue
@@ -349,6 +447,12 @@ def train_all(
     return small_table(table.sparkSession, rows, schema), models
 
 
+def _scored(df: DataFrame, model: Transformer, cols: Sequence[str], label: str) -> DataFrame:
+    """Label and scores as a written table, so that each metric reads numbers and none runs the model."""
+    scored = batch_score(df.select(*cols, label), model, cols, vector=True)
+    return materialise(scored.drop(*cols), "scored")
+
+
 def select_best(results: DataFrame, metric: str = "f1", prefix: str = "test_") -> DataFrame:
     """One row (algorithm, metric, value): the best by one metric; the first algorithm wins ties."""
     sign = -1.0 if metric in ("rmse", "mae") else 1.0

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.scalars import col, finite, is_infinite, present, try_double
-from plumbline.plans.ranks import bucketed_row_number
-from plumbline.session import small_table
+from plumbline.plans.ranks import ranged_row_number
+from plumbline.session import materialise, small_table
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 MAX_CATEGORIES = 1000
@@ -28,12 +29,14 @@ def categorical_columns(df: DataFrame, among: Sequence[str] | None = None) -> li
 
 
 def select_target(df: DataFrame, target: str = "target") -> DataFrame:
-    """Require ``target`` and name it ``target``; the error lists the first ten columns."""
-    if target not in df.columns:
-        shown = ", ".join(f"'{c}'" for c in df.columns[:10])
-        more = f", ... ({len(df.columns)} total)" if len(df.columns) > 10 else ""
-        raise ValueError(f"target column '{target}' not found; available columns: [{shown}{more}]")
-    return df if target == "target" else df.withColumnRenamed(target, "target")
+    """The table with its ``target`` column called ``target``. A table without it is an error."""
+    if target == "target" and target in df.columns:
+        return df
+    try:
+        place = df.columns.index(target)
+    except ValueError:
+        raise ValueError(f"column '{target}' not found among {len(df.columns)}: {df.columns[:10]}") from None
+    return df.toDF(*df.columns[:place], "target", *df.columns[place + 1 :])
 
 
 def drop_null_target(df: DataFrame, target: str = "target", check: bool = True) -> DataFrame:
@@ -49,7 +52,7 @@ def drop_null_target(df: DataFrame, target: str = "target", check: bool = True)
 def label_codes(df: DataFrame, target: str = "target") -> DataFrame:
     """(label, code): distinct labels as strings in code-point order, numbered from 0."""
     labels = df.select(col(target).cast("string").alias("label")).filter("label is not null").distinct()
-    numbered = bucketed_row_number(labels, [], F.left(F.hex("label"), F.lit(4)), ["label"], "n")
+    numbered = ranged_row_number(labels, ["label"], "n")
     return numbered.select("label", (F.col("n") - 1).cast("int").alias("code"))
 
 
@@ -89,37 +92,58 @@ def _category_label(df: DataFrame, name: str) -> Column:
 
 
 def categories(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct values per column. A column with more than ``limit`` values is an error,
-    found from a sketch before any value is collected, because each would become a column."""
+    """Sorted distinct values of the columns that have at most ``limit``; the others are left out, and
+    their values never reach the driver."""
     if not cols:
         return {}
-    rough = df.agg(*[F.approx_count_distinct(_category_label(df, c), 0.02).alias(f"n{i}") for i, c in enumerate(cols)])
-    for name, n in zip(cols, rough.first(), strict=True):
-        if n > 1.2 * limit:
-            raise ValueError(f"column '{name}' has about {n} categories, more than {limit}")
     pairs = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("c"), _category_label(df, c).alias("v")) for c in cols])
         ).alias("p")
     ).select("p.*")
-    found: dict[str, list[str]] = {c: [] for c in cols}
-    for r in pairs.filter("v is not null").distinct().collect():
+    distinct = materialise(pairs.filter("v is not null").distinct(), "categories")
+    sizes = {r["c"]: r["count"] for r in distinct.groupBy("c").count().collect()}
+    found: dict[str, list[str]] = {c: [] for c in cols if sizes.get(c, 0) <= limit}
+    for r in distinct.filter(F.col("c").isin(*found)).collect() if found else []:
         found[r["c"]].append(r["v"])
-    for name, values in found.items():
-        if len(values) > limit:
-            raise ValueError(f"column '{name}' has {len(values)} categories, more than {limit}")
+    for values in found.values():
         values.sort()
     return found
 
 
+def wide_one_hot(df: DataFrame, name: str) -> DataFrame:
+    """Replaces a column of many values by ``name_onehot``: one sparse vector with the same zeros and ones
+    that a column per sorted category but the first would hold."""
+    value = _category_label(df, name)
+    labels = df.select(value.alias("_v")).filter("_v is not null").distinct()
+    numbered = ranged_row_number(labels, ["_v"], "_i")
+    size = numbered.count()
+    rows = df.withColumn("_v", value).join(numbered, "_v", "left")
+    # the encoder drops its last index, so the first category gets that one, and a missing value as well
+    place = F.when(F.col("_i") > 1, F.col("_i") - 2).otherwise(F.lit(size - 1)).cast("double")
+    if size < 2:
+        return df.drop(name)
+    sizing = df.sparkSession.range(size - 1, size).select(F.col("id").cast("double").alias("_at"))
+    encoder = OneHotEncoder(inputCol="_at", outputCol="_hot", dropLast=True).fit(sizing)
+    hot = encoder.transform(rows.withColumn("_at", place))
+    return hot.select(*[col(c) for c in df.columns if c != name], F.col("_hot").alias(f"{name}_onehot"))
+
+
 def one_hot_drop_first(
     df: DataFrame,
     cols: Sequence[str],
     values: Mapping[str, Sequence[str]] | None = None,
     limit: int = MAX_CATEGORIES,
 ) -> DataFrame:
-    """One 0/1 double column ``col_value`` per sorted category but the first; missing gives zeros."""
+    """One 0/1 double column ``col_value`` per sorted category but the first; missing gives zeros.
+
+    A column with more than ``limit`` categories becomes one sparse vector ``col_onehot`` instead.
+    """
     values = values if values is not None else categories(df, cols, limit)
+    for c in cols:
+        if c not in values:
+            df = wide_one_hot(df, c)
+    cols = [c for c in cols if c in values]
     dummies = [
         F.coalesce((_category_label(df, c) == F.lit(v)).cast("double"), F.lit(0.0)).alias(f"{c}_{v}")
         for c in cols
@@ -220,7 +244,8 @@ def more_distinct_than(df: DataFrame, values: Mapping[str, Column], limit: int)
     over = {n: rough[i] > 2 * limit for i, n in enumerate(names)}
     near = [n for n in names if not over[n]]
     if near:
-        cells = [F.struct(F.lit(n).alias("c"), values[n].cast("string").alias("v")) for n in near]
+        # adding 0 makes one value of 0.0 and -0.0
+        cells = [F.struct(F.lit(n).alias("c"), (values[n] + F.lit(0)).cast("string").alias("v")) for n in near]
         pairs = df.select(F.explode(F.array(*cells)).alias("p")).select("p.*").filter("v is not null").distinct()
         counted = {r["c"]: r["n"] for r in pairs.groupBy("c").agg(F.count("v").alias("n")).collect()}
         over.update({n: counted.get(n, 0) > limit for n in near})

@@ -17,6 +17,7 @@ from plumbline.session import small_table
 LATENCY_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
 NO_ERROR = ("success", "anomaly_mitigated")
 
+# The actions that logs and incident records hold.
 FALLBACK = "fallback_conservative_prediction"
 RETRAIN = "flag_retrain_quarantine"
 
@@ -58,6 +59,18 @@ def drift_response(report: DataFrame, limit: float = 0.40) -> DataFrame:
     )
 
 
+def drift_incidents(report: DataFrame, batch: str, ts: Column, limit: float = 0.40) -> DataFrame:
+    """Incident records of the report rows whose drift reaches the limit; ``batch`` names them, ``ts`` dates them."""
+    return report.filter(F.col("drift_score") >= limit).select(
+        F.concat(F.lit("inc_drift_"), col(batch).cast("string")).alias("incident_id"),
+        F.lit("data_drift").alias("type"),
+        "drift_score",
+        F.lit(limit).alias("threshold"),
+        F.lit(RETRAIN).alias("action"),
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+    )
+
+
 def is_error(status: str = "status") -> Column:
     return ~col(status).isin(*NO_ERROR)
 

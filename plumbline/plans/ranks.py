@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import col, order_hash, present
 from plumbline.session import materialise, small_table
 
-MIN_BUCKETS, MAX_BUCKETS = 64, 1024
+MIN_BUCKETS = 64
 MAX_CELLS = 200_000
 RANKED_ROWS = 1_000_000
 SAMPLE_FRACTION = 0.1
@@ -32,9 +32,10 @@ SKETCH_GROUPS = 64
 
 
 def bucket_count(spark: SparkSession, features: int = 1) -> int:
-    """As many buckets as shuffle partitions, within bounds that keep the bucket totals small."""
+    """As many buckets as shuffle partitions, which a cluster sets by its data, as far as the totals of all
+    features fit the driver."""
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_CELLS // max(1, features), MAX_BUCKETS, max(MIN_BUCKETS, wanted)))
+    return max(2, min(MAX_CELLS // max(1, features), max(MIN_BUCKETS, wanted)))
 
 
 def split_points(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> list[list[float]]:
@@ -122,13 +123,19 @@ class RankTable:
         splits: Sequence[Sequence[float]] | None = None,
     ) -> RankTable:
         splits = splits if splits is not None else split_points(df, cols)
+        return RankTable.of_cells(long_values(df, cols, splits, weights), tuple(weights), tuple(names or cols))
+
+    def plus(self, cells: DataFrame) -> RankTable:
+        """This table with further cells (f, bucket, value, weights) counted in; their buckets must be its own."""
+        columns = ["f", "bucket", "value", *self.weights]
+        return RankTable.of_cells(self.counts.select(*columns).unionByName(cells.select(*columns)), self.weights, self.names)
+
+    @staticmethod
+    def of_cells(cells: DataFrame, weights: Sequence[str], names: tuple[str, ...]) -> RankTable:
+        """Count cells and write the counts."""
         counts = materialise(
-            long_values(df, cols, splits, weights)
-            .groupBy("f", "bucket", "value")
-            .agg(*[F.sum(w).alias(w) for w in weights]),
-            "values",
+            cells.groupBy("f", "bucket", "value").agg(*[F.sum(w).alias(w) for w in weights]), "values"
         )
-        names = tuple(names or cols)
         rows = (
             counts.groupBy("f", "bucket")
             .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), *[F.sum(w).alias(w) for w in weights])
@@ -276,23 +283,29 @@ def single_agg_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[flo
     return [list(row[i]) if row[i] is not None else [None] * len(probs) for i in range(len(cols))]
 
 
-def bucketed_row_number(
-    df: DataFrame, part: Sequence[str], bucket: Column, order: Sequence[str], name: str
-) -> DataFrame:
-    """1-based ``row_number() over (partition by part order by bucket, order)`` as column ``name``.
+def ranged_row_number(df: DataFrame, order: Sequence[str], name: str, part: Sequence[str] = ()) -> DataFrame:
+    """1-based ``row_number() over (partition by part order by order)`` as column ``name``.
 
-    ``bucket`` must not decrease along ``order``. Rows are numbered inside (part, bucket) and shifted
-    by the sizes of the earlier buckets, so one large part is spread over all its buckets.
+    Rows are dealt out by ranges of (part, order) from a sample, sorted there, and written once with their
+    place in their range; the sizes of the ranges, one row each, shift the places. So neither one large
+    part nor a common prefix of the values puts many rows into one task, whatever the table's size.
     """
-    # one non-null key column, so that the join below needs no other partitioning than the window
-    group = [F.coalesce(col(c).cast("string"), F.lit("\u0002")) for c in part]
-    tagged = df.withColumns({"_part": F.concat_ws("\u0001", *group), "_bucket": bucket})
-    sizes = tagged.groupBy("_part", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_part").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_part", "_bucket").orderBy(*order)
-    joined = tagged.withColumn("_rn", F.row_number().over(inside)).join(offsets, ["_part", "_bucket"])
-    return joined.select(*[col(c) for c in df.columns], (F.col("_rn") + F.col("_offset")).alias(name))
+    by = [*part, *order]
+    rows = df.repartitionByRange(*[col(c) for c in by]).sortWithinPartitions(*[col(c) for c in by])
+    # the lower 33 bits of the id count the rows of a partition
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = materialise(rows.withColumns({"_range": F.spark_partition_id(), "_place": place}), "numbered")
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    numbered = placed.join(offsets, "_range").withColumn(name, F.col("_place") + F.col("_offset") + 1)
+    columns = [*[col(c) for c in df.columns], col(name)]
+    if not part:
+        return numbered.select(*columns)
+    first = numbered.groupBy(*[col(c) for c in part]).agg((F.min(col(name)) - 1).alias("_first"))
+    first = first.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(part)})
+    same = [col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(part)]
+    return numbered.join(first, same).withColumn(name, col(name) - F.col("_first")).select(*columns)
 
 
 def hash_cuts(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -14,11 +15,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def local_session(cpus: int | str = "*", app: str = "plumbline", memory: str = "8g") -> SparkSession:
-    """Session for tests and benchmarks on one machine; a cluster brings its own."""
+def local_session(
+    cpus: int | str = "*", app: str = "plumbline", memory: str = "8g", folder: str | None = None
+) -> SparkSession:
+    """Session for tests and benchmarks on one machine; a cluster brings its own.
+
+    ``folder`` takes the intermediate tables, if the configuration names none.
+    """
     cores = 8 if cpus == "*" else int(cpus)
+    builder = SparkSession.builder if folder is None else SparkSession.builder.config("spark.checkpoint.dir", folder)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -34,19 +41,19 @@ def local_session(cpus: int | str = "*", app: str = "plumbline", memory: str = "
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``.
+    """Shared folder named by ``spark.checkpoint.dir`` or set as the context's checkpoint folder.
 
-    Where the setting is absent a folder is chosen only in local mode; on a cluster a
-    machine-local folder would not be visible to the executors, so that is an error.
+    Without either, a session whose only machine is this one gets a folder of its own; a cluster could not
+    see it, so there it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        root = os.path.join(tempfile.gettempdir(), f"plumbline-{context.applicationId}")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -70,10 +77,14 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _written.reset(token)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for p in paths:
-            where = jvm.org.apache.hadoop.fs.Path(p)
-            where.getFileSystem(conf).delete(where, True)
+            remove(spark, p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -21,17 +21,29 @@ _WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
 _BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
-def read_csv(spark: SparkSession, path: str, sample: float = 1.0) -> DataFrame:
+def _open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, so that a quoted field runs on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).agg(F.bool_or(quotes % 2 == 1)).first()[0])
+
+
+def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """Header CSV with inferred types: whole numbers without gaps are long, other numbers double,
     True/False without gaps boolean, the rest string. Missing tokens are null.
 
-    Inference is one aggregate over all columns; ``sample`` restricts it to a share of the rows.
+    Inference is one aggregate over all columns and rows. Quoted fields may hold line breaks if
+    ``multiline``; then each file is read by one task. By default one pass over the lines finds out
+    whether that is needed. With ``multiline=False`` a line that leaves a quote open is an error.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=False)
+    if not multiline:
+        unbalanced = _open_quotes(spark, path)
+        if unbalanced and multiline is False:
+            raise ValueError(f"a quoted field runs over a line break in {path}; read it with multiline")
+        multiline = unbalanced
+    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline)
     text = raw.select(*[F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in raw.columns])
-    seen = text if sample >= 1.0 else text.sample(sample, seed=7)
     checks = {"whole": _WHOLE, "number": _NUMBER}
-    row = seen.agg(
+    row = text.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(col(c)).alias(f"present{i}") for i, c in enumerate(raw.columns)],
         *[
@@ -66,7 +78,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
@@ -78,7 +90,7 @@ def read_table(spark: SparkSession, path: str, **options: object) -> DataFrame:
     ext = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
     if ext not in SUPPORTED:
         raise ValueError(f"unsupported file format '{ext}'; supported formats: {', '.join(SUPPORTED)}")
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"dataset file not found: {path}")
     return {"csv": read_csv, "json": read_json, "parquet": read_parquet}[ext](spark, path, **options)
 
@@ -113,8 +125,8 @@ def read_experiment(docs: DataFrame, experiment_id: str) -> DataFrame:
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """The stored manifest (name, sha256)."""
-    return spark.read.schema("name string, sha256 string").parquet(path)
+    """The stored manifest (file, sha256)."""
+    return spark.read.schema("file string, sha256 string").parquet(path)
 
 
 def event_stream(spark: SparkSession, path: str, ts: str = "ts", files_per_trigger: int | None = None) -> DataFrame:

@@ -37,8 +37,8 @@ def write_experiments(df: DataFrame, path: str) -> None:
 
 
 def write_checksums(found: DataFrame, path: str) -> None:
-    """Store a manifest (name, sha256)."""
-    found.select("name", "sha256").write.mode("overwrite").parquet(path)
+    """Store a manifest (file, sha256)."""
+    found.select("file", "sha256").write.mode("overwrite").parquet(path)
 
 
 def write_report(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:

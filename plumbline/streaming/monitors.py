@@ -7,11 +7,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.scalars import col
 from plumbline.operators import drift, traffic
 from plumbline.operators.anomaly import ReferenceProfile
-from plumbline.session import scratch_path, scratch_scope, small_table
+from plumbline.session import remove, scratch_path, scratch_scope, small_table
+from plumbline.sources import readers
 
 MIN_REQUESTS = 3
 
@@ -144,6 +146,8 @@ def drain_complete(df: DataFrame, label: str) -> DataFrame:
 
     def write(batch: DataFrame, i: int, folder: str) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/table/batch={i}")
+        if last[0] >= 0 and last[0] != i:
+            remove(spark, f"{folder}/table/batch={last[0]}")
         last[0] = i
 
     path = drain_batches(df, label, write, "complete")
@@ -152,6 +156,27 @@ def drain_complete(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/table/batch={last[0]}")
 
 
+def drain_latest(df: DataFrame, label: str, keys: Sequence[str] = ("start",), path: str | None = None) -> DataFrame:
+    """Run a windowed aggregate in update mode; returns the last state of every window.
+
+    So the windows that are still open when the input ends are there as well. Each micro-batch writes the
+    windows it changed; rows that come after the watermark are not counted, as in append mode.
+    """
+    spark = df.sparkSession
+
+    def write(batch: DataFrame, i: int, folder: str) -> None:
+        batch.withColumn("_batch", F.lit(i).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/table/batch_id={i}")
+
+    folder = drain_batches(df, label, write, "update", path)
+    schema = T.StructType([*df.schema.fields, T.StructField("_batch", T.LongType())])
+    if not readers.exists(spark, f"{folder}/table"):
+        return small_table(spark, [], df.schema)
+    rest = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.struct(*[col(c) for c in rest]), F.col("_batch")).alias("_last")
+    latest = spark.read.schema(schema).parquet(f"{folder}/table").groupBy(*[col(k) for k in keys]).agg(last)
+    return latest.select(*[col(c) if c in keys else F.col("_last")[c].alias(c) for c in df.columns])
+
+
 def stream_route(log: DataFrame, limit: float = 0.75, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Split a stream into (served requests, incidents), each written once per batch id."""
     spark = log.sparkSession
@@ -177,14 +202,17 @@ DRIFT_SCHEMA = "batch bigint, status string, sample_count bigint, drift_score do
 def stream_drift(
     log: DataFrame, reference: DataFrame, cols: Sequence[str], path: str | None = None
 ) -> DataFrame:
-    """Per micro-batch, the drift report against a stored reference; fewer than 3 requests are not judged."""
+    """Per micro-batch, the drift report against a reference; fewer than 3 requests are not judged.
+
+    The reference is read once: its value counts are a written table, and a batch adds its own counts.
+    """
     spark = log.sparkSession
+    fitted = drift.FittedReference.fit(reference, cols)
 
     def judge(batch: DataFrame, i: int, n: int) -> DataFrame:
         if n < MIN_REQUESTS:
             return small_table(spark, [(i, "insufficient_samples", n, None, False, "")], DRIFT_SCHEMA)
-        both = drift.both_sides(reference, batch, cols)
-        report = drift.drift_report(drift.drift_features(both, cols, F.col("_ref")), len(cols))
+        report = drift.drift_report(fitted.features(batch), len(cols))
         return report.select(
             F.lit(i).cast("bigint").alias("batch"),
             F.lit("evaluated").alias("status"),

@@ -100,15 +100,58 @@ def test_checksums(spark, tmp_path):
     found = gates.checksum_scan(spark, str(tmp_path), "*.bin")
     hashes = {r["name"]: r["sha256"] for r in found.collect()}
     assert hashes["model.bin"] == hashlib.sha256(b"weights").hexdigest()
-    stored = spark.createDataFrame([("model.bin", hashes["model.bin"])], "name string, sha256 string")
+    stored = spark.createDataFrame([("model.bin", hashes["model.bin"])], "file string, sha256 string")
     first = gates.checksum_compare(found, stored)
-    assert {r["name"]: r["status"] for r in first.collect()} == {"model.bin": "matched", "other.bin": "new"}
+    assert {r["file"]: r["status"] for r in first.collect()} == {"model.bin": "matched", "other.bin": "new"}
     assert gates.checksum_gate(first).first()["passed"]
-    wrong = spark.createDataFrame([("model.bin", "0" * 64), ("gone.bin", "1" * 64)], "name string, sha256 string")
+    wrong = spark.createDataFrame([("model.bin", "0" * 64), ("gone.bin", "1" * 64)], "file string, sha256 string")
     row = gates.checksum_gate(gates.checksum_compare(found, wrong)).first()
     assert not row["passed"] and row["score"] == 0.0 and row["error"] == "file not found"
 
 
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    manifest = str(tmp_path / "manifest")
+    root = tmp_path / "model"
+    for folder, content in (("a", b"one"), ("b", b"two")):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "part-00000").write_bytes(content)
+    counts = lambda row: tuple(row["details"][k] for k in ("matched", "changed", "missing", "new"))
+    first = gates.verify_files(spark, str(root), manifest).first()
+    assert first["passed"] and counts(first) == ("0", "0", "0", "2")
+    assert counts(gates.verify_files(spark, str(root), manifest).first()) == ("2", "0", "0", "0")
+    (root / "a" / "part-00001").write_bytes(b"new")
+    assert counts(gates.verify_files(spark, str(root), manifest).first()) == ("2", "0", "0", "1")
+    (root / "b" / "part-00000").write_bytes(b"altered")
+    (root / "a" / "part-00001").unlink()
+    for _ in range(2):  # what was stored stays
+        row = gates.verify_files(spark, str(root), manifest).first()
+        assert not row["passed"] and counts(row) == ("1", "1", "1", "0")
+
+
+def test_label_kind_is_found(spark):
+    rows = [(float(i % 7), i / 9, i % 2, "ref" if i % 3 else "cur") for i in range(300)]
+    df = spark.createDataFrame(rows, "f double, price double, y int, side string")
+    assert gates.label_is_continuous(df, "price") and not gates.label_is_continuous(df, "y")
+    found = gates.data_integrity_gate(df, ["f"], "price", F.col("side") == "ref").first()
+    asked = gates.data_integrity_gate(df, ["f"], "price", F.col("side") == "ref", continuous=True).first()
+    assert found == asked
+
+
+def test_drift_incidents(spark):
+    from plumbline.operators import traffic
+
+    df = spark.createDataFrame([(1, 0.39), (2, 0.4)], "batch long, drift_score double")
+    (row,) = traffic.drift_incidents(df, "batch", F.lit("2024-01-02 03:04:05").cast("timestamp_ntz")).collect()
+    assert (row["incident_id"], row["type"], row["action"], row["timestamp"]) == ("inc_drift_2", "data_drift", "flag_retrain_quarantine", "2024-01-02T03:04:05Z")
+
+
+def test_forest_samples_by_one_rule(spark):
+    for n in (100, 256, 257, 40_000):
+        df = spark.range(n).select("id", *[F.rand(i).alias(c) for i, c in enumerate(COLS)])
+        forest = anomaly.IsolationForest.fit(df, COLS, ["id"], trees=12)
+        assert len(forest.nodes) == 12 and {int(t[4][0]) for t in forest.nodes} == {min(n, 256)}
+
+
 def test_secrets_are_found_anywhere_in_a_long_text(spark):
     token = "ab" * 20
     text = "word " * 50_000 + f'token = "{token}" and token = "{token}"'

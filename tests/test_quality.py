@@ -130,10 +130,31 @@ def test_one_hot_of_missing_and_boolean(spark):
     assert sorted(map(tuple, out.collect())) == [(0.0, 0.0), (0.0, 0.0), (1.0, 1.0)]
 
 
-def test_one_hot_refuses_many_categories(spark):
-    df = spark.range(500).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError, match="categories"):
-        prep.one_hot_drop_first(df, ["c"], limit=50)
+def test_one_hot_of_many_categories_is_a_sparse_vector(spark):
+    rows = [(i, None if i % 10 == 0 else f"v{i % 51:02}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, c string")
+    wide = prep.one_hot_drop_first(df, ["c"], limit=50)
+    assert wide.columns == ["id", "c_onehot"]
+    narrow = prep.one_hot_drop_first(df, ["c"], limit=51)
+    names = narrow.columns[1:]
+    want = {r["id"]: [r[n] for n in names] for r in narrow.collect()}
+    assert all(r["c_onehot"].toArray().tolist() == want[r["id"]] for r in wide.collect())
+
+
+def test_codes_of_many_labels_with_one_prefix(spark):
+    df = spark.range(3000).select(F.concat(F.lit("user_"), F.col("id").cast("string")).alias("target"))
+    codes = {r["label"]: r["code"] for r in prep.label_codes(df).collect()}
+    assert codes == {v: i for i, v in enumerate(sorted(f"user_{i}" for i in range(3000)))}
+
+
+def test_signed_zeros_are_one_value(spark):
+    df = spark.createDataFrame([(float(i % 3) * s,) for i in range(30) for s in (0.0, -0.0, 1.0)], "x double")
+    assert prep.more_distinct_than(df, {"x": F.col("x")}, 3) == {"x": False}
+
+
+def test_select_target_keeps_order(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    assert prep.select_target(df, "b").columns == ["a", "target", "c"]
 
 
 def test_target_errors(spark):
