@@ -156,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: int
         return none
     share = F.when(F.col("label") == 1, F.lit(max_docs * 1_000_000 // sizes[1] + 1)).otherwise(F.lit(max_docs * 1_000_000 // sizes[0] + 1))
     drawn = usable.filter(F.pmod(F.xxhash64("id", F.lit("lines")), F.lit(1_000_000)) < share)
+    drawn = F.broadcast(drawn)  # about 2 * max_docs rows of an id and a label
     sample = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(drawn, "id").select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
