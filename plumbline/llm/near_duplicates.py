@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import words
 from plumbline.llm.components import components
+from plumbline.llm.key_filters import among, bit_map, bits_of, slot
 from plumbline.session import materialise
 
 #: Classes in one block of a large bucket or cluster.
@@ -269,8 +270,8 @@ def jaccard_join(
     clusters = materialise(clusters.withColumnsRenamed({"node": "cls", "root": "cluster"}).join(classes.drop("signature"), "cls"), "clusters")
 
     # exact comparison: the sets are made again for the classes that are left
-    texts = _packed(docs, id_column, text_column)
     wanted = clusters.select(F.coalesce("first.doc_id", F.lit(-1)).alias("key"), F.col("first.tie").alias("tie"), "cls", "cluster", "size", "weight")
+    texts = _packed(docs, bit_map(wanted, "key", "tie"), id_column, text_column)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -344,14 +345,20 @@ def _common(own: list[np.ndarray], left: np.ndarray, right: np.ndarray | None) -
     return np.rint(out).astype(np.int64)
 
 
-def _packed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _packed(docs: DataFrame, wanted: np.ndarray, id_column: str, text_column: str) -> DataFrame:
+    """key, tie and compressed text of the rows that the bit map lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in words.steps(batches):
+        bitmap = shared.value
+        for whole in batches:
+            batch = whole.filter(pa.array(among(bitmap, whole.column("slot"))))
             texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tie"), pa.array([pack.compress(t) for t in texts], pa.binary())], names=["key", "tie", "packed"])
 
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-1)).alias("key"), F.hash(text_column).alias("tie"), F.col(text_column).alias("text"))
+    rows = rows.withColumn("slot", slot(bits_of(wanted), "key", "tie"))
     return rows.mapInArrow(run, "key long, tie int, packed binary")
 
 
