@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import words
+from plumbline.llm.key_filters import among, bit_map, bits_of, slot
 from plumbline.session import materialise
 
 #: Stands for a null id: no document comes after it.
@@ -38,9 +39,9 @@ def smallest(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def levels(width: int, start: int) -> list[int]:
-    """Lengths from about ``start`` that double up to ``width``."""
-    out = [width]
-    while (out[0] + 1) // 2 >= start:
+    """Lengths from about ``start`` that double up to ``width``; two at least."""
+    out = [(width + 1) // 2, width]
+    while out[0] > 1 and (out[0] + 1) // 2 >= start:
         out.insert(0, (out[0] + 1) // 2)
     return out
 
@@ -56,20 +57,26 @@ def _chosen(hashes: np.ndarray, short: int, long: int) -> np.ndarray:
 
 def _unpacked(texts: pa.Array) -> pa.Array:
     unpack = zstandard.ZstdDecompressor()
-    return pa.array([unpack.decompress(t) for t in texts.to_pylist()], pa.large_binary())
+    return pa.array([None if t is None else unpack.decompress(t) for t in texts.to_pylist()], pa.large_binary())
 
 
-def _packed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """key, tie and the compressed text of each row, in a form that is cheap to shuffle."""
+def _packed(docs: DataFrame, wanted: np.ndarray, keys: tuple[str, ...], id_column: str, text_column: str, *carried: Column) -> DataFrame:
+    """key, tie, compressed text and carried columns of the rows that the bit map of ``keys`` lets through: what a join has to shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    rows = docs.select(_key(id_column).alias("key"), F.hash(text_column).alias("tie"), *carried, F.col(text_column).alias("text"))
+    names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in words.steps(batches):
-            texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tie"), pa.array([pack.compress(t) for t in texts], pa.binary())], names=["key", "tie", "packed"])
+        press = zstandard.ZstdCompressor(level=3)
+        bitmap = shared.value
+        for whole in batches:
+            batch = whole.filter(pa.array(among(bitmap, whole.column("slot"))))
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            column = pa.array([None if t is None else press.compress(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], column], names=[*names, "packed"])
 
-    rows = docs.select(_key(id_column).alias("key"), F.hash(text_column).alias("tie"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "key long, tie int, packed binary")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.withColumn("slot", slot(bits_of(wanted), *keys)).mapInArrow(run, f"{schema}, packed binary")
 
 
 def repeated_spans(docs: DataFrame, width: int = 50, start: int = 25, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -105,10 +112,10 @@ def repeated_spans(docs: DataFrame, width: int = 50, start: int = 25, id_column:
     known = slim.join(firsts, "whole")
     # at each level: which hashes occur under two ids, and in which documents
     pairs = known.filter("key = earliest").select("key", F.explode(F.array_distinct("chosen")).alias("h"))
-    texts = _packed(docs, id_column, text_column)
     for short, long in zip(lengths, lengths[1:], strict=False):
         ends = pairs.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h")
-        marked = pairs.join(ends, "h").groupBy("key").agg(F.collect_set("h").alias("marked"))
+        marked = materialise(pairs.join(ends, "h").groupBy("key").agg(F.collect_set("h").alias("marked")), "substring-marks")
+        texts = _packed(docs, bit_map(marked, "key"), ("key",), id_column, text_column)
         last = long == width
         pairs = texts.join(marked, "key").mapInArrow(_extend(short, long, width, last), "key long, at long, h long, h2 long" if last else "key long, h long")
     earliest = pairs.groupBy("h", "h2").agg(F.min("key").alias("low"))
@@ -188,23 +195,41 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", t
 
     Columns: row (struct of all columns but the text), text, n_words, n_removed. The kept words of a changed text are
     joined by one blank; an unchanged text stays as it is, null included, unless ``join_all``. Every row stays, also
-    one that loses all its words.
+    one that loses all its words. ``spans`` should be a written table, as it is read twice; only rows that may have a
+    span are shuffled.
     """
     others = [c for c in docs.columns if c != text_column]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+    row = (F.struct(*others) if others else F.struct(F.lit(None).alias("nothing"))).alias("row")
+    touched = bit_map(spans.filter(F.size("spans") > 0), "key", "tie")
+    rows = docs.select(_key(id_column).alias("key"), F.hash(text_column).alias("tie"), row, F.col(text_column).alias("text"))
+    row_type = rows.schema["row"].dataType.simpleString()
+    schema = f"row {row_type}, text string, n_words long, n_removed long"
+    shared = docs.sparkSession.sparkContext.broadcast(touched)
+
+    def made(rows: pa.Array, texts: pa.Array, found: words.Words, stay: np.ndarray) -> pa.RecordBatch:
+        counts = found.counts()
+        removed = counts - words.per_text(stay, found.first)
+        if join_all:
+            column = joined_words(found, stay)
+        elif removed.any():
+            column = pc.if_else(pa.array(removed > 0), joined_words(found, stay), texts)
+        else:
+            column = texts
+        return pa.RecordBatch.from_arrays([rows, column.cast(pa.large_string()).cast(pa.string()), pa.array(counts.astype(np.int64)), pa.array(removed.astype(np.int64))], names=["row", "text", "n_words", "n_removed"])
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that have no span for certain; they need no join."""
+        bitmap = shared.value
         for batch in words.steps(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            column = pa.array([None if t is None else press.compress(t) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "tie", "row")], column], names=["key", "tie", "row", "packed"])
+            batch = batch.filter(pa.array(~among(bitmap, batch.column("slot"))))
+            texts = batch.column("text").cast(pa.large_binary())
+            found = words.of(texts)
+            yield made(batch.column("row"), texts, found, np.ones(len(found.starts), bool))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _steps(batches):
-            packed = batch.column("packed")
-            plain = _unpacked(packed.fill_null(_EMPTY))
-            found = words.of(plain)
-            counts = found.counts()
+            texts = _unpacked(batch.column("packed"))
+            found = words.of(texts)
             lists = batch.column("spans")
             offsets = np.asarray(lists.offsets) if len(lists) else np.zeros(1, int)
             flat = lists.flatten()
@@ -212,24 +237,12 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", t
             gone = np.zeros(len(found.starts) + 1, np.int64)
             np.add.at(gone, base + flat.field("begin").to_numpy(), 1)
             np.add.at(gone, base + flat.field("end").to_numpy(), -1)
-            stay = np.cumsum(gone[:-1]) == 0
-            removed = counts - words.per_text(stay, found.first)
-            joined = joined_words(found, stay)
-            column = joined
-            if not join_all:
-                column = pc.if_else(pa.array(removed > 0), joined, plain)
-                column = pc.if_else(packed.is_null(), pa.scalar(None, pa.large_binary()), column)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), column.cast(pa.large_string()).cast(pa.string()), pa.array(counts.astype(np.int64)), pa.array(removed.astype(np.int64))], names=["row", "text", "n_words", "n_removed"])
-
-    row = F.struct(*others) if others else F.struct(F.lit(None).alias("nothing"))
-    rows = docs.select(_key(id_column).alias("key"), F.hash(text_column).alias("tie"), row.alias("row"), F.col(text_column).alias("text"))
-    row_type = rows.schema["row"].dataType.simpleString()
-    packed = rows.mapInArrow(pack, f"key long, tie int, row {row_type}, packed binary")
-    joined = packed.join(spans.select("key", "tie", "spans"), ["key", "tie"])
-    return joined.select("row", "packed", "spans").mapInArrow(cut, f"row {row_type}, text string, n_words long, n_removed long")
-
+            yield made(batch.column("row"), texts, found, np.cumsum(gone[:-1]) == 0)
 
-_EMPTY = zstandard.ZstdCompressor().compress(b"")
+    rest = rows.withColumn("slot", slot(bits_of(touched), "key", "tie")).select("row", "text", "slot").mapInArrow(untouched, schema)
+    packed = _packed(docs, touched, ("key", "tie"), id_column, text_column, row)
+    joined = packed.join(spans.select("key", "tie", "spans"), ["key", "tie"])
+    return rest.unionByName(joined.select("row", "packed", "spans").mapInArrow(cut, schema))
 
 
 def joined_words(found: words.Words, stay: np.ndarray) -> pa.Array:

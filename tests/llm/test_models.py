@@ -94,7 +94,7 @@ def test_code_lengths_are_exact():
 def test_code_lengths_are_those_of_a_distribution():
     grams = pd.DataFrame([(0, k, n) for k, n in ((5, 3), (6, 1), (128 + 7, 2))], columns=["lang", "key", "n"])
     _, cost = language.code_lengths(grams, ["x"], 200, 1000)
-    weight = np.exp2(-cost[0] / language.PART)
+    weight = np.exp2(-cost[0].astype(float) / language.PART)
     # symbol 0 stands for 200 bytes of the same length each
     total = weight[:, 1:].sum(1) + 200 * weight[:, 0]
     assert np.allclose(total, 1, atol=0.01)

@@ -103,7 +103,7 @@ def test_one_document_of_each_group_stays(table, odd_rows):
             blank += 1
     assert blank == sum(not WORD.search(t or "") for _, t, _, _ in rows)
     full = {str(i) for i, t, _, _ in rows if WORD.search(t or "")}
-    assert {str(i) for i in want} == {c for c in classes if c in full}
+    assert {str(i) for i in want} == {c for c in classes if c in full and c != "None"}  # only a blank row has no id in its class
 
 
 def test_posterior_bound():
@@ -174,7 +174,7 @@ def test_unchanged_texts_stay_as_they_are(table, odd_rows, no_rows):
 
 
 def test_levels_double():
-    assert substrings.levels(50, 25) == [25, 50] and substrings.levels(50, 6) == [7, 13, 25, 50] and substrings.levels(3, 9) == [3]
+    assert substrings.levels(50, 25) == [25, 50] and substrings.levels(50, 6) == [7, 13, 25, 50] and substrings.levels(3, 9) == [2, 3] and substrings.levels(1, 1) == [1, 1]
 
 
 def test_smallest_of_neighbours():
@@ -258,9 +258,9 @@ def test_vectors_that_take_no_part(spark, no_rows):
 
 def test_partial_distances_abandon_candidates():
     rng = np.random.default_rng(6)
-    x = rng.standard_normal((3000, 64))
+    x = rng.standard_normal((3000, 64)) + 2 * rng.standard_normal((30, 64))[rng.integers(0, 30, 3000)]
     scanner = neighbours.Scanner(x, x, np.arange(3000), 16, 2.1)
     at, square = scanner.best(x[5] + 0.01, x[5] + 0.01, -1, 10, float("inf"))
     exact = ((x - x[5] - 0.01) ** 2).sum(1)
-    assert at[0] == 5 and np.allclose(square, exact[at]) and scanner.scanned < 0.9 * x.size
+    assert at[0] == 5 and np.allclose(square, exact[at]) and scanner.scanned < 0.5 * x.size
     assert len(set(at) & set(np.argsort(exact)[:10])) >= 9
