@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import words
 from plumbline.llm.tokens import per_worker
+from plumbline.session import materialise
 
 
 class FrequentWords:
@@ -49,7 +51,7 @@ class FrequentWords:
 class Counter:
     """Tokens of each text: first the broadcast table, then the worker's own, then the library."""
 
-    def __init__(self, model: bytes, table: tuple[bytes, bytes], limit: int = 400_000) -> None:
+    def __init__(self, model: bytes, table: tuple[bytes, bytes], limit: int = 150_000) -> None:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         lengths, joined = table
         entries = joined.split(b" ") if joined else []
@@ -113,6 +115,18 @@ def independent_words(model: bytes) -> bool:
     return plain and not any("▁" in p.piece.lstrip("▁") or p.type == 4 for p in proto.pieces)
 
 
+def _least_count(counted: DataFrame, most: int) -> int:
+    """The smallest power of 2 ** (1 / 8) that at most ``most`` counts reach."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    total, least = 0, None
+    for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred rows at most
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    return 1 << 62 if least is None else math.ceil(2 ** (least / 8) - 1e-9)
+
+
 def count_tokens(
     docs: DataFrame,
     model: bytes,
@@ -123,8 +137,8 @@ def count_tokens(
 ) -> DataFrame:
     """Columns doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every whole text.
 
-    First pass: each partition counts its words with a bounded number of counters, and the ``frequent`` words with the
-    highest sums become a broadcast table of token lengths (bounded by ``frequent``, words of at most 64 bytes).
+    First pass: each partition counts its words with a bounded number of counters, and the words with the highest sums, at
+    most ``frequent``, become a broadcast table of token lengths (words of at most 64 bytes).
     Second pass: words in the table are looked up, others go through a bounded cache of the worker to the library. Words
     are never shuffled beyond the counters of a partition, and the table affects speed only.
 
@@ -147,7 +161,8 @@ def count_tokens(
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(top), pa.binary()), "n": pa.array(list(top.values()), pa.int64())})
 
         counted = source.select("text").mapInArrow(sketch, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        table = [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(frequent).collect()]
+        counted = materialise(counted, "word-counts")
+        table = [bytes(r.word) for r in counted.filter(F.col("n") >= _least_count(counted, frequent)).orderBy("word").collect()]
         sizes = Counter(model, (b"", b"")).sizes(table)
         joined, lengths = b" ".join(table), bytes(min(n, 255) for n in sizes)
     shared = spark.sparkContext.broadcast((model, lengths, joined))
