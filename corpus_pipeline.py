@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, mixing, near_duplicates, packing, substrings
+from plumbline.llm import language, mixing, near_duplicates, packing, substrings, words
 from plumbline.llm.queries import END_ID, documents, op9_digest, word_bpe
 from plumbline.session import materialise
 
@@ -21,6 +21,7 @@ LEAST_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: those that get ``und`` or a posterior below ``LEAST_SCORE`` go."""
+    words.small_batches(spark)
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     predicted = language.predict(rows, language.fit(docs), keep=["row"])
     return predicted.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
@@ -28,11 +29,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similarity 0.8 or more connect: the one with the smallest id."""
+    words.small_batches(spark)
     return near_duplicates.keep_first(docs, materialise(near_duplicates.jaccard_join(docs), "near-duplicates"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that a document with a smaller id has; n_chars follows the text."""
+    words.small_batches(spark)
     cut = substrings.remove_spans(docs, materialise(substrings.repeated_spans(docs), "repeated-spans"))
     changed = F.col("n_removed") > 0
     columns = []
@@ -51,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all sequences, as ``op9_packing`` gives them."""
+    words.small_batches(spark)
     return op9_digest(packing.pack(docs, word_bpe(), END_ID))
 
 

@@ -261,6 +261,7 @@ def jaccard_join(
             moved = np.flatnonzero(root != np.arange(a, b))
             a_out.append(cls[root[moved]])
             b_out.append(cls[a + moved])
+        words.release()
         return pa.table({"a": np.concatenate(a_out), "b": np.concatenate(b_out)})
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shared.count() // 20_000))
@@ -309,6 +310,7 @@ def jaccard_join(
             out["cls"].append(cls[a:b])
             out["links"].append(links)
             out["root"].append(cls[a + roots(b - a, left[i], other[j])])
+        words.release()
         return pa.table({k: np.concatenate(v) for k, v in out.items()})
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(clusters.count() // 400))

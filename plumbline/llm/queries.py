@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm import language, line_rules, mixing, near_duplicates, neighbours, packing, quality, substrings, token_counts, token_files
+from plumbline.llm import language, line_rules, mixing, near_duplicates, neighbours, packing, quality, substrings, token_counts, token_files, words
 from plumbline.session import materialise
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ def query(run: Run) -> Run:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
+    words.small_batches(spark)
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 

@@ -19,9 +19,13 @@ from plumbline.llm import words
 
 
 def per_worker(key: str, make: Callable[[], Any]) -> Any:
-    """One object per worker process. It hangs on an installed module, because this package travels by value with each task."""
+    """The object of this key in this worker process, kept until another key is asked for, so that one is held at a time.
+
+    It hangs on an installed module, because this package travels by value with each task.
+    """
     kept = vars(tokenizers).setdefault("_kept_by_worker", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 
@@ -32,7 +36,7 @@ class WordIds:
     ``limit`` bounds the words that are remembered; beyond it the table starts again, which costs time only.
     """
 
-    def __init__(self, definition: str, limit: int = 300_000) -> None:
+    def __init__(self, definition: str, limit: int = 150_000) -> None:
         self.library = tokenizers.Tokenizer.from_str(definition)
         self.library.no_padding()
         self.library.no_truncation()
@@ -93,7 +97,8 @@ class WordIds:
         new = np.flatnonzero(rows < 0)
         if len(new):
             rows[new] = len(self.known) + np.arange(len(new))
-            self._learn(distinct[new].tolist())
+            for at in range(0, len(new), 10_000):  # the library's results take far more room than the ids
+                self._learn(distinct[new[at : at + 10_000]].tolist())
         # one list of ids for each distinct piece, and one more that holds the end
         ends = [] if end_id is None else [end_id]
         size = np.concatenate([self.first[rows + 1] - self.first[rows], [len(ends)]])

@@ -6,18 +6,39 @@ return. A null text has no words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Bytes of text that one vectorised step handles, so that its working arrays stay small.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_000_000
+
+
+#: Rows of one Arrow batch between Spark and a worker, so that neither holds many texts at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most ``BATCH_ROWS`` rows; Spark's own default suits rows of numbers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives memory that allocators hold in reserve back to the system, as workers live longer than tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -31,6 +52,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", step_bytes: i
             upto = max(at + 1, int(np.searchsorted(total, before + step_bytes, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+    release()
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
