@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 MOST_BITS = 1 << 26
 
 
+def text_key(text_column: str) -> Column:
+    """128 bits that tell texts apart; a null text counts as an empty one. Rows of one id are the same text if these are equal."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit(""))))
+
+
 def slot(bits: int, *keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(bits))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import words
 from plumbline.llm.components import components
-from plumbline.llm.key_filters import among, bit_map, bits_of, slot
+from plumbline.llm.key_filters import among, bit_map, bits_of, slot, text_key
 from plumbline.session import materialise
 
 #: Classes in one block of a large bucket or cluster.
@@ -172,7 +172,7 @@ class Pruner:
 
 
 def _documents(docs: DataFrame, ngram: int, size: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, tie, cls (hash of the set of n-grams, null without words), n (size of the set) and signature of each row."""
+    """doc_id, tie (128 bits of the text), cls (hash of the set of n-grams, null without words), n (size of the set) and signature of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.steps(batches):
@@ -190,8 +190,8 @@ def _documents(docs: DataFrame, ngram: int, size: int, id_column: str, text_colu
                 lists[k] = v.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(cls, mask=n == 0), pa.array(n.astype(np.int64)), pa.array(lists, pa.binary())], names=["doc_id", "tie", "cls", "n", "signature"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.hash(text_column).alias("tie"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tie int, cls long, n long, signature binary")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text_column).alias("tie"), F.col(text_column).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, tie binary, cls long, n long, signature binary")
 
 
 def jaccard_join(
@@ -205,7 +205,7 @@ def jaccard_join(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, tie (hash of the text), class_id, n_links, n_shingles.
+    """One row per document: doc_id, tie (128 bits of the text), class_id, n_links, n_shingles.
 
     Two documents are linked if the Jaccard similarity of their sets of runs of ``ngram`` words (a shorter text is one run) is at
     least ``threshold``; n_links counts the documents that a document is linked with, copies included. class_id is the
@@ -218,7 +218,7 @@ def jaccard_join(
     """
     spark = docs.sparkSession
     every = materialise(_documents(docs, ngram, bands * rows, id_column, text_column), "shingled")
-    # one row per class; a document that stands for it is found again by its id and the hash of its text
+    # one row per class; a document that stands for it is found again by its id and 128 bits of its text
     classes = every.filter("cls is not null").groupBy("cls")
     classes = classes.agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "tie")).alias("first"), F.min("doc_id").alias("least"), F.first("signature").alias("signature"))
     classes = materialise(classes, "classes")
@@ -359,23 +359,23 @@ def _packed(docs: DataFrame, wanted: np.ndarray, id_column: str, text_column: st
             texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tie"), pa.array([pack.compress(t) for t in texts], pa.binary())], names=["key", "tie", "packed"])
 
-    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-1)).alias("key"), F.hash(text_column).alias("tie"), F.col(text_column).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-1)).alias("key"), text_key(text_column).alias("tie"), F.col(text_column).alias("text"))
     rows = rows.withColumn("slot", slot(bits_of(wanted), "key", "tie"))
-    return rows.mapInArrow(run, "key long, tie int, packed binary")
+    return rows.mapInArrow(run, "key long, tie binary, packed binary")
 
 
 def keep_first(docs: DataFrame, joined: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents of which no class member has a smaller id: one of each class, and all without a class.
 
     Of repeated rows of that id one stays; of rows with that id and different texts in one class, the one with the smallest
-    hash of the text. Classes without any id count as one. Texts without words all stay.
+    tie. Classes without any id count as one. Texts without words all stay.
     """
     no_id = F.lit(1 << 62)
     first = joined.filter(F.col("n_shingles") > 0).groupBy(F.coalesce("class_id", no_id).alias("class")).agg(F.min(F.struct(F.coalesce("doc_id", no_id).alias("id"), "tie")).alias("first"))
     chosen = first.select(F.col("first.id").alias("_id"), F.col("first.tie").alias("_tie"), F.lit(True).alias("_one"))
     blank = joined.filter(F.col("n_shingles") == 0).select(F.coalesce("doc_id", no_id).alias("_id"), F.col("tie").alias("_tie"), F.lit(False).alias("_one"))
     stay = chosen.unionByName(blank).groupBy("_id", "_tie").agg(F.max("_one").alias("_one"))
-    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_column).cast("long"), no_id).alias("_id"), F.hash(text_column).alias("_tie"))
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_column).cast("long"), no_id).alias("_id"), text_key(text_column).alias("_tie"))
     kept = rows.join(stay, ["_id", "_tie"]).withColumn("_number", F.when(~F.col("_one"), F.monotonically_increasing_id()))
     return kept.dropDuplicates(["_id", "_tie", "_number"]).select("_row.*")
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import words
-from plumbline.llm.key_filters import among, bit_map, bits_of, slot
+from plumbline.llm.key_filters import among, bit_map, bits_of, slot, text_key
 from plumbline.session import materialise
 
 #: Stands for a null id: no document comes after it.
@@ -63,7 +63,7 @@ def _unpacked(texts: pa.Array) -> pa.Array:
 def _packed(docs: DataFrame, wanted: np.ndarray, keys: tuple[str, ...], id_column: str, text_column: str, *carried: Column) -> DataFrame:
     """key, tie, compressed text and carried columns of the rows that the bit map of ``keys`` lets through: what a join has to shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
-    rows = docs.select(_key(id_column).alias("key"), F.hash(text_column).alias("tie"), *carried, F.col(text_column).alias("text"))
+    rows = docs.select(_key(id_column).alias("key"), text_key(text_column).alias("tie"), *carried, F.col(text_column).alias("text"))
     names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +82,13 @@ def _packed(docs: DataFrame, wanted: np.ndarray, keys: tuple[str, ...], id_colum
 def repeated_spans(docs: DataFrame, width: int = 50, start: int = 25, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Word ranges that are covered by a window of ``width`` words which also starts in a document with a smaller id.
 
-    One row for each distinct (id, text): key (the id, the largest long for null), tie (a hash of the text that tells
-    rows with equal ids apart), n_words, and spans, an array of (begin, end) word numbers. A null text has no words. A
+    One row for each distinct (id, text): key (the id, the largest long for null), tie (128 bits of the text, which
+    tell rows with equal ids apart), n_words, and spans, an array of (begin, end) word numbers. A null text has no words. A
     null id comes after all others. Rows with equal ids don't count against each other. Ids must be whole numbers.
     An empty table gives no rows.
 
-    Whole copies of a text are settled by a hash of the text, and only the one with the smallest id goes through the
+    Marks, windows and spans belong to a (key, tie), never to an id alone, so what is gathered for a row is bounded by its
+    own text. Whole copies of a text are settled by its tie, and only the one with the smallest id goes through the
     levels. Windows are compared by 64-bit hashes at the levels below ``width`` and by 128 bits at the last.
     """
     lengths = levels(width, start)
@@ -104,25 +105,26 @@ def repeated_spans(docs: DataFrame, width: int = 50, start: int = 25, id_column:
             change[1:] = (picked[1:] != picked[:-1]) | (owner[1:] != owner[:-1])
             ends = np.searchsorted(owner[change], np.arange(batch.num_rows + 1))
             lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(picked[change])).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "tie", "whole")], pa.array(found.counts().astype(np.int64)), lists], names=["key", "tie", "whole", "n_words", "chosen"])
-
-    rows = docs.select(_key(id_column).alias("key"), F.hash(text_column).alias("tie"), F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit("")))).alias("whole"), F.col(text_column).alias("text"))
-    slim = materialise(rows.mapInArrow(begin, "key long, tie int, whole binary, n_words long, chosen array<long>"), "substring-windows")
-    firsts = slim.groupBy("whole").agg(F.min("key").alias("earliest"))
-    known = slim.join(firsts, "whole")
-    # at each level: which hashes occur under two ids, and in which documents
-    pairs = known.filter("key = earliest").select("key", F.explode(F.array_distinct("chosen")).alias("h"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "tie")], pa.array(found.counts().astype(np.int64)), lists], names=["key", "tie", "n_words", "chosen"])
+
+    rows = docs.select(_key(id_column).alias("key"), text_key(text_column).alias("tie"), F.col(text_column).alias("text"))
+    slim = materialise(rows.mapInArrow(begin, "key long, tie binary, n_words long, chosen array<long>"), "substring-windows")
+    firsts = slim.groupBy("tie").agg(F.min("key").alias("earliest"))
+    known = slim.join(firsts, "tie")
+    # at each level: which hashes occur under two ids, and in which texts
+    pairs = known.filter("key = earliest").select("key", "tie", F.explode(F.array_distinct("chosen")).alias("h"))
     for short, long in zip(lengths, lengths[1:], strict=False):
         ends = pairs.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("h")
-        marked = materialise(pairs.join(ends, "h").groupBy("key").agg(F.collect_set("h").alias("marked")), "substring-marks")
-        texts = _packed(docs, bit_map(marked, "key"), ("key",), id_column, text_column)
+        marked = materialise(pairs.join(ends, "h").groupBy("key", "tie").agg(F.collect_set("h").alias("marked")), "substring-marks")
+        # repeated rows are one text
+        texts = _packed(docs, bit_map(marked, "key", "tie"), ("key", "tie"), id_column, text_column).dropDuplicates(["key", "tie"])
         last = long == width
-        pairs = texts.join(marked, "key").mapInArrow(_extend(short, long, width, last), "key long, at long, h long, h2 long" if last else "key long, h long")
+        pairs = texts.join(marked, ["key", "tie"]).mapInArrow(_extend(short, long, width, last), "key long, tie binary, at int, h long, h2 long" if last else "key long, tie binary, h long")
     earliest = pairs.groupBy("h", "h2").agg(F.min("key").alias("low"))
     later = pairs.join(earliest, ["h", "h2"]).filter("key > low")
-    starts = later.groupBy("key", F.shiftright("at", 32).cast("int").alias("tie")).agg(F.collect_list(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")).alias("starts"))
+    starts = later.groupBy("key", "tie").agg(F.collect_list("at").alias("starts"))
     every = known.groupBy("key", "tie").agg(F.first("n_words").alias("n_words"), F.max(F.col("key") > F.col("earliest")).alias("copy"))
-    return every.join(starts, ["key", "tie"], "left").mapInArrow(_spans(width), "key long, tie int, n_words long, spans array<struct<begin: long, end: long>>")
+    return every.join(starts, ["key", "tie"], "left").mapInArrow(_spans(width), "key long, tie binary, n_words long, spans array<struct<begin: long, end: long>>")
 
 
 def _extend(short: int, long: int, width: int, last: bool):  # noqa: ANN202
@@ -147,19 +149,17 @@ def _extend(short: int, long: int, width: int, last: bool):  # noqa: ANN202
             hit = words.whole(found.first, width, len(chosen))
             hit &= wanted[np.minimum(at, len(wanted) - 1)] == asked if len(wanted) else False
             begins = np.flatnonzero(hit)
-            keys = batch.column("key").to_numpy()
+            own = owner[begins]
             if last:
-                ties = batch.column("tie").to_numpy().astype(np.int64)
                 one = words.window_hashes(hashes, width)[begins].view(np.int64)
                 two = words.window_hashes(found.hashes(1), width)[begins].view(np.int64)
-                own = owner[begins]
-                place = ties[own] << 32 | (begins - found.first[own])
-                columns = {"key": keys[own], "at": place, "h": one, "h2": two}
+                columns = {"at": (begins - found.first[own]).astype(np.int32), "h": one, "h2": two}
             else:
-                next_chosen = _chosen(hashes, long, width)[begins].view(np.int64)
-                columns = {"key": keys[owner[begins]], "h": next_chosen}
+                columns = {"h": _chosen(hashes, long, width)[begins].view(np.int64)}
             for k in range(0, len(begins), 200_000):
-                yield pa.RecordBatch.from_pydict({c: pa.array(v[k : k + 200_000]) for c, v in columns.items()})
+                of = pa.array(own[k : k + 200_000])
+                names = {c: batch.column(c).take(of) for c in ("key", "tie")}
+                yield pa.RecordBatch.from_pydict(names | {c: pa.array(v[k : k + 200_000]) for c, v in columns.items()})
 
     return run
 
@@ -201,7 +201,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", t
     others = [c for c in docs.columns if c != text_column]
     row = (F.struct(*others) if others else F.struct(F.lit(None).alias("nothing"))).alias("row")
     touched = bit_map(spans.filter(F.size("spans") > 0), "key", "tie")
-    rows = docs.select(_key(id_column).alias("key"), F.hash(text_column).alias("tie"), row, F.col(text_column).alias("text"))
+    rows = docs.select(_key(id_column).alias("key"), text_key(text_column).alias("tie"), row, F.col(text_column).alias("text"))
     row_type = rows.schema["row"].dataType.simpleString()
     schema = f"row {row_type}, text string, n_words long, n_removed long"
     shared = docs.sparkSession.sparkContext.broadcast(touched)

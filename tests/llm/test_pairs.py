@@ -164,6 +164,37 @@ def test_removed_words_equal_brute_force(table, odd_rows, width, start):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["s"]) for r in got) == removed_by_force(rows, width)
 
 
+def equal_hashes(spark, left, right):
+    """Two texts of equal 32-bit ``F.hash``: the words of ``left`` and of ``right``, each with a number behind them."""
+    ids = spark.range(200_000).select(F.col("id").cast("string").alias("id"))
+    a, b = (ids.select(F.concat(F.lit(t + " "), "id").alias(n)).withColumn("h", F.hash(n)) for t, n in ((left, "a"), (right, "b")))
+    found = a.join(b, "h").orderBy("a", "b").first()
+    return found["a"], found["b"]
+
+
+def test_texts_under_one_id_are_told_apart_by_more_than_32_bits(spark, table, monkeypatch):
+    rng = random.Random(31)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, other = text(60), text(75)
+    pair = equal_hashes(spark, passage, other)
+    marks = []
+    keep = substrings.materialise
+    monkeypatch.setattr(substrings, "materialise", lambda df, label: marks.append(keep(df, label)) or marks[-1])
+    for i in (None, 50):
+        rows = [(1, passage + " " + text(9), "en", "a"), *[(i, t, "en", "a") for t in pair], *[(i, f"{passage} {text(30)}", "en", "a") for _ in range(40)]]
+        rows.append((2, other + " and its near copy", "en", "a"))
+        docs = table(rows)
+        marks.clear()
+        cut = substrings.remove_spans(docs, substrings.repeated_spans(docs), join_all=True)
+        got = cut.select("row.doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("s")).collect()
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["s"]) for r in got) == removed_by_force(rows, 50)
+        # what is gathered for a text holds no marks of the other texts under its id
+        together = marks[-1].filter("key > 2").agg(F.count("*").alias("n"), F.sum(F.size("marked")).alias("all"), F.max(F.size("marked")).alias("most")).first()
+        assert together["n"] == 42 and together["most"] * 10 < together["all"]
+        joined = near_duplicates.jaccard_join(docs).select("doc_id", "class_id", "n_links").collect()
+        assert sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in joined) == joined_by_force(rows)
+
+
 def test_unchanged_texts_stay_as_they_are(table, odd_rows, no_rows):
     docs = table(odd_rows)
     cut = substrings.remove_spans(docs, substrings.repeated_spans(docs)).collect()
