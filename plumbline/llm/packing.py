@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -76,6 +78,11 @@ def cut(pieces: list[tuple[object, int, int]], sizes: Iterator[int]) -> Iterator
                 room, run = next(sizes, 0), []
 
 
+def checksum(ids: bytes, width: int) -> int:
+    """Unsigned crc32 of ids of ``width`` bytes, as if each had 4."""
+    return zlib.crc32(ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes())
+
+
 def pack(
     docs: DataFrame,
     definition: str,
@@ -89,7 +96,8 @@ def pack(
     """Sequences of at most ``window`` tokens, one row per piece of a document.
 
     Columns: doc_id, start (ids of the document before the piece), length, doc_tokens, sequence_id, offset (place in the
-    sequence), ids (bytes of little-endian unsigned 16-bit numbers, or 32-bit with ``id_width`` 4 where one needs more).
+    sequence), ids (bytes of little-endian unsigned 16-bit numbers, or 32-bit with ``id_width`` 4 where one needs more),
+    ids_crc32 (unsigned, of the ids as 32-bit numbers).
 
     Each partition of ``docs`` keeps ``slots`` open windows. A document goes to the open window with the least room that
     takes it whole, or to a new one; if there is none, the fullest window is emitted, filled up first with the
@@ -105,7 +113,7 @@ def pack(
     text = docs.sparkSession.sparkContext.broadcast(definition)
     id_field = docs.schema[id_column].dataType.simpleString()
     schema = T.StructType.fromDDL(
-        f"doc_id {id_field}, start long, length long, doc_tokens long, sequence_id long, offset long, id_width int, ids binary, part int, open boolean"
+        f"doc_id {id_field}, start long, length long, doc_tokens long, sequence_id long, offset long, id_width int, ids binary, ids_crc32 long, part int, open boolean"
     )
 
     def rows_of(windows: list[list], first: int, part: int, is_open: bool) -> Iterator[tuple]:
@@ -114,7 +122,8 @@ def pack(
             for (doc, n, wide, ids, shift), start, length in pieces:
                 # ids of the piece lie ``shift`` ids into the document
                 at = (start - shift) * wide
-                yield doc, start, length, n, first + k, offset, wide, ids[at : at + length * wide], part, is_open
+                own = bytes(ids[at : at + length * wide])
+                yield doc, start, length, n, first + k, offset, wide, own, checksum(own, wide), part, is_open
                 offset += length
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -140,10 +149,10 @@ def pack(
             for pieces in packer.held.values():  # what waits keeps no more than its own ids
                 pieces[:] = [((d, n, w, bytes(x[(s - shift) * w : (s - shift + size) * w]), s) if isinstance(x, memoryview) else (d, n, w, x, shift), s, size) for (d, n, w, x, shift), s, size in pieces]
             for at in range(0, len(rows), 2000):
-                yield batch_of([(*r[:7], bytes(r[7]), *r[8:]) for r in rows[at : at + 2000]])
+                yield batch_of(rows[at : at + 2000])
         left = list(rows_of(packer.rest(), base + made, part, True))
         if left:
-            yield batch_of([(*r[:7], bytes(r[7]), *r[8:]) for r in left])
+            yield batch_of(left)
 
     def merge(last: bool, level: int):  # noqa: ANN202
         def run(key: tuple, group: pa.Table) -> pa.Table:

@@ -5,22 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.llm import language, line_rules, mixing, near_duplicates, neighbours, packing, quality, substrings, token_counts, token_files, words
+from plumbline.llm import language, line_rules, mixing, near_duplicates, neighbours, packing, quality, substrings, swap_packing, token_counts, token_files, words
 from plumbline.session import materialise
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
 ORACLES: dict[str, str] = {}
 
-#: Id that ends each document in files and sequences.
+#: Ids that end each document, by the vocabulary of the query.
 END_ID = 2
+SWAP_END_ID = 0
 
 
 def query(run: Run) -> Run:
@@ -33,13 +31,12 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def word_bpe() -> str:
-    return Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+def definition(name: str) -> str:
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
-@F.pandas_udf(T.BinaryType())
-def as_32_bits(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda x: np.frombuffer(x, "<u2").astype("<u4").tobytes())
+def word_bpe() -> str:
+    return definition("word_bpe_49k.json")
 
 
 @query
@@ -95,9 +92,7 @@ def op8_line_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_digest(packed: DataFrame) -> DataFrame:
-    # ids of this vocabulary fit in 16 bits; other widths pass as they are
-    wide = F.when(F.col("id_width") == 2, as_32_bits("ids")).otherwise(F.col("ids"))
-    return packed.select("doc_id", "start", "length", F.crc32(wide).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query
@@ -114,3 +109,9 @@ def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["op10_substrings"] = substrings.SUBSTRING_SQL
+
+
+@query
+def op11_swap_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = swap_packing.pack_whole(documents(spark, sf), definition("byte_bpe_50k.json"), SWAP_END_ID)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

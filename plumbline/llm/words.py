@@ -112,14 +112,37 @@ def pieces(texts: pa.Array) -> Words:
     raw, bounds = utf8(texts)
     if not np.any((raw[:-1] == ord("<")) & (raw[1:] == ord("|"))):
         raw = _LOWER[raw]
-    letter = _LETTER[raw]
-    # U+00C0 to U+00FF without the two signs among them
-    letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    letter = _letters(raw)
     cut = np.zeros(len(raw), dtype=bool)
     cut[1:] = letter[:-1] & _MARK[raw[1:]]
     return split(raw, bounds, cut)
 
 
+def spaced_pieces(texts: pa.Array) -> Words:
+    """Pieces that together are the whole texts: white space stands before the word that follows it.
+
+    A text is cut before white space that follows anything but white space, and before a mark that follows a letter.
+    """
+    raw, bounds = utf8(texts)
+    blank = BLANK[raw]
+    wide = np.zeros(len(raw), dtype=bool)  # last bytes of white space beyond ASCII; some other characters' too, which only cuts less
+    wide[1:] = (raw[:-1] == 0xC2) & ((raw[1:] == 0x85) | (raw[1:] == 0xA0))
+    if len(raw) > 2:
+        lead, mid, tail = raw[:-2], raw[1:-1], raw[2:]
+        wide[2:] |= ((lead == 0xE1) & (mid == 0x9A)) | ((lead == 0xE2) & (mid >= 0x80) & (mid <= 0x81)) | ((lead == 0xE3) & (mid == 0x80) & (tail == 0x80))
+    letter = _letters(raw)
+    cut = np.zeros(len(raw), dtype=bool)
+    cut[1:] = (blank[1:] & ~blank[:-1] & ~wide[:-1]) | (letter[:-1] & _MARK[raw[1:]])
+    return split(raw, bounds, cut, np.zeros(len(raw), dtype=bool))
+
+
+def _letters(raw: np.ndarray) -> np.ndarray:
+    """ASCII letters, and the last bytes of U+00C0 to U+00FF without the two signs among them."""
+    letter = _LETTER[raw]
+    letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    return letter
+
+
 def of(texts: pa.Array) -> Words:
     return split(*utf8(texts))
 
