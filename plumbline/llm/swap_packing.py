@@ -26,8 +26,11 @@ from plumbline.session import materialise
 #: Partitions whose open windows meet in one task of a merge.
 FAN_IN = 64
 
+#: Candidates of each kind of step that one look over the takers may bring.
+AT_ONCE = 32
+
 #: Documents of one window, longest first, that a search joins to pairs. Shorter ones take part one by one.
-PAIRED = 48
+PAIRED = 16
 
 
 def best_fit(lengths: Sequence[int], window: int) -> list[list[int]]:
@@ -60,7 +63,7 @@ class Search:
     """Local search over the underfull windows of a start arrangement; ``windows`` holds the result."""
 
     def __init__(self, lengths: Sequence[int], windows: list[list[int]], window: int) -> None:
-        self.lengths, self.window = np.asarray(lengths, np.int64), window
+        self.lengths, self.window = np.asarray(lengths, np.int32), window
         self.windows = [list(w) for w in windows]
         self.fill = np.array([self.lengths[w].sum() for w in self.windows], np.int64)
         self.steps = 0
@@ -73,12 +76,16 @@ class Search:
         return self.known[w]
 
     def run(self) -> list[list[int]]:
-        """Steps until none increases the sum of squared fills, emptiest windows as givers first."""
+        """Steps until none increases the sum of squared fills, emptiest windows as givers first.
+
+        All free room together can empty so many windows and no more; only these, the emptiest, give.
+        """
         moved = True
         while moved:
             moved = False
             open_ones = [w for w in np.argsort(self.fill, kind="stable").tolist() if 0 < self.fill[w] < self.window]
-            for k, giver in enumerate(open_ones):
+            room = sum(self.window - int(self.fill[w]) for w in open_ones)
+            for k, giver in enumerate(open_ones[: -(-room // self.window)]):
                 takers = [w for w in open_ones[k + 1 :] if self.fill[giver] <= self.fill[w] < self.window]
                 while self.fill[giver] and takers and self._step(giver, takers):
                     moved = True
@@ -86,58 +93,65 @@ class Search:
         return [w for w in self.windows if w]
 
     def _step(self, giver: int, takers: list[int]) -> bool:
-        """The step from ``giver`` to one of ``takers`` that increases the sum of squared fills most; False if there is none."""
+        """Steps from ``giver`` to some of ``takers`` that each increase the sum of squared fills, the best ones first; False if none does.
+
+        Several are taken at a time where they concern different takers and different documents of the giver: as its fill
+        falls, the others gain more than was computed.
+        """
         sizes, sums, pair_a, pair_b = self._of(giver)
         order, pair_order = np.argsort(sizes, kind="stable"), np.argsort(sums, kind="stable")
-        gives = [(sizes[order], [(int(i),) for i in order]), (sums[pair_order], None)]
+        gives = [sizes[order], sums[pair_order]]
         parts = [self._of(w) for w in takers]
         fills = self.fill[takers]
-        singles = [p[0] for p in parts]
-        pairs = [p[1] for p in parts]
-        of_single = np.repeat(np.arange(len(takers)), [len(s) for s in singles])
-        of_pair = np.repeat(np.arange(len(takers)), [len(s) for s in pairs])
+        singles, pairs = [p[0] for p in parts], [p[1] for p in parts]
         # what a taker gives back: nothing, one document or two; two for two is not tried
+        every = np.arange(len(takers))
         backs = [
-            (np.arange(len(takers)), np.zeros(len(takers), np.int64), (0, 1)),
-            (of_single, np.concatenate(singles), (0, 1)),
-            (of_pair, np.concatenate(pairs), (0,)),
+            (every, np.zeros(len(takers), np.int32), (0, 1)),
+            (np.repeat(every, [len(s) for s in singles]), np.concatenate(singles), (0, 1)),
+            (np.repeat(every, [len(s) for s in pairs]), np.concatenate(pairs), (0,)),
         ]
-        best = (0, 0, 0, 0, 0)
+        found: list[tuple[int, int, int, int, int]] = []
         for kind, (whose, back, kinds) in enumerate(backs):
-            if not len(whose):
-                continue
             room = back + (self.window - fills[whose])
             for give in kinds:
-                values = gives[give][0]
-                if not len(values):
+                values = gives[give]
+                if not len(values) or not len(whose):
                     continue
                 at = np.searchsorted(values, room, side="right") - 1
                 more = np.where(at >= 0, values[at] - back, 0)
                 gain = np.where(more > 0, more * (fills[whose] - self.fill[giver] + more), 0)
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (int(gain[k]), kind, give, k, int(at[k]))
-        if not best[0]:
-            return False
-        _, kind, give, k, at = best
-        whose = int(backs[kind][0][k])
-        taker = takers[whose]
-        given = gives[0][1][at] if give == 0 else (int(pair_a[pair_order[at]]), int(pair_b[pair_order[at]]))
-        returned: tuple[int, ...] = ()
-        if kind:
-            own = k - int(np.searchsorted(backs[kind][0], whose))
-            returned = (own,) if kind == 1 else (int(parts[whose][2][own]), int(parts[whose][3][own]))
+                best = np.argpartition(-gain, min(AT_ONCE, len(gain)) - 1)[:AT_ONCE]
+                found.extend((int(gain[k]), kind, give, int(k), int(at[k])) for k in best if gain[k] > 0)
+        used: set[int] = set()
+        served: set[int] = set()
+        for _, kind, give, k, at in sorted(found, key=lambda f: (-f[0], f[1:])):
+            whose = int(backs[kind][0][k])
+            given = (int(order[at]),) if give == 0 else (int(pair_a[pair_order[at]]), int(pair_b[pair_order[at]]))
+            if whose in served or used.intersection(given):
+                continue
+            returned: tuple[int, ...] = ()
+            if kind:
+                own = k - int(np.searchsorted(backs[kind][0], whose))
+                returned = (own,) if kind == 1 else (int(parts[whose][2][own]), int(parts[whose][3][own]))
+            served.add(whose)
+            used.update(given)
+            self._exchange(giver, takers[whose], given, returned)
+        # what was given leaves the giver last, so that places in it stay valid meanwhile
+        self.windows[giver] = [x for i, x in enumerate(self.windows[giver]) if i not in used]
+        self.known.pop(giver, None)
+        return bool(used)
+
+    def _exchange(self, giver: int, taker: int, given: tuple[int, ...], returned: tuple[int, ...]) -> None:
         a, b = self.windows[giver], self.windows[taker]
         out, back = [a[i] for i in given], [b[i] for i in returned]
-        self.windows[giver] = [x for i, x in enumerate(a) if i not in given] + back
+        a.extend(back)
         self.windows[taker] = [x for i, x in enumerate(b) if i not in returned] + out
         more = int(self.lengths[out].sum() - self.lengths[back].sum())
         self.fill[giver] -= more
         self.fill[taker] += more
-        self.known.pop(giver, None)
         self.known.pop(taker, None)
         self.steps += 1
-        return True
 
 
 def arrange(lengths: Sequence[int], window: int) -> list[list[int]]:
@@ -158,7 +172,7 @@ def pack_whole(
     definition: str,
     end_id: int,
     window: int = 2048,
-    pool_tokens: int = 4_000_000,
+    pool_tokens: int = 2_000_000,
     carried: int = 64,
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -237,6 +251,7 @@ def pack_whole(
                 made += len(done)
                 pool = [p for w in rest for p in w]
                 waiting = sum(map(_length, pool))
+                words.release()
         done, rest = settled(pool, carried)
         yield from batches_of(done, made, part, False)
         yield from batches_of(rest, made + len(done), part, True)
