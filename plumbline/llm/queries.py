@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, line_rules, mixing, near_duplicates, neighbours, packing, quality, substrings, swap_packing, token_counts, token_files, words
+from plumbline.llm import language, line_rules, mixing, near_duplicates, neighbours, packing, prefix_trie, quality, substrings, swap_packing, token_counts, token_files, whitening, words
 from plumbline.session import materialise
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,13 @@ ORACLES["op10_substrings"] = substrings.SUBSTRING_SQL
 def op11_swap_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = swap_packing.pack_whole(documents(spark, sf), definition("byte_bpe_50k.json"), SWAP_END_ID)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf}/embeddings.parquet"))
