@@ -61,7 +61,37 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round(out.select("dmu", "composite_score"), ["composite_score"])
 
 
-@query("dea_ccr")
+# Every vertex of each unit's weights. With v2 = (1 - v1 * in_qty) / in_lines the unknowns are u1, u2 and v1; a vertex is where
+# three constraints meet: two or more of the undominated units', and bounds of 1e-4 on the four weights.
+_LESS = " AND ".join([f"e.{c} <= d.{c}" for c in ("in_qty", "in_lines")] + [f"e.{c} >= d.{c}" for c in ("out_rev", "out_keep")])
+
+
+def _det(*columns: str) -> str:
+    """Determinant of the rows p, q, r of three columns."""
+    a, b, c = columns
+    return (
+        f"(p.{a} * (q.{b} * r.{c} - q.{c} * r.{b}) - p.{b} * (q.{a} * r.{c} - q.{c} * r.{a}) + p.{c} * (q.{a} * r.{b} - q.{b} * r.{a}))"
+    )
+
+
+VERTICES = (
+    f"f AS (SELECT * FROM dmu d WHERE NOT EXISTS (SELECT 1 FROM dmu e WHERE {_LESS} "
+    "AND (e.in_qty < d.in_qty OR e.in_lines < d.in_lines OR e.out_rev > d.out_rev OR e.out_keep > d.out_keep))), "
+    "c AS (SELECT k.dmu AS k, 4 + row_number() OVER (PARTITION BY k.dmu ORDER BY f.dmu) AS i, f.out_rev AS a1, f.out_keep AS a2, "
+    "k.in_qty * f.in_lines / k.in_lines - f.in_qty AS a3, f.in_lines / k.in_lines AS b FROM dmu k, f "
+    "UNION ALL SELECT dmu, 1, -1, 0, 0, -1e-4 FROM dmu UNION ALL SELECT dmu, 2, 0, -1, 0, -1e-4 FROM dmu "
+    "UNION ALL SELECT dmu, 3, 0, 0, -1, -1e-4 FROM dmu UNION ALL SELECT dmu, 4, 0, 0, in_qty, 1 - 1e-4 * in_lines FROM dmu), "
+    f"tri AS (SELECT p.k, {_det('a1', 'a2', 'a3')} AS d, {_det('b', 'a2', 'a3')} AS d1, {_det('a1', 'b', 'a3')} AS d2, {_det('a1', 'a2', 'b')} AS d3 "
+    "FROM c p JOIN c q ON p.k = q.k AND p.i < q.i JOIN c r ON q.k = r.k AND q.i < r.i), "
+    "z AS (SELECT k, d1 / d AS u1, d2 / d AS u2, d3 / d AS v1 FROM tri WHERE abs(d) > 1e-12), "
+    "ok AS (SELECT z.k, z.u1, z.u2 FROM z WHERE NOT EXISTS "
+    "(SELECT 1 FROM c WHERE c.k = z.k AND c.a1 * z.u1 + c.a2 * z.u2 + c.a3 * z.v1 > c.b + 1e-9)), "
+    "eff AS (SELECT dmu.dmu, coalesce(least(greatest(max(u1 * out_rev + u2 * out_keep), 0), 1), 0) AS efficiency "
+    "FROM dmu LEFT JOIN ok ON ok.k = dmu.dmu GROUP BY dmu.dmu)"
+)
+
+
+@query("dea_ccr", ctes(["dmu"], f"WITH {VERTICES} SELECT dmu, round(efficiency, 6) AS efficiency FROM eff"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round(ranking.dea_ccr(view(spark, sf, "dmu"), IN, OUT), ["efficiency"])
 
@@ -79,7 +109,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "dea_rank",
     ctes(
         ["dmu"],
-        f"WITH {COMPOSITE}, e AS (SELECT dmu, round(out_keep / max(out_keep) OVER (), 4) AS eff, score FROM comp), "
+        f"WITH {COMPOSITE}, {VERTICES}, e AS (SELECT comp.dmu, round(efficiency, 4) AS eff, score FROM comp JOIN eff ON eff.dmu = comp.dmu), "
         "t AS (SELECT *, count(*) OVER () AS n FROM e), w AS (SELECT * FROM t WHERE eff = (SELECT max(eff) FROM e)) "
         "SELECT max(n) AS num_dmus, max(eff) AS best_efficiency, count(*) AS ties, "
         "(SELECT dmu FROM w ORDER BY score DESC, dmu LIMIT 1) AS best, "
@@ -87,9 +117,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    scored = ranking.composite_score(view(spark, sf, "dmu"), IN, OUT)
-    best = scored.agg(F.max("out_keep")).first()[0]
-    return ranking.dea_rank(scored.withColumn("efficiency", F.col("out_keep") / F.lit(best)))
+    rows = view(spark, sf, "dmu")
+    return ranking.dea_rank(ranking.composite_score(rows, IN, OUT).join(ranking.dea_ccr(rows, IN, OUT), "dmu"))
 
 
 @query(

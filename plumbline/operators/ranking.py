@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import clip, col, total
-from plumbline.session import materialise
+from plumbline.operators.envelopment import dea_ccr
+
+__all__ = ["benchmark_report", "composite_score", "dea_ccr", "dea_rank", "dmu_prepare"]
 
 # Which columns of a metrics record are inputs and outputs, and their floors.
 INPUTS = ("training_time_sec", "security_vulnerabilities", "mttr_minutes", "deployment_lead_time_hr")
 OUTPUTS = ("f1_score", "security_score", "robustness_score", "auto_recovery_rate")
 INPUT_FLOOR, OUTPUT_FLOOR = 0.1, 0.01
-MIN_WEIGHT = 1e-4
-FRONTIER_LIMIT = 50_000
-KEPT_IN_TASK = 20_000
-BLOCK = 5_000
-MAX_ROUNDS = 100
-DMUS_PER_TASK = 64
 
 
 def dmu_prepare(df: DataFrame, name: str = "name") -> DataFrame:
@@ -50,196 +44,6 @@ def composite_score(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str]
     return df.withColumn("composite_score", clip(raw / F.lit(best if best > 0 else 1.0), 0.0, 1.0))
 
 
-# --------------------------------------------------------------------------- data envelopment
-
-
-def _undominated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Indices of the rows that no other row matches or beats everywhere; equal rows are kept once."""
-    points = np.hstack([x, -y])
-    order = np.lexsort(points.T[::-1])
-    points = points[order]
-    kept: list[int] = []
-    front = np.empty_like(points)
-    for i, p in enumerate(points):  # in lexicographic order a row can only be dominated by an earlier one
-        n = len(kept)
-        if not (front[:n] <= p).all(axis=1).any():
-            front[n] = p
-            kept.append(i)
-    return order[kept]
-
-
-def _efficiency(
-    xk: np.ndarray, yk: np.ndarray, x: np.ndarray, y: np.ndarray, weight: float
-) -> tuple[float, np.ndarray, np.ndarray]:
-    """CCR efficiency of one DMU against the rows of x, y, with its output and input weights.
-
-    The envelopment form is solved by a small revised simplex: a fixed number of rows, and one column per
-    compared DMU, priced all at once. An unbounded envelopment means that no weights are feasible: 0.
-    """
-    m, s = len(xk), len(yk)
-    x, y = np.vstack([xk, x]), np.vstack([yk, y])
-    columns = np.vstack([y.T, -x.T])
-    n = columns.shape[1]
-    rows = s + m
-    theta = np.concatenate([np.zeros(s), xk])
-    table = np.hstack([columns, -np.eye(rows), theta[:, None]])
-    cost = np.concatenate([np.zeros(n), np.full(rows, -weight), [1.0]])
-    free = n + rows
-    basis = [0, *range(n + 1, n + s), free, *range(n + s + 1, n + rows)]
-    target = np.concatenate([yk, np.zeros(m)])
-    for step in range(5000):
-        inverse = np.linalg.inv(table[:, basis])
-        value = inverse @ target
-        price = cost[basis] @ inverse
-        reduced = cost - price @ table
-        reduced[basis] = 0.0
-        bad = np.flatnonzero(reduced < -1e-10)
-        if not len(bad):
-            return float(cost[basis] @ value), price[:s], price[s:]
-        enter = int(bad[0]) if step > 300 else int(bad[np.argmin(reduced[bad])])
-        direction = inverse @ table[:, enter]
-        can_leave = [i for i in range(rows) if direction[i] > 1e-11 and basis[i] != free]
-        if not can_leave:
-            return 0.0, np.zeros(s), np.zeros(m)
-        ratio = {i: max(value[i], 0.0) / direction[i] for i in can_leave}
-        least = min(ratio.values())
-        leave = min((i for i in can_leave if ratio[i] <= least + 1e-13), key=lambda i: basis[i])
-        basis[leave] = enter
-    raise ArithmeticError("efficiency did not converge")
-
-
-def _matrix(pdf: pd.DataFrame, name: str) -> np.ndarray:
-    return np.stack(pdf[name].to_numpy()).astype(float)
-
-
-def frontier(points: DataFrame, limit: int = FRONTIER_LIMIT) -> tuple[DataFrame, int]:
-    """A written table of (x, y) rows that holds every undominated one, and its size.
-
-    Each partition drops what it can; the rest is dealt to fewer partitions as long as that at least
-    halves it. Rows that stay although dominated do no harm, as their constraint is implied, so no task
-    has to see everything. Only a rest within ``limit`` is put into one task.
-    """
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for pdf in batches:
-            both = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if len(both):
-                held = both.iloc[_undominated(_matrix(both, "x"), _matrix(both, "y"))].reset_index(drop=True)
-            if held is not None and len(held) > KEPT_IN_TASK:
-                yield held
-                held = None
-        if held is not None:
-            yield held
-
-    def prune(table: DataFrame) -> DataFrame:
-        return table.mapInPandas(keep, "x array<double>, y array<double>")
-
-    rest = materialise(prune(points.select("x", "y")), "frontier")
-    n = rest.count()
-    while n > KEPT_IN_TASK:
-        smaller = materialise(prune(rest.repartition(-(-n // KEPT_IN_TASK))), "frontier")
-        before, n, rest = n, smaller.count(), smaller
-        if n > before / 2:
-            break
-    if n <= limit:
-        rest = materialise(prune(rest.repartition(1)), "frontier")
-        n = rest.count()
-    return rest, n
-
-
-def dea_ccr(
-    df: DataFrame,
-    inputs: Sequence[str],
-    outputs: Sequence[str],
-    key: str = "dmu",
-    scale: bool = False,
-    limit: int = FRONTIER_LIMIT,
-) -> DataFrame:
-    """(key, efficiency): CCR multiplier efficiency with all weights at least 1e-4, clipped to [0, 1].
-
-    Only undominated DMUs constrain the weights. Up to ``limit`` of them go to every task; above that the
-    exact result comes from rounds that add, for each DMU, the most violated constraint of each block.
-    """
-    numbers = {c: col(c).cast("double") for c in (*inputs, *outputs)}
-    if scale:
-        top = df.agg(*[F.max(v).alias(c) for c, v in numbers.items()]).first()
-        numbers = {c: v / F.lit(top[c] or 1.0) for c, v in numbers.items()}
-    points = df.select(
-        col(key).alias("dmu"),
-        F.array(*[numbers[c] for c in inputs]).alias("x"),
-        F.array(*[numbers[c] for c in outputs]).alias("y"),
-    )
-    front, size = frontier(points, limit)
-    kind = points.schema["dmu"].dataType.simpleString()
-    if size > limit:
-        return _dea_rounds(points, front, kind).select(F.col("dmu").alias(key), "efficiency")
-    rows = front.toPandas()
-    fx, fy = _matrix(rows, "x"), _matrix(rows, "y")
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [_efficiency(a, b, fx, fy, MIN_WEIGHT)[0] for a, b in zip(pdf["x"], pdf["y"], strict=True)]
-            yield pd.DataFrame({"dmu": pdf["dmu"], "efficiency": np.clip(found, 0.0, 1.0)})
-
-    spread = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + points.count() // DMUS_PER_TASK)
-    solved = points.repartition(spread).mapInPandas(solve, f"dmu {kind}, efficiency double")
-    return solved.select(F.col("dmu").alias(key), "efficiency")
-
-
-def _dea_rounds(points: DataFrame, front: DataFrame, kind: str, block: int = BLOCK) -> DataFrame:
-    """Constraint rounds: solve each DMU against its own few constraints, find violated ones block by block."""
-    state_schema = f"dmu {kind}, x array<double>, y array<double>, cx array<array<double>>, cy array<array<double>>"
-    solved_schema = f"{state_schema}, u array<double>, v array<double>, efficiency double"
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                cx = np.array([list(a) for a in r.cx], dtype=float).reshape(-1, len(r.x))
-                cy = np.array([list(a) for a in r.cy], dtype=float).reshape(-1, len(r.y))
-                e, u, v = _efficiency(np.array(r.x), np.array(r.y), cx, cy, MIN_WEIGHT)
-                out.append([r.dmu, r.x, r.y, cx.tolist(), cy.tolist(), u.tolist(), v.tolist(), e])
-            yield pd.DataFrame(out, columns=["dmu", "x", "y", "cx", "cy", "u", "v", "efficiency"])
-
-    def worst(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["dmu", "fx", "fy"]
-        if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
-        fx, fy = _matrix(right, "x"), _matrix(right, "y")
-        excess = _matrix(left, "u") @ fy.T - _matrix(left, "v") @ fx.T
-        best = excess.argmax(axis=1)
-        hit = np.flatnonzero(excess[np.arange(len(left)), best] > 1e-9)
-        rows = [[left["dmu"].iloc[i], fx[best[i]].tolist(), fy[best[i]].tolist()] for i in hit]
-        return pd.DataFrame(rows, columns=names)
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    n_f, n_d = -(-front.count() // block), -(-points.count() // block)
-    blocks = front.withColumn("fb", F.pmod(F.xxhash64("x", "y"), F.lit(n_f)).cast("int")).withColumn("db", every(n_d))
-    empty = F.array().cast("array<array<double>>")
-    open_rows = points.withColumns({"cx": empty, "cy": empty})
-    done: DataFrame | None = None
-    for _ in range(MAX_ROUNDS):
-        solved = materialise(open_rows.mapInPandas(solve, solved_schema), "dea-round")
-        pairs = solved.withColumn("db", F.pmod(F.xxhash64("dmu"), F.lit(n_d)).cast("int")).withColumn("fb", every(n_f))
-        found = pairs.groupBy("db", "fb").cogroup(blocks.groupBy("db", "fb")).applyInPandas(
-            worst, f"dmu {kind}, fx array<double>, fy array<double>"
-        )
-        added = materialise(
-            found.groupBy("dmu").agg(F.collect_list("fx").alias("ax"), F.collect_list("fy").alias("ay")), "dea-cuts"
-        )
-        settled = solved.join(added, "dmu", "left_anti").select("dmu", clip(F.col("efficiency"), 0, 1).alias("efficiency"))
-        done = settled if done is None else done.unionByName(settled)
-        if added.isEmpty():
-            return done
-        open_rows = solved.join(added, "dmu").select(
-            "dmu", "x", "y", F.concat("cx", "ax").alias("cx"), F.concat("cy", "ay").alias("cy")
-        )
-    raise ArithmeticError(f"efficiencies did not settle in {MAX_ROUNDS} rounds")
-
-
 def dea_rank(
     scored: DataFrame, key: str = "dmu", efficiency: str = "efficiency", composite: str = "composite_score"
 ) -> DataFrame:

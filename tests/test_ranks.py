@@ -66,17 +66,17 @@ def test_cumulated_downwards(spark, rng):
         assert r["next_value"] == max((v for v in values if v < r["value"]), default=None)
 
 
-def test_bucketed_row_number_is_row_number(spark):
+def test_ranged_row_number_is_row_number(spark):
     df = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("k"))
     df = df.withColumn("h", order_hash(["id"], 1))
-    got = ranks.bucketed_row_number(df, ["k"], F.left("h", F.lit(1)), ["h"], "rn")
+    got = ranks.ranged_row_number(df, ["h"], "rn", ["k"])
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("h")))
     assert got.exceptAll(want).count() == 0 and got.count() == 2000
 
 
-def test_bucketed_row_number_numbers_null_groups(spark):
+def test_ranged_row_number_numbers_null_groups(spark):
     df = spark.createDataFrame([(None, "a"), (None, "b"), ("x", "a")], "k string, v string")
-    got = ranks.bucketed_row_number(df, ["k"], F.col("v"), ["v"], "rn").collect()
+    got = ranks.ranged_row_number(df, ["v"], "rn", ["k"]).collect()
     assert sorted((r["k"] or "", r["v"], r["rn"]) for r in got) == [("", "a", 1), ("", "b", 2), ("x", "a", 1)]
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import experiments, ranking
+from plumbline.operators import envelopment, experiments, ranking
 from plumbline.sources import readers, writers
 
 COLUMNS = ["name", *ranking.INPUTS, *ranking.OUTPUTS]
@@ -37,16 +37,61 @@ def test_efficiency_against_a_grid(spark, rng):
         assert found[k] == pytest.approx(_best_weights(points, k), abs=0.02)
 
 
-def test_rounds_give_the_same_as_the_small_frontier(spark, rng):
-    df = _dmus(spark, rng)
-    one = {r["dmu"]: r["efficiency"] for r in ranking.dea_ccr(df, ["i0", "i1"], ["o0", "o1"]).collect()}
-    points = df.select("dmu", F.array("i0", "i1").alias("x"), F.array("o0", "o1").alias("y"))
-    front, size = ranking.frontier(points)
-    assert 1 <= size < 60
-    rounds = ranking._dea_rounds(points, points.select("x", "y"), "int", block=17)
-    two = {r["dmu"]: r["efficiency"] for r in rounds.collect()}
-    assert two.keys() == one.keys()
-    assert all(two[k] == pytest.approx(one[k], abs=1e-7) for k in one)
+@pytest.mark.parametrize("copies", [1, 3])
+def test_pricing_rounds_give_the_same_as_one_set(spark, rng, monkeypatch, copies):
+    df = _dmus(spark, rng, 150)
+    for _ in range(copies - 1):
+        df = df.unionByName(df)
+    ins, outs = ["i0", "i1"], ["o0", "o1"]
+    one = sorted(map(tuple, ranking.dea_ccr(df, ins, outs).collect()))
+    monkeypatch.setattr(envelopment, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(envelopment, "PRICED", 40)
+    monkeypatch.setattr(envelopment, "ADDED", 1)
+    points = df.select("dmu", F.monotonically_increasing_id().alias("uid"), F.array(*ins).alias("x"), F.array(*outs).alias("y"))
+    front = envelopment.frontier(points, (2, 2), strong_rows=2, block_rows=3)
+    assert 1 <= len(front.strong) <= 2 and 3 < front.n_rest < 150 and len(front.boxes) > 1
+    found = envelopment.efficiencies(points, front, stack=7).join(points, "uid").select("dmu", "efficiency")
+    two = sorted(map(tuple, found.collect()))
+    assert len(one) == len(two) and all(a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-7) for a, b in zip(one, two))
+
+
+def test_frontier_holds_every_undominated_row(spark, rng):
+    rows = [(rng.uniform(1, 10, 2).tolist(), rng.uniform(1, 10, 2).tolist()) for _ in range(600)]
+    df = spark.createDataFrame([*rows, *rows[:50]], "x array<double>, y array<double>").repartition(6)
+    front = envelopment.frontier(df, (2, 2), strong_rows=10, block_rows=20)
+    rest = envelopment._costs(front.rest.toPandas())
+    have = {tuple(r) for r in np.vstack([front.strong, rest]).round(12)}
+    costs = np.array([[*x, *[-v for v in y]] for x, y in rows])
+    want = {tuple(r) for r in costs[envelopment.undominated(costs)].round(12)}
+    assert want <= have and len(have) < 400
+    for block, low in [(b[0], b[1:]) for b in front.boxes]:
+        own = envelopment._costs(front.rest.filter(F.col("block") == int(block)).toPandas())
+        assert np.allclose(own.min(axis=0), low)
+
+
+def test_stacked_programs_against_every_vertex(rng):
+    for _ in range(5):
+        x, y = rng.uniform(1, 10, (12, 2)), rng.uniform(1, 10, (12, 1))
+        found, u, v = envelopment.solve_stacked(x, y, np.hstack([y, -x]), np.zeros((12, 0, 3)))
+        assert ((u * y).sum(1) - found == pytest.approx(0)) and ((v * x).sum(1) == pytest.approx(1))
+        assert ((u @ y.T - v @ x.T) < 1e-8).all() and (u > 1e-4 - 1e-9).all() and (v > 1e-4 - 1e-9).all()
+        for k in range(12):  # with one output the best weights lie where two lines of v meet, or at a bound
+            lines = np.stack([(x[:, 0] - x[:, 1] * x[k, 0] / x[k, 1]) / y[:, 0], x[:, 1] / x[k, 1] / y[:, 0]], axis=1)
+            t = [1e-4, (1 - 1e-4 * x[k, 1]) / x[k, 0]]
+            t += [(b[1] - a[1]) / (a[0] - b[0]) for a in lines for b in lines if abs(a[0] - b[0]) > 1e-12]
+            t = np.array([s for s in t if t[0] <= s <= t[1]])
+            best = (lines[:, :1] * t + lines[:, 1:]).min(axis=0).max() * y[k, 0]
+            assert found[k] == pytest.approx(best, abs=1e-8)
+
+
+def test_units_without_numbers_or_outputs(spark):
+    schema = "dmu string, i double, o double"
+    rows = [(None, 1.0, 1.0), ("a", None, 1.0), ("a", 2.0, 0.0), ("b", float("nan"), 1.0), ("c", 2.0, 1.0)]
+    found = ranking.dea_ccr(spark.createDataFrame(rows, schema), ["i"], ["o"]).collect()
+    got = sorted(((r["dmu"] or "", r["efficiency"]) for r in found), key=str)
+    assert got == sorted([("", pytest.approx(1)), ("a", None), ("a", 0.0), ("b", None), ("c", pytest.approx(0.5))], key=lambda r: str((r[0], 1.0 if r[0] == "" else 0.5 if r[0] == "c" else r[1])))
+    assert ranking.dea_ccr(spark.createDataFrame([], schema), ["i"], ["o"]).count() == 0
+    assert ranking.dea_ccr(spark.createDataFrame([("a", None, None)], schema), ["i"], ["o"]).collect() == [("a", None)]
 
 
 def test_copies_and_dominated_units(spark):
