@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from plumbline.functions.scalars import col, total
 from plumbline.operators import metrics
 from plumbline.operators.features import class_counts, kfold_assign, to_vector, weights_of, with_class_weights
+from plumbline.operators.neighbour_join import nearest
 from plumbline.session import materialise, small_table
 
 log = logging.getLogger(__name__)
@@ -465,87 +466,6 @@ def select_best(results: DataFrame, metric: str = "f1", prefix: str = "test_") -
 
 # --------------------------------------------------------------------------- nearest neighbours
 
-BLOCK_ROWS = 50_000
-CHUNK_CELLS = 4_000_000
-CHUNK_PAIRS = 200_000
-
-
-def _closest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of ``x`` for each row of ``q``, by exact squared distance, then id.
-
-    A matrix product bounds the distances; only pairs that can be among the k nearest are computed
-    exactly, so rounding in the product does not decide anything.
-    """
-    k = min(k, len(x))
-    norms = (x * x).sum(axis=1)
-    slack = 1e-9 * (1.0 + norms.max())
-    rows = []
-    step = max(1, CHUNK_CELLS // len(x))
-    for s in range(0, len(q), step):
-        part = q[s : s + step]
-        rough = norms[None, :] - 2.0 * part @ x.T
-        own = (part * part).sum(axis=1)
-        bar = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack + 1e-9 * own
-        at, to = np.nonzero(rough <= bar[:, None])
-        exact = np.empty(len(at))
-        for c in range(0, len(at), CHUNK_PAIRS):  # many pairs remain where many rows are copies
-            diff = part[at[c : c + CHUNK_PAIRS]] - x[to[c : c + CHUNK_PAIRS]]
-            exact[c : c + CHUNK_PAIRS] = (diff * diff).sum(axis=1)
-        order = np.lexsort((ids[to], exact, at))
-        at, to, exact = at[order], to[order], exact[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        best = place < k
-        rows.append((q_ids[s + at[best]], ids[to[best]], y[to[best]], exact[best]))
-    names = ("query", "id", "label", "distance")
-    return pd.DataFrame({n: np.concatenate([r[i] for r in rows]) for i, n in enumerate(names)})
-
-
-def nearest(
-    queries: DataFrame,
-    train: DataFrame,
-    key: str,
-    vector: str,
-    label: str,
-    k: int = 5,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(query, id, label, distance): the k nearest train rows of each query, by squared distance, then id.
-
-    Both sides are cut into blocks by key hash; each pair of blocks is one task that emits at most k
-    rows per query, and the k best of those are kept. Neither side is broadcast or held whole anywhere:
-    a task holds one block of each.
-    """
-    shape = [col(key).cast("bigint").alias("id"), col(vector).cast("array<double>").alias("x")]
-    q = queries.select(*shape, F.lit(0.0).alias("y"))
-    t = train.select(*shape, col(label).cast("double").alias("y"))
-    n_q, n_t = q.count(), t.count()
-    t_blocks = max(1, -(-n_t // block_rows))
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q_blocks = max(1, -(-n_q // block_rows), min(-(-tasks // t_blocks), n_q // 256))
-    spread = F.xxhash64("id")
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    q = q.withColumn("qb", F.pmod(spread, F.lit(q_blocks)).cast("int")).withColumn("tb", every(t_blocks))
-    t = t.withColumn("tb", F.pmod(spread, F.lit(t_blocks)).cast("int")).withColumn("qb", every(q_blocks))
-
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query": [], "id": [], "label": [], "distance": []})
-        a, b = (np.stack(p["x"].to_numpy()).astype(float) for p in (left, right))
-        return _closest(a, left["id"].to_numpy(), b, right["id"].to_numpy(), right["y"].to_numpy(), k)
-
-    found = (
-        q.groupBy("qb", "tb")
-        .cogroup(t.groupBy("qb", "tb"))
-        .applyInPandas(pair, "query bigint, id bigint, label double, distance double")
-    )
-    if t_blocks == 1:
-        return found
-    best = Window.partitionBy("query").orderBy("distance", "id")
-    return found.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k).drop("_rn")
-
 
 def knn_classify(
     queries: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 5

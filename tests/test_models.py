@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import features as ft
-from plumbline.operators import models
+from plumbline.operators import models, neighbour_join
 
 
 @pytest.fixture(scope="module")
@@ -115,6 +115,52 @@ def test_neighbours_against_all_pairs(spark, rng, block_rows):
         assert got[i] == [int(j) for j in np.lexsort((np.arange(150), d))[:4]]
 
 
+def _index(spark, x, k, block_rows):
+    rows = [(i, r.tolist(), float(i)) for i, r in enumerate(x)]
+    t = spark.createDataFrame(rows, "id bigint, x array<double>, y double")
+    return neighbour_join.TrainIndex.fit(t, k, len(x), block_rows), t.select(F.col("id").alias("query"), "x")
+
+
+def test_pivots_skip_most_pairs_of_clustered_rows(spark, rng):
+    centres = rng.normal(size=(40, 8)) * 20
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8))
+    index, queries = _index(spark, x, 3, 100)
+    found, visits = index.search(queries, len(x))
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query"], r["distance"], r["id"])):
+        got.setdefault(r["query"], []).append((r["id"], r["distance"]))
+    for i in range(0, 4000, 37):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        best = np.lexsort((np.arange(4000), d))[:3]
+        assert [g[0] for g in got[i]] == best.tolist() and [g[1] for g in got[i]] == pytest.approx(d[best].tolist())
+    assert index.pairs(visits) < 0.25 * 4000**2
+
+
+def test_rings_of_equal_distances_have_parts(spark):
+    angle = np.arange(600) / 600 * 2 * np.pi
+    x = np.vstack([np.zeros((1, 2)), np.stack([np.cos(angle), np.sin(angle)], axis=1).round(12)])
+    x[:, 0] += 5
+    index, queries = _index(spark, x, 2, 20)
+    assert max(r[0] for r in index.rows.groupBy("ring", "part").count().select("count").collect()) <= 120
+    found, _ = index.search(queries, len(x))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query"], set()).add(r["distance"])
+    for i in range(0, 601, 29):
+        d = np.sort(((x - x[i]) ** 2).sum(axis=1))[:2]
+        assert sorted(got[i]) == pytest.approx(sorted(set(d.tolist())))
+
+
+def test_neighbours_of_odd_tables(spark):
+    schema = "id bigint, v array<double>, y int"
+    train = spark.createDataFrame([(1, [0.0], 0), (2, None, 1), (None, [0.2], 1), (4, [9.0], 0), (5, [9.0], 1), (6, [9.0], 1)], schema)
+    for block_rows in (50_000, 2):
+        got = models.nearest(train, train, "id", "v", "y", 2, block_rows).collect()
+        assert sorted((r["query"], r["id"]) for r in got) == [(1, 1), (1, 4), (4, 4), (4, 5), (5, 4), (5, 5), (6, 4), (6, 5)]
+        assert models.nearest(train, train.limit(0), "id", "v", "y", 2, block_rows).count() == 0
+        assert models.nearest(train.limit(0), train, "id", "v", "y", 2, block_rows).count() == 0
+
+
 def test_votes_and_means(spark):
     train = spark.createDataFrame([(1, [0.0], 0), (2, [0.1], 1), (3, [0.2], 1), (4, [9.0], 0)], "id bigint, v array<float>, y int")
     query = spark.createDataFrame([(10, [0.1])], "id bigint, v array<float>")
