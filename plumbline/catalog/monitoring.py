@@ -98,6 +98,29 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round(_round(out, ["ks_statistic"], 9), ["p_value"])
 
 
+# The exact law for small samples: steps of a random order of both, and the probability of each place never having been d apart.
+# Balances of suppliers of the first twelve nations against the others'.
+KS_SMALL = (
+    "WITH RECURSIVE v AS (SELECT s_acctbal AS v, CASE WHEN s_nationkey < 12 THEN 1 ELSE 0 END AS r FROM supplier), "
+    "c AS (SELECT v, sum(sum(r)) OVER (ORDER BY v) AS cr, sum(sum(1 - r)) OVER (ORDER BY v) AS cc FROM v GROUP BY v), "
+    "z AS (SELECT (SELECT sum(r) FROM v) AS nr, (SELECT sum(1 - r) FROM v) AS nc), "
+    "k AS (SELECT CAST(nr AS BIGINT) AS nr, CAST(nc AS BIGINT) AS nc, max(abs(cr / CAST(nr AS DOUBLE) - cc / CAST(nc AS DOUBLE))) AS d FROM c, z GROUP BY nr, nc), "
+    "g AS (SELECT least(nr, nc) AS n, greatest(nr, nc) AS m, d, round(d * nr * nc) AS b FROM k), "
+    "w AS (SELECT CAST(0 AS BIGINT) AS s, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS p FROM g "
+    "UNION ALL SELECT w.s + 1, list_transform(range(0, g.n + 1), lambda i: CASE WHEN w.s + 1 - i >= 0 AND w.s + 1 - i <= g.m "
+    "AND abs(i * g.m - (w.s + 1 - i) * g.n) < g.b THEN (w.p[i + 1] * (g.m - (w.s + 1 - i) + 1) + "
+    "CASE WHEN i > 0 THEN w.p[i] * (g.n - i + 1) ELSE 0 END) / CAST(g.n + g.m - w.s AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) FROM w, g WHERE w.s < g.n + g.m) "
+    "SELECT 's_acctbal' AS feature, k.nr AS n_ref, k.nc AS n_cur, round(k.d, 9) AS ks_statistic, round(1 - w.p[g.n + 1], 6) AS p_value "
+    "FROM k, g, w WHERE w.s = g.n + g.m"
+)
+
+
+@query("ks_pvalue_small", KS_SMALL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    out = drift.ks_test(table(spark, sf, "supplier"), ["s_acctbal"], F.col("s_nationkey") < 12)
+    return _round(_round(out, ["ks_statistic"], 9), ["p_value"])
+
+
 @query("wasserstein", ctes(["feat"], f"WITH {CUM}, {KS} SELECT feature, round(w, 6) AS wasserstein_distance FROM ks"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round(drift.wasserstein(_feat(spark, sf), FEATURES, is_ref()), ["wasserstein_distance"])

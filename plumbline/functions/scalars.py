@@ -85,6 +85,41 @@ def ks_pvalue(lam: Column) -> Column:
     return F.when(lam <= 0.04, F.lit(1.0)).otherwise(clip(F.when(lam < 1.18, head).otherwise(tail), 0, 1))
 
 
+#: Lattice points of the exact Kolmogorov-Smirnov law that one p-value may cost.
+EXACT_CELLS = 4_000_000
+
+
+def ks_is_small(n: Column, m: Column) -> Column:
+    """Whether the exact law is affordable for samples of n and m values."""
+    return F.least(n, m).cast("double") * (n + m) <= EXACT_CELLS
+
+
+def ks_exact(d: Column, n: Column, m: Column) -> Column:
+    """Exact two-sided two-sample p-value of the statistic ``d``, if all values differ.
+
+    A random order of both samples is a lattice path from (0, 0) to (n, m). The fold goes along its steps with the
+    probabilities of all places that a path may have reached without ever being ``d`` apart; what is left at the end
+    never was. Arguments should be columns by name, as they occur often.
+    """
+    n, m = F.least(n, m).cast("bigint"), F.greatest(n, m).cast("bigint")
+    band = F.round(d * n.cast("double") * m)
+    start = F.transform(F.sequence(F.lit(0).cast("bigint"), n), lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+    def step(reached: Column, s: Column) -> Column:
+        left = (n + m - s + 1).cast("double")  # values that are still to come
+
+        def place(own: Column, i: Column) -> Column:
+            j = s - i
+            before = F.coalesce(F.get(reached, i - 1), F.lit(0.0))
+            inside = (j >= 0) & (j <= m) & (F.abs(i * m - j * n) < band)
+            return F.when(inside, (own * (m - j + 1) + before * (n - i + 1)) / left).otherwise(F.lit(0.0))
+
+        return F.transform(reached, place)
+
+    end = F.aggregate(F.sequence(F.lit(1).cast("bigint"), n + m), start, step)
+    return F.when(band <= 0, F.lit(1.0)).otherwise(clip(1.0 - F.element_at(end, -1), 0, 1))
+
+
 def js_term(p: Column, q: Column, eps: float = 1e-10) -> Column:
     """One cell's contribution to the Jensen-Shannon divergence of two share vectors."""
     m = (p + q) * 0.5

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import clip, col, ks_lambda, ks_pvalue, present, total
+from plumbline.functions.scalars import clip, col, ks_exact, ks_is_small, ks_lambda, ks_pvalue, present, total
 from plumbline.plans.ranks import RankTable, long_values, split_points
 from plumbline.session import small_table
 
@@ -69,8 +69,11 @@ def ks_test(df: DataFrame, cols: Sequence[str], is_ref: Column) -> DataFrame:
 
 
 def _with_pvalue(found: DataFrame) -> DataFrame:
-    lam = ks_lambda(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"))
-    return found.withColumn("_lam", lam).withColumn("p_value", ks_pvalue(F.col("_lam"))).drop("_lam")
+    """The p-value by the exact law for small samples (``ks_is_small``), else by the limit law."""
+    found_by = [F.col(c) for c in ("ks_statistic", "n_ref", "n_cur")]
+    lam = ks_lambda(*found_by)
+    p = F.when(ks_is_small(*found_by[1:]), ks_exact(*found_by)).otherwise(ks_pvalue(F.col("_lam")))
+    return found.withColumn("_lam", lam).withColumn("p_value", p).drop("_lam")
 
 
 def wasserstein(df: DataFrame, cols: Sequence[str], is_ref: Column) -> DataFrame:

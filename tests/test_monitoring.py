@@ -1,9 +1,12 @@
 import hashlib
+import itertools
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import ks_exact, ks_lambda, ks_pvalue
 from plumbline.operators import anomaly, drift, gates, models, traffic
 
 COLS = [f"f{i}" for i in range(5)]
@@ -266,3 +269,43 @@ def test_gauge_is_the_latest(spark):
     df = spark.createDataFrame(rows, "g string, v double, ts int")
     found = {r["labels"]: r["value"] for r in traffic.gauges(df, "m", "v", "ts", ["g"]).collect()}
     assert found == {"g=a": 2.0, "g=b": 5.0}
+
+
+def _paths_apart(n, m, d):
+    """Share of all orders of n and m values whose statistic is at least d, by counting paths one by one."""
+    far = total = 0
+    for places in itertools.combinations(range(n + m), n):
+        i = j = 0
+        worst = 0
+        for s in range(n + m):
+            i, j = (i + 1, j) if s in places else (i, j + 1)
+            worst = max(worst, abs(i * m - j * n))
+        total += 1
+        far += worst >= round(d * n * m)
+    return far / total
+
+
+def test_exact_law_of_small_samples(spark):
+    sizes = [(1, 1), (1, 4), (3, 3), (4, 6), (5, 7), (6, 6)]
+    rows = [(n, m, k / (n * m)) for n, m in sizes for k in range(0, n * m + 1, max(1, n * m // 6))]
+    df = spark.createDataFrame(rows, "n bigint, m bigint, d double")
+    for r in df.withColumn("p", ks_exact(F.col("d"), F.col("n"), F.col("m"))).collect():
+        assert r["p"] == pytest.approx(_paths_apart(r["n"], r["m"], r["d"]), abs=1e-12), r
+
+
+def test_exact_law_meets_the_limit_law(spark):
+    df = spark.createDataFrame([(400, 900, 0.05 + 0.01 * k) for k in range(6)], "n bigint, m bigint, d double")
+    lam = ks_lambda(F.col("d"), F.col("n"), F.col("m"))
+    got = df.withColumn("lam", lam).select(ks_exact(F.col("d"), F.col("n"), F.col("m")), ks_pvalue(F.col("lam"))).collect()
+    assert all(abs(a - b) < 0.01 for a, b in got)
+
+
+@pytest.mark.parametrize("shift, drifted", [(0.0, False), (5.0, True)])
+def test_two_hundred_rows_are_judged_by_the_exact_law(spark, rng, shift, drifted):
+    a, b = rng.normal(size=200), rng.normal(size=200) + shift
+    df = spark.createDataFrame([(float(v), True) for v in a] + [(float(v), False) for v in b], "x double, r boolean")
+    found = drift.ks_test(df, ["x"], F.col("r")).first()
+    h = round(found["ks_statistic"] * 200)
+    # equal sizes have a closed form, by reflecting paths
+    p = 2 * sum((-1) ** (j + 1) * math.comb(400, 200 + j * h) for j in range(1, 200 // h + 1)) / math.comb(400, 200)
+    assert found["p_value"] == pytest.approx(p, abs=1e-10) and (found["p_value"] < 0.05) == drifted
