@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from plumbline.functions.scalars import col
 from plumbline.operators import drift, traffic
 from plumbline.operators.anomaly import ReferenceProfile
-from plumbline.session import remove, scratch_path, scratch_scope, small_table
+from plumbline.session import remove, scratch_path
 from plumbline.sources import readers
 
 MIN_REQUESTS = 3
@@ -196,42 +196,96 @@ def stream_route(log: DataFrame, limit: float = 0.75, path: str | None = None) -
     return served, spark.read.schema(shape).json(f"{folder}/incidents")
 
 
-DRIFT_SCHEMA = "batch bigint, status string, sample_count bigint, drift_score double, is_drifted boolean, drifted_features string"
+_VERDICT = "status string, sample_count bigint, drift_score double, is_drifted boolean, drifted_features string"
+DRIFT_SCHEMA = f"batch bigint, {_VERDICT}"
+
+
+def _cell_counts(log: DataFrame, fitted: drift.EdgeReference, by: Sequence[Column] = (), ts: str | None = None) -> DataFrame:
+    """Stateful counts (f, cell, n, total, grouping columns) of all rows so far; one state row per cell and group."""
+    carry = [] if ts is None else [ts]
+    cells = fitted.cells(log.select(*fitted.cols, *carry), carry, count_rows=True)
+    return cells.groupBy(*by, "f", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def _verdicts(counts: DataFrame, fitted: drift.EdgeReference, by: Sequence[str]) -> DataFrame:
+    """One row per group of counts; fewer than ``MIN_REQUESTS`` rows are not judged."""
+    keys = [F.col(c) for c in by]
+    rows = counts.filter(F.col("f") == drift.ROWS).select(*keys, F.lit(1).alias("_g"), F.col("n").alias("sample_count"))
+    judged = fitted.judge(counts.filter(F.col("f") != drift.ROWS), by)
+    score = F.round(F.count_if("is_drifted") / F.lit(float(max(1, len(fitted.cols)))), 4)
+    names = F.array_join(F.array_sort(F.collect_list(F.when(F.col("is_drifted"), F.col("feature")))), ",")
+    found = judged.groupBy(*keys).agg(score.alias("_score"), names.alias("_names")).withColumn("_g", F.lit(1))
+    both = rows.join(found, ["_g", *by], "left")
+    enough = F.col("sample_count") >= MIN_REQUESTS
+    drift_score = F.when(enough, F.coalesce(F.col("_score"), F.lit(0.0)))
+    return both.select(
+        *keys,
+        F.when(enough, "evaluated").otherwise("insufficient_samples").alias("status"),
+        "sample_count",
+        drift_score.alias("drift_score"),
+        F.coalesce(drift_score >= 0.3, F.lit(False)).alias("is_drifted"),
+        F.when(enough, F.coalesce("_names", F.lit(""))).otherwise("").alias("drifted_features"),
+    )
 
 
 def stream_drift(
-    log: DataFrame, reference: DataFrame, cols: Sequence[str], path: str | None = None
+    log: DataFrame, reference: DataFrame, cols: Sequence[str], path: str | None = None, cells: int = 500
 ) -> DataFrame:
-    """Per micro-batch, the drift report against a reference; fewer than 3 requests are not judged.
+    """After each micro-batch, the drift report over all requests so far; fewer than 3 are not judged.
 
-    The reference is read once: its value counts are a written table, and a batch adds its own counts.
+    The state is a count for each cell between fixed edges of the reference (``drift.EdgeReference``): it grows with neither
+    the stream nor the reference, and a micro-batch touches its own rows and the state only.
     """
     spark = log.sparkSession
-    fitted = drift.FittedReference.fit(reference, cols)
-
-    def judge(batch: DataFrame, i: int, n: int) -> DataFrame:
-        if n < MIN_REQUESTS:
-            return small_table(spark, [(i, "insufficient_samples", n, None, False, "")], DRIFT_SCHEMA)
-        report = drift.drift_report(fitted.features(batch), len(cols))
-        return report.select(
-            F.lit(i).cast("bigint").alias("batch"),
-            F.lit("evaluated").alias("status"),
-            F.lit(n).cast("bigint").alias("sample_count"),
-            F.round("drift_score", 4).alias("drift_score"),
-            "is_drifted",
-            F.array_join("drifted_features", ",").alias("drifted_features"),
-        )
+    fitted = drift.EdgeReference.fit(reference, cols, cells)
 
-    def write(batch: DataFrame, i: int, folder: str) -> None:
-        batch = batch.select(*cols).persist()
-        with scratch_scope(spark):
-            judge(batch, i, batch.count()).write.mode("overwrite").parquet(f"{folder}/table/batch_id={i}")
-        batch.unpersist()
+    def write(counts: DataFrame, i: int, folder: str) -> None:
+        report = _verdicts(counts, fitted, ()).select(F.lit(i).cast("bigint").alias("batch"), "*")
+        report.write.mode("overwrite").parquet(f"{folder}/table/batch_id={i}")
 
-    folder = drain_batches(log, "drift", write, path=path)
+    folder = drain_batches(_cell_counts(log, fitted), "drift", write, "complete", path)
     return spark.read.schema(DRIFT_SCHEMA).parquet(f"{folder}/table").select(*[f.split()[0] for f in DRIFT_SCHEMA.split(", ")])
 
 
+def stream_drift_windows(
+    log: DataFrame,
+    reference: DataFrame,
+    cols: Sequence[str],
+    window: str = "1 hour",
+    slide: str | None = None,
+    delay: str = "10 minutes",
+    ts: str = "ts",
+    path: str | None = None,
+    cells: int = 500,
+) -> DataFrame:
+    """(start, end, status, ...): the drift report of each tumbling or sliding window that had requests.
+
+    After each micro-batch the windows that it changed are judged; the last verdict of a window counts. Rows later than ``delay`` are dropped.
+    """
+    spark = log.sparkSession
+    fitted = drift.EdgeReference.fit(reference, cols, cells)
+    at = F.window(col(ts), window, slide) if slide else F.window(col(ts), window)
+    counts = _cell_counts(log.withWatermark(ts, delay), fitted, [at.alias("w")], ts)
+    bounds = ("start", "end")
+
+    def write(changed: DataFrame, i: int, folder: str) -> None:
+        # update mode gives the cells that changed; the others of these windows come from the batches before
+        flat = changed.select("w.start", "w.end", "f", "cell", "n", "total").withColumn("_batch", F.lit(i))
+        flat.write.mode("overwrite").parquet(f"{folder}/cells/batch_id={i}")
+        spread = spark.read.schema(flat.schema).parquet(f"{folder}/cells").filter(F.col("_batch") <= i)
+        touched = flat.select(*bounds).distinct()
+        rows = spread.join(touched, list(bounds), "left_semi").groupBy(*bounds, "f", "cell")
+        latest = rows.agg(F.max_by(F.struct("n", "total"), "_batch").alias("_l")).select(*bounds, "f", "cell", "_l.n", "_l.total")
+        report = _verdicts(latest, fitted, bounds).withColumn("_batch", F.lit(i))
+        report.write.mode("overwrite").parquet(f"{folder}/table/batch_id={i}")
+
+    folder = drain_batches(counts, "drift-windows", write, "update", path)
+    schema = f"start timestamp, end timestamp, {_VERDICT}, _batch int"
+    found = spark.read.schema(schema).parquet(f"{folder}/table")
+    rest = [c for c in found.columns if c not in (*bounds, "_batch")]
+    return found.groupBy(*bounds).agg(F.max_by(F.struct(*rest), "_batch").alias("_l")).select(*bounds, "_l.*")
+
+
 def zone_free(closed: DataFrame) -> DataFrame:
     """Window bounds as zone-free timestamps, for comparison with a batch result."""
     return closed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})

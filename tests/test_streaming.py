@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import traffic
+from plumbline.operators import drift, traffic
 from plumbline.sources import readers
 from plumbline.streaming import monitors
 
@@ -89,13 +89,47 @@ def test_routing_writes_each_batch_once(spark, folder, tmp_path):
     assert sorted(r["incident_id"] for r in incidents.collect()) == ["inc_anom_1", "inc_anom_3"]
 
 
-def test_drift_per_batch(spark, folder):
+def test_drift_of_all_requests_so_far(spark, folder):
     reference = spark.createDataFrame([_row(i, 0, i / 100) for i in range(100)], SCHEMA)
-    path = folder([_row(i, 1, i / 50) for i in range(50)], [_row(i, 2, 5.0 + i) for i in range(50)], [_row(1, 3), _row(2, 3)])
+    batches = [[_row(1, 1), _row(2, 1)], [_row(i, 2, i / 50) for i in range(50)], [_row(i, 3, 5.0 + i) for i in range(50)]]
+    path = folder(*batches)
     out = monitors.stream_drift(_stream(spark, path).select("anomaly_score"), reference, ["anomaly_score"])
     rows = {r["batch"]: r for r in out.collect()}
-    assert [rows[i]["status"] for i in range(3)] == ["evaluated", "evaluated", "insufficient_samples"]
-    assert rows[1]["is_drifted"] and rows[1]["drifted_features"] == "anomaly_score"
+    assert [(rows[i]["status"], rows[i]["sample_count"]) for i in range(3)] == [("insufficient_samples", 2), ("evaluated", 52), ("evaluated", 102)]
+    fitted = drift.EdgeReference.fit(reference, ["anomaly_score"])
+    for i in (1, 2):
+        so_far = spark.createDataFrame([r for b in batches[: i + 1] for r in b], SCHEMA)
+        want = fitted.features(so_far).first()
+        assert (rows[i]["drifted_features"] == "anomaly_score") == want["is_drifted"]
+    assert rows[2]["is_drifted"] and not rows[1]["is_drifted"]
+
+
+def test_drift_of_windows(spark, folder):
+    reference = spark.createDataFrame([_row(i, 0, i / 100) for i in range(100)], SCHEMA)
+    path = folder([_row(i, 1, i / 50) for i in range(25)], [_row(i, 2, i / 50) for i in range(25, 50)] + [_row(i, 70, 9.0) for i in range(30)], [_row(1, 130)])
+    log = _stream(spark, path).select("ts", "anomaly_score")
+    out = monitors.stream_drift_windows(log, reference, ["anomaly_score"], "1 hour", delay="3 hours").orderBy("start").collect()
+    assert [(r["sample_count"], r["status"], r["is_drifted"]) for r in out] == [(50, "evaluated", False), (30, "evaluated", True), (1, "insufficient_samples", False)]
+    sliding = monitors.stream_drift_windows(log, reference, ["anomaly_score"], "2 hours", "1 hour", "9 hours")
+    assert sorted(r["sample_count"] for r in sliding.collect()) == [1, 31, 50, 80]
+
+
+@pytest.mark.parametrize("digits", [0, 1, 6])
+def test_counts_at_edges_judge_like_all_values(spark, rng, digits):
+    cols = ["a", "b"]
+    ref, cur = rng.normal(size=(3000, 2)).round(digits), (rng.normal(size=(700, 2)) * [1.0, 1.2] + [0.0, 0.1]).round(digits)
+    rows = [(*map(float, r), True) for r in ref] + [(*map(float, r), False) for r in cur] + [(None, float("nan"), False)]
+    df = spark.createDataFrame(rows, "a double, b double, r boolean")
+    exact = {r["feature"]: r for r in drift.drift_features(df, cols, F.col("r")).collect()}
+    fitted = drift.EdgeReference.fit(df.filter("r"), cols, cells=200)
+    assert fitted.counts.count() <= 2 * (2 * 211 + 1)
+    for r in fitted.features(df.filter("not r")).collect():
+        want = exact[r["feature"]]
+        assert r["psi"] == pytest.approx(want["psi"], abs=1e-9)
+        assert want["ks_statistic"] - 1 / 200 <= r["ks_statistic"] <= want["ks_statistic"] + 1e-12
+        assert r["wasserstein_distance"] == pytest.approx(want["wasserstein_distance"], abs=0.02)
+        if digits == 0:
+            assert r["ks_statistic"] == pytest.approx(want["ks_statistic"]) and r["p_value"] == pytest.approx(want["p_value"])
 
 
 def test_scoring_stream_equals_batch(spark, folder):
