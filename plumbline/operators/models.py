@@ -13,9 +13,7 @@ from pyspark.ml import Estimator, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -32,6 +30,7 @@ from pyspark.sql import types as T
 from plumbline.functions.scalars import col, total
 from plumbline.operators import metrics
 from plumbline.operators.features import class_counts, kfold_assign, to_vector, weights_of, with_class_weights
+from plumbline.operators.kernels import KernelFit
 from plumbline.operators.neighbour_join import nearest
 from plumbline.session import materialise, small_table
 
@@ -43,13 +42,13 @@ DEFAULTS: dict[str, dict[str, float]] = {
     "random_forest": {"trees": 100, "depth": 10, "min_split": 5},
     "gradient_boosting": {"rounds": 100, "rate": 0.1, "depth": 5},
     "decision_tree": {"depth": 30},
-    "svm": {"C": 1.0, "max_iter": 100},
+    "svm": {"C": 1.0, "gamma": 0.0, "size": 200},
     "knn": {"k": 5},
     "linear_regression": {},
     "random_forest_regressor": {"trees": 100, "depth": 10, "min_split": 5},
     "gradient_boosting_regressor": {"rounds": 100, "rate": 0.1, "depth": 5},
     "decision_tree_regressor": {"depth": 30},
-    "svm_regressor": {"max_iter": 100},
+    "svm_regressor": {"C": 1.0, "gamma": 0.0, "size": 200, "epsilon": 0.1},
     "knn_regressor": {"k": 5},
 }
 REGRESSORS = ("linear_regression", *[n for n in DEFAULTS if n.endswith("_regressor")])
@@ -70,12 +69,6 @@ class Fit:
         out: dict[str, object] = {"featuresCol": self.features, "labelCol": self.label}
         return out | ({"weightCol": self.weight} if self.weight else {})
 
-    def several(self, binary: Estimator) -> Estimator:
-        """A two-class estimator as it is, or one per class."""
-        if self.classes <= 2:
-            return binary
-        return OneVsRest(classifier=binary, **self.common())
-
 
 def _logistic(f: Fit, p: Mapping[str, float]) -> Estimator:
     # the penalty is on the mean loss, so 1 / C is divided by the row count
@@ -190,15 +183,13 @@ FACTORIES: dict[str, Callable[[Fit, Mapping[str, float]], Estimator]] = {
     "random_forest": _forest(RandomForestClassifier),
     "gradient_boosting": _boosting(GBTClassifier),
     "decision_tree": _tree(DecisionTreeClassifier),
-    "svm": lambda f, p: f.several(
-        LinearSVC(regParam=1.0 / (p["C"] * f.n), maxIter=int(p["max_iter"]), **f.common())
-    ),
+    "svm": lambda f, p: KernelFit(f.label, f.features, f.weight, f.classes, f.seed, p),
     "knn": lambda f, p: Nearest(f, int(p["k"]), False),
     "linear_regression": lambda f, p: LinearRegression(solver="normal", **f.common()),
     "random_forest_regressor": _forest(RandomForestRegressor),
     "gradient_boosting_regressor": _boosting(GBTRegressor),
     "decision_tree_regressor": _tree(DecisionTreeRegressor),
-    "svm_regressor": lambda f, p: LinearRegression(loss="huber", maxIter=int(p["max_iter"]), **f.common()),
+    "svm_regressor": lambda f, p: KernelFit(f.label, f.features, f.weight, 0, f.seed, p),
     "knn_regressor": lambda f, p: Nearest(f, int(p["k"]), True),
 }
 
