@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import any_of, clip, col, js_term, order_hash, present
 from plumbline.operators.prep import continuous_columns, numeric_columns
 from plumbline.session import materialise
-from plumbline.sources import readers, writers
+from plumbline.sources import digests, readers, writers
 
 # The fields of a gate record. The gates' names and detail keys below are fixed as well,
 # since stored records are read by them.
@@ -268,10 +268,22 @@ def adversarial_gate(
 
 
 def checksum_scan(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, file, name, bytes, sha256), one row per non-empty file below ``path``, ``file`` relative to it.
+    """(path, file, name, bytes, sha256), one row per file below ``path``, ``file`` relative to it.
 
-    Files above 2 GB do not fit a binary column; an empty file gives no row, so the gate sees it as missing.
+    Files are read in pieces by a Python data source, so that neither their size nor their number meets a limit; an empty file has
+    the digest of nothing. Folders in a store that only Spark can open are read by its binary reader, which leaves out
+    empty files and files above 2 GB fail there.
     """
+    try:
+        digests.open_store(path)
+    except ValueError:
+        return _binary_scan(spark, path, pattern)
+    spark.dataSource.register(digests.DigestSource)
+    reader = spark.read.format("file_digests").option("tasks", spark.conf.get("spark.sql.shuffle.partitions"))
+    return (reader.option("pattern", pattern) if pattern else reader).load(path)
+
+
+def _binary_scan(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

@@ -118,7 +118,7 @@ def wide_one_hot(df: DataFrame, name: str) -> DataFrame:
     labels = df.select(value.alias("_v")).filter("_v is not null").distinct()
     numbered = ranged_row_number(labels, ["_v"], "_i")
     size = numbered.count()
-    rows = df.withColumn("_v", value).join(numbered, "_v", "left")
+    rows = df.withColumn("_v", value).join(numbered, "_v", "left")  # AQE splits a hot value
     # the encoder drops its last index, so the first category gets that one, and a missing value as well
     place = F.when(F.col("_i") > 1, F.col("_i") - 2).otherwise(F.lit(size - 1)).cast("double")
     if size < 2:
@@ -134,16 +134,21 @@ def one_hot_drop_first(
     cols: Sequence[str],
     values: Mapping[str, Sequence[str]] | None = None,
     limit: int = MAX_CATEGORIES,
+    vectors: Sequence[str] | None = None,
 ) -> DataFrame:
     """One 0/1 double column ``col_value`` per sorted category but the first; missing gives zeros.
 
-    A column with more than ``limit`` categories becomes one sparse vector ``col_onehot`` instead.
+    Columns named in ``vectors`` become one sparse vector ``col_onehot`` each instead, whatever their size; all others become
+    columns. Only if ``vectors`` is not given, it is those with more than ``limit`` categories. A column form of more than
+    ``limit`` columns is an error, as no plan can hold any number of columns.
     """
-    values = values if values is not None else categories(df, cols, limit)
-    for c in cols:
-        if c not in values:
-            df = wide_one_hot(df, c)
-    cols = [c for c in cols if c in values]
+    values = values if values is not None else categories(df, [c for c in cols if c not in (vectors or ())], limit)
+    vectors = [c for c in cols if c not in values] if vectors is None else vectors
+    for c in vectors:
+        df = wide_one_hot(df, c)
+    cols = [c for c in cols if c not in vectors]
+    if wide := [c for c in cols if c not in values]:
+        raise ValueError(f"more than {limit} categories in {', '.join(wide)}: name them in vectors, or raise limit")
     dummies = [
         F.coalesce((_category_label(df, c) == F.lit(v)).cast("double"), F.lit(0.0)).alias(f"{c}_{v}")
         for c in cols

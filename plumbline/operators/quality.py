@@ -31,6 +31,7 @@ class Thresholds:
     outlier_std_dev: float = 4.0
     deduplicate: bool = True
     handle_outliers: bool = True
+    one_hot_vectors: tuple[str, ...] = ()
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -335,7 +336,8 @@ def clean(
 ) -> Cleaned:
     """Missing targets, sparse columns, duplicates, one-hot, infinities, outliers - in this order.
 
-    The duplicate-free table is written once; every later statistic reads that copy.
+    Text columns named in ``limits.one_hot_vectors``, and those with more categories than a plan can have columns
+    (``prep.MAX_CATEGORIES``), become one sparse vector feature ``col_onehot``; ``actions`` names them. The duplicate-free table is written once; every later statistic reads that copy.
     """
     actions: list[str] = []
     have = ~_missing(df, target)
@@ -360,10 +362,15 @@ def clean(
             actions.append(f"duplicate rows removed: {removed}")
     texts = prep.categorical_columns(work, kept)
     if texts:
-        values = prep.categories(work, texts)
-        work = prep.one_hot_drop_first(work, texts, values)
-        kept = [c for c in kept if c not in texts] + [f"{c}_{v}" for c in texts for v in values[c][1:]]
+        named = [c for c in texts if c in limits.one_hot_vectors]
+        values = prep.categories(work, [c for c in texts if c not in named])
+        wide = [c for c in texts if c not in values]
+        work = prep.one_hot_drop_first(work, texts, values, vectors=wide)
+        kept = [c for c in kept if c not in texts] + [f"{c}_{v}" for c in texts if c in values for v in values[c][1:]]
+        kept += [f"{c}_onehot" for c in wide if f"{c}_onehot" in work.columns]  # one value alone leaves no column
         actions.append(f"columns one-hot encoded: {', '.join(texts)}")
+        if wide:
+            actions.append(f"of these as one sparse vector each: {', '.join(wide)}")
     numeric = prep.numeric_columns(work, kept)
     infinite = prep.infinite_columns(work, numeric) if numeric else []
     if infinite:

@@ -97,6 +97,40 @@ def test_value_divergence_of_a_constant(spark):
     assert gates.value_js_divergence(df, "v", F.col("side") == "ref").first()["js_divergence"] == pytest.approx(0, abs=1e-8)
 
 
+def test_checksums_of_empty_nested_and_large_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    content = {"empty.bin": b"", "a/b.bin": b"x", "a/c/piece.bin": rng.bytes(9_000_000), "a.bin/d.bin": b"y"}
+    for place, data in content.items():
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_bytes(data)
+    (tmp_path / "_temporary").mkdir()
+    (tmp_path / "_temporary" / "e.bin").write_bytes(b"half")
+    (tmp_path / "other.txt").write_bytes(b"z")
+    with (tmp_path / "large.bin").open("wb") as f:  # zeros that take no disk
+        f.truncate((2 << 30) + 5)
+    zeros, h = bytes(1 << 20), hashlib.sha256()
+    for _ in range(2 << 10):
+        h.update(zeros)
+    h.update(bytes(5))
+    got = {r["file"]: r for r in gates.checksum_scan(spark, f"file://{tmp_path}/", "*.bin").collect()}
+    want = {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in content.items()} | {"large.bin": ((2 << 30) + 5, h.hexdigest())}
+    assert {k: (v["bytes"], v["sha256"]) for k, v in got.items()} == want
+    assert got["a/b.bin"]["name"] == "b.bin" and got["a/b.bin"]["path"].endswith("/a/b.bin")
+    one = gates.checksum_scan(spark, f"file:{tmp_path}/a/b.bin").collect()
+    assert [(r["file"], r["bytes"]) for r in one] == [("b.bin", 1)]
+
+
+def test_an_emptied_file_is_changed_and_a_new_empty_one_is_stored(spark, tmp_path):
+    folder, manifest = tmp_path / "files", str(tmp_path / "manifest")
+    folder.mkdir()
+    (folder / "a.bin").write_bytes(b"full")
+    (folder / "b.bin").write_bytes(b"")
+    assert gates.verify_files(spark, str(folder), manifest).first()["passed"]
+    (folder / "a.bin").write_bytes(b"")
+    row = gates.verify_files(spark, str(folder), manifest).first()
+    assert not row["passed"]
+
+
 def test_checksums(spark, tmp_path):
     (tmp_path / "model.bin").write_bytes(b"weights")
     (tmp_path / "other.bin").write_bytes(b"more")

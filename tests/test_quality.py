@@ -141,6 +141,34 @@ def test_one_hot_of_many_categories_is_a_sparse_vector(spark):
     assert all(r["c_onehot"].toArray().tolist() == want[r["id"]] for r in wide.collect())
 
 
+def test_one_hot_form_is_chosen_by_name(spark):
+    df = spark.createDataFrame([(i, f"v{i % 3}", f"w{i % 60}") for i in range(120)], "id int, c string, d string")
+    assert prep.one_hot_drop_first(df, ["c", "d"], limit=50, vectors=["d"]).columns == ["id", "d_onehot", "c_v1", "c_v2"]
+    assert prep.one_hot_drop_first(df, ["c"], limit=50, vectors=["c"]).columns == ["id", "d", "c_onehot"]
+    with pytest.raises(ValueError, match="more than 50 categories in d"):
+        prep.one_hot_drop_first(df, ["c", "d"], limit=50, vectors=[])
+
+
+@pytest.mark.parametrize("categories", [1001, 100_000])
+def test_cleaning_columns_of_many_categories(spark, categories):
+    n = max(3000, categories)
+    wide = F.concat(F.lit("v"), F.lpad((F.col("id") % categories).cast("string"), 6, "0"))
+    df = spark.range(n).select("id", wide.alias("wide"), F.concat(F.lit("c"), F.col("id") % 3).alias("few"), (F.col("id") * 1.0).alias("x"), (F.col("id") % 2).alias("y"))
+    done = quality.clean(df, ["wide", "few", "x"], "y", "id")
+    assert done.features == ["x", "few_c1", "few_c2", "wide_onehot"] and done.table.count() == n
+    assert "of these as one sparse vector each: wide" in done.actions
+    row = done.table.filter("id = 5").first()
+    assert (row["wide_onehot"].size, row["wide_onehot"].indices.tolist(), row["few_c2"]) == (categories - 1, [4], 1.0)
+    report = {r["phase"]: r for r in quality.clean_report(df, ["wide", "few", "x"], "y", "id").collect()}
+    assert (report["before"]["features"], report["after"]["features"], report["after"]["rows"]) == (3, 4, n)
+
+
+def test_cleaning_with_a_named_vector(spark):
+    df = spark.createDataFrame([(i, f"v{i % 3}", "same", float(i), i % 2) for i in range(60)], "id int, c string, d string, x double, y int")
+    done = quality.clean(df, ["c", "d", "x"], "y", "id", quality.Thresholds(one_hot_vectors=("c", "d")))
+    assert done.features == ["x", "c_onehot"]
+
+
 def test_codes_of_many_labels_with_one_prefix(spark):
     df = spark.range(3000).select(F.concat(F.lit("user_"), F.col("id").cast("string")).alias("target"))
     codes = {r["label"]: r["code"] for r in prep.label_codes(df).collect()}
