@@ -21,6 +21,8 @@ from plumbline.session import materialise
 
 #: Candidates of one list in one task; larger lists are dealt out in as many parts as needed.
 PART = 4096
+#: Queries that one task scans a part for.
+ASKED = 4096
 
 
 @dataclass(frozen=True)
@@ -94,12 +96,13 @@ class Scanner:
         self.width = rotated.shape[1]
         self.scanned = 0
 
-    def best(self, query: np.ndarray, plain: np.ndarray, own_id: int, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact squared distances of the nearest ``k`` found; ``limit`` is a known bound on the k-th."""
-        alive = np.flatnonzero(self.ids != own_id)
-        if len(alive) > 4 * k:  # the first few give the first bound
-            head = np.sort(self._exact(plain, alive[: 2 * k]))
-            limit = min(limit, float(head[k - 1]))
+    def best(self, query: np.ndarray, plain: np.ndarray, own_id: int | None, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and exact squared distances of the nearest ``k`` found; ``limit`` is a known bound on the k-th.
+
+        After each of the first blocks the candidates that look nearest get their distances, which tightens the bound before
+        the test of all others.
+        """
+        alive = np.arange(len(self.ids)) if own_id is None else np.flatnonzero(self.ids != own_id)
         partial = np.zeros(len(alive))
         done = 0
         for c, column in enumerate(self.columns):
@@ -108,7 +111,14 @@ class Scanner:
             partial += np.einsum("ij,ij->i", step, step)
             done += column.shape[1]
             self.scanned += len(alive) * column.shape[1]
-            if done < self.width and math.isfinite(limit):
+            if done == self.width:
+                break
+            # worth it where it is cheap beside what is left to scan
+            if c < 3 and len(alive) > 16 * k or math.isinf(limit) and len(alive) > 2 * k:
+                head = alive[np.argpartition(partial, k - 1)[:k]]
+                limit = min(limit, float(self._exact(plain, head).max()))
+                self.scanned += len(head) * self.width
+            if math.isfinite(limit):
                 # under a random rotation sqrt(partial * width / done) strays from the distance by about epsilon / sqrt(done) of it
                 bound = limit * (1 + self.epsilon / math.sqrt(done)) ** 2
                 stay = partial * (self.width / done) <= bound
@@ -128,7 +138,7 @@ def search(
     k: int = 10,
     recall: float = 0.97,
     sample_rows: int = 20_000,
-    block: int = 16,
+    block: int = 8,
     epsilon: float = 2.1,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
@@ -141,9 +151,10 @@ def search(
 
     The index is learned from about ``sample_rows`` rows, drawn by a hash of the id: sqrt(rows) lists, but no more than a
     sixteenth of the sample, and as many probes as put ``recall`` of the sample's own neighbours into probed lists. Every
-    row is put into the list of its nearest centroid. A query probes at least that many lists, and more until they
-    hold ``k`` candidates besides itself. A list with many rows, such as copies of one vector, is dealt out in parts,
-    and the best of all parts are merged.
+    row is put into the list of its nearest centroid; of equal vectors only the ``k`` + 1 smallest ids, as no other can be among
+    anyone's nearest, and equal queries are searched once. A query scans its nearest list first. What it finds there bounds the scans of its
+    other lists: at least as many as were learned, and more until they hold ``k`` candidates besides itself. Lists are
+    dealt out in parts of about ``PART`` candidates and ``ASKED`` queries, and the best of all parts are merged.
     """
     spark = table.sparkSession
     rows = materialise(valid_vectors(table, id_column, vector_column), "vectors")
@@ -167,7 +178,9 @@ def search(
                 near = _squares(_matrix(part.column("vector"), width) @ own.rotation, own.centroids).argmin(1)
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("vector"), pa.array(near.astype(np.int32))], names=["vec_id", "vector", "list"])
 
-    listed = materialise(rows.mapInArrow(assign, "vec_id long, vector array<double>, list int"), "listed")
+    few = Window.partitionBy("vector").orderBy("vec_id")
+    kept = rows.withColumn("_rn", F.row_number().over(few)).filter(F.col("_rn") <= k + 1).drop("_rn")
+    listed = materialise(kept.mapInArrow(assign, "vec_id long, vector array<double>, list int"), "listed")
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in listed.groupBy("list").count().collect():  # one row per list
         sizes[r["list"]] = r["count"]
@@ -186,17 +199,20 @@ def search(
                 q, nth = np.nonzero(np.arange(order.shape[1])[None, :] < need[:, None])
                 lists = order[q, nth]
                 parts = -(-n[lists] // PART)
-                q, lists = np.repeat(q, parts), np.repeat(lists, parts)
+                q, nth, lists = np.repeat(q, parts), np.repeat(nth, parts), np.repeat(lists, parts)
                 number = np.arange(len(q)) - np.repeat(np.cumsum(parts) - parts, parts)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(q)), part.column("vector").take(pa.array(q)), pa.array(lists.astype(np.int32)), pa.array(number.astype(np.int32))], names=["vec_id", "vector", "list", "part"])
-
-    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(probe, "vec_id long, vector array<double>, list int, part int")
-    parts = F.element_at(F.array(*[F.lit(int(-(-n // PART))) for n in sizes]), F.col("list") + 1) if len(sizes) <= 64 else None
-    if parts is None:
-        counts = spark.createDataFrame(pa.table({"list": pa.array(np.arange(len(sizes), dtype=np.int32)), "parts": pa.array(np.maximum(1, -(-sizes // PART)))}))
-        dealt = listed.join(counts, "list")
-    else:
-        dealt = listed.withColumn("parts", parts)
+                arrays = [part.column("vec_id").take(pa.array(q)), part.column("vector").take(pa.array(q))]
+                arrays += [pa.array(v.astype(np.int32)) for v in (lists, number, nth)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vector", "list", "part", "nth"])
+
+    # rows with equal vectors ask the same: the one with the smallest id asks for all
+    asking = rows.filter(F.col("vec_id") % every == 0).withColumn("first", F.min("vec_id").over(Window.partitionBy("vector")))
+    asking = materialise(asking, "queries")
+    asked = asking.filter(F.col("vec_id") == F.col("first")).select("vec_id", "vector")
+    probes = materialise(asked.mapInArrow(probe, "query_id long, vector array<double>, list int, part int, nth int"), "probes")
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // ASKED)))).cast("int")
+    counts = spark.createDataFrame(pa.table({"list": pa.array(np.arange(len(sizes), dtype=np.int32)), "parts": pa.array(np.maximum(1, -(-sizes // PART)))}))
+    dealt = listed.join(F.broadcast(counts), "list")  # one row per list
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
 
     def scan(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -207,17 +223,35 @@ def search(
             plain = _matrix(left.column("vector").combine_chunks(), width)
             ids = left.column("vec_id").to_numpy()
             scanner = Scanner(plain @ own.rotation, plain, ids, block, epsilon)
-            asked = _matrix(right.column("vector").combine_chunks(), width)
-            turned = asked @ own.rotation
-            for n, q in enumerate(right.column("vec_id").to_numpy()):
-                at, square = scanner.best(turned[n], asked[n], q, k, math.inf)
+            vectors = _matrix(right.column("vector").combine_chunks(), width)
+            turned = vectors @ own.rotation
+            limits = right.column("limit").to_numpy()
+            for n, q in enumerate(right.column("query_id").to_numpy()):
+                at, square = scanner.best(turned[n], vectors[n], None, k + 1, limits[n])
                 out["query_id"].append(np.full(len(at), q))
                 out["vec_id"].append(ids[at])
                 out["square"].append(square)
         return pa.table({c: np.concatenate(v) if v else np.zeros(0, np.float64 if c == "square" else np.int64) for c, v in out.items()})
 
-    found = dealt.groupBy("list", "part").cogroup(queries.groupBy("list", "part")).applyInArrow(scan, "query_id long, vec_id long, square double")
-    # at most k rows of each probed part of a list meet here
+    def scanned(visits: DataFrame) -> DataFrame:
+        visits = visits.withColumn("chunk", chunk)
+        needed = visits.select(F.col("list").alias("l"), F.col("part").alias("p"), F.col("chunk").alias("c")).distinct()
+        facing = dealt.join(needed, (F.col("list") == F.col("l")) & (F.col("part") == F.col("p")))
+        groups = facing.groupBy("l", "p", "c").cogroup(visits.groupBy("list", "part", "chunk"))
+        return groups.applyInArrow(scan, "query_id long, vec_id long, square double")
+
     order = Window.partitionBy("query_id").orderBy("square", "vec_id")
-    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("square").alias("score"))
+    near = materialise(scanned(probes.filter("nth = 0").withColumn("limit", F.lit(math.inf))), "nearest-lists")
+    placed = near.withColumn("rank", F.row_number().over(order))
+    # found already: the bound for all other lists, a little widened for rounding
+    bounds = placed.filter(F.col("rank") == k + 1).select(F.col("query_id").alias("q"), (F.col("square") * (1 + 1e-12)).alias("bound"))
+    others = probes.filter("nth > 0").join(bounds, F.col("query_id") == F.col("q"), "left").drop("q")
+    others = others.withColumn("limit", F.coalesce("bound", F.lit(math.inf))).drop("bound")
+    # at most k + 1 rows of each probed part of a list meet here
+    found = near.unionByName(scanned(others))
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1)
+    each = asking.select(F.col("vec_id").alias("own"), F.col("first").alias("f"))
+    told = best.join(each, F.col("query_id") == F.col("f")).filter(F.col("vec_id") != F.col("own"))
+    last = Window.partitionBy("own").orderBy("square", "vec_id")
+    told = told.withColumn("nth", F.row_number().over(last)).filter(F.col("nth") <= k)
+    return told.select(F.col("own").alias("query_id"), F.col("nth").cast("int").alias("rank"), "vec_id", F.sqrt("square").alias("score"))

@@ -37,6 +37,9 @@ SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 CHECKED = 0x80
 
+#: Tokens of a file that one task reads back, with the documents that begin in them.
+READ_TOKENS = 1 << 22
+
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -216,7 +219,9 @@ def read_token_files(manifest: DataFrame, wanted: DataFrame | None = None, id_ty
         for batch in batches:
             for row in batch.to_pylist():
                 reader = _open(row["folder"], row["path"])
-                yield from pick(reader, row["before"], np.arange(len(reader.doc_ids)))
+                # the documents that begin in this run of tokens; empty ones don't exist, as each has its end id
+                a, b = np.searchsorted(reader.first[:-1], [row["run"] * READ_TOKENS, (row["run"] + 1) * READ_TOKENS])
+                yield from pick(reader, row["before"], np.arange(a, b))
 
     def directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +239,13 @@ def read_token_files(manifest: DataFrame, wanted: DataFrame | None = None, id_ty
                     reader, path = _open(folder, own), own
                 yield from pick(reader, int(rows["before"].iloc[0]), rows["at"].to_numpy())
 
-    tasks = files.select("folder", "path", "before").repartition("path")
+    runs = F.ceil(F.col("n_tokens") / READ_TOKENS)
+    n_files, n_runs = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum(runs), F.lit(0))).first()
     if wanted is None:
-        return tasks.mapInArrow(all_of, schema)
+        # a number of partitions that is given is not made smaller by the planner: one task for each run of tokens
+        each = files.select("folder", "path", "before", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1)).alias("run"))
+        return each.repartition(max(1, n_runs)).mapInArrow(all_of, schema)
+    tasks = files.select("folder", "path", "before").repartition(max(1, n_files))
     entries = tasks.mapInArrow(directory, f"doc_id {id_type}, at long, path string, folder string, before long")
     found = entries.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     return found.repartition("path").sortWithinPartitions("path", "at").mapInArrow(some_of, schema)
