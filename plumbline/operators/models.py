@@ -12,14 +12,12 @@ import pandas as pd
 from pyspark.ml import Estimator, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
-    GBTRegressor,
     LinearRegression,
     RandomForestRegressor,
 )
@@ -30,23 +28,27 @@ from pyspark.sql import types as T
 from plumbline.functions.scalars import col, total
 from plumbline.operators import metrics
 from plumbline.operators.features import class_counts, kfold_assign, to_vector, weights_of, with_class_weights
+from plumbline.operators.boosting import BoostedFit
 from plumbline.operators.kernels import KernelFit
 from plumbline.operators.neighbour_join import nearest
 from plumbline.session import materialise, small_table
 
 log = logging.getLogger(__name__)
 
-# The default hyper-parameters.
+# The default hyper-parameters. Of boosting: penalty of leaf values, least curvature of a leaf, least gain.
+BOOSTING = {"l2": 1.0, "min_child": 1.0, "gamma": 0.0}
 DEFAULTS: dict[str, dict[str, float]] = {
     "logistic_regression": {"C": 1.0, "max_iter": 1000},
     "random_forest": {"trees": 100, "depth": 10, "min_split": 5},
-    "gradient_boosting": {"rounds": 100, "rate": 0.1, "depth": 5},
+    "gradient_boosting": {"rounds": 100, "rate": 0.1, "depth": 5} | BOOSTING,
+    "xgboost": {"rounds": 100, "rate": 0.3, "depth": 6} | BOOSTING,
     "decision_tree": {"depth": 30},
     "svm": {"C": 1.0, "gamma": 0.0, "size": 200},
     "knn": {"k": 5},
     "linear_regression": {},
     "random_forest_regressor": {"trees": 100, "depth": 10, "min_split": 5},
-    "gradient_boosting_regressor": {"rounds": 100, "rate": 0.1, "depth": 5},
+    "gradient_boosting_regressor": {"rounds": 100, "rate": 0.1, "depth": 5} | BOOSTING,
+    "xgboost_regressor": {"rounds": 100, "rate": 0.3, "depth": 6} | BOOSTING,
     "decision_tree_regressor": {"depth": 30},
     "svm_regressor": {"C": 1.0, "gamma": 0.0, "size": 200, "epsilon": 0.1},
     "knn_regressor": {"k": 5},
@@ -87,51 +89,8 @@ def _forest(cls: type) -> Callable[[Fit, Mapping[str, float]], Estimator]:
     return make
 
 
-class PerClassModel:
-    """One two-class model per class; the probabilities are theirs for their own class, made to sum to 1."""
-
-    def __init__(self, models: Sequence[Transformer], features: str) -> None:
-        self.models, self.features = list(models), features
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out, own = df, []
-        for i, m in enumerate(self.models):
-            names = {k: f"_{k}_{i}" for k in ("prediction", "rawPrediction", "probability")}
-            out = m.copy({m.predictionCol: names["prediction"], m.rawPredictionCol: names["rawPrediction"], m.probabilityCol: names["probability"]}).transform(out)
-            out = out.withColumn(f"_own_{i}", vector_to_array(F.col(names["probability"]))[1]).drop(*names.values())
-            own.append(F.col(f"_own_{i}"))
-        sums = F.greatest(total(own), F.lit(1e-300))
-        shares = F.array(*[p / sums for p in own])
-        best = F.array_position(shares, F.array_max(shares)) - 1
-        out = out.withColumns({"probability": array_to_vector(shares), "prediction": best.cast("double")})
-        return out.drop(*[f"_own_{i}" for i in range(len(own))])
-
-
-@dataclass(frozen=True)
-class PerClass:
-    """Fits a two-class estimator with probabilities once per class."""
-
-    binary: Estimator
-    info: Fit
-
-    def fit(self, table: DataFrame) -> PerClassModel:
-        label = self.info.label
-        models = [
-            self.binary.fit(table.withColumn(label, (F.col(label) == float(c)).cast("double")))
-            for c in range(self.info.classes)
-        ]
-        return PerClassModel(models, self.info.features)
-
-
-def _boosting(cls: type) -> Callable[[Fit, Mapping[str, float]], Estimator]:
-    def make(f: Fit, p: Mapping[str, float]) -> Estimator:
-        one = cls(
-            maxIter=int(p["rounds"]), stepSize=p["rate"], maxDepth=int(p["depth"]), checkpointInterval=10,
-            seed=f.seed, **f.common(),
-        )
-        return PerClass(one, f) if cls is GBTClassifier and f.classes > 2 else one
-
-    return make
+def _boosting(regression: bool) -> Callable[[Fit, Mapping[str, float]], Estimator]:
+    return lambda f, p: BoostedFit(f.label, f.features, f.weight, 0 if regression else f.classes, p)
 
 
 class NearestModel:
@@ -181,13 +140,15 @@ def _tree(cls: type) -> Callable[[Fit, Mapping[str, float]], Estimator]:
 FACTORIES: dict[str, Callable[[Fit, Mapping[str, float]], Estimator]] = {
     "logistic_regression": _logistic,
     "random_forest": _forest(RandomForestClassifier),
-    "gradient_boosting": _boosting(GBTClassifier),
+    "gradient_boosting": _boosting(False),
+    "xgboost": _boosting(False),
     "decision_tree": _tree(DecisionTreeClassifier),
     "svm": lambda f, p: KernelFit(f.label, f.features, f.weight, f.classes, f.seed, p),
     "knn": lambda f, p: Nearest(f, int(p["k"]), False),
     "linear_regression": lambda f, p: LinearRegression(solver="normal", **f.common()),
     "random_forest_regressor": _forest(RandomForestRegressor),
-    "gradient_boosting_regressor": _boosting(GBTRegressor),
+    "gradient_boosting_regressor": _boosting(True),
+    "xgboost_regressor": _boosting(True),
     "decision_tree_regressor": _tree(DecisionTreeRegressor),
     "svm_regressor": lambda f, p: KernelFit(f.label, f.features, f.weight, 0, f.seed, p),
     "knn_regressor": lambda f, p: Nearest(f, int(p["k"]), True),

@@ -17,11 +17,12 @@ from pyspark.sql import SparkSession
 
 from plumbline.operators.anomaly import IsolationForest, ReferenceProfile
 from plumbline.operators.features import Components, FeatureTransform, Imputer, Scaler
+from plumbline.operators.boosting import BoostedTrees
 from plumbline.operators.kernels import KernelMachine
-from plumbline.operators.models import NearestModel, PerClassModel
+from plumbline.operators.models import NearestModel
 from plumbline.session import small_table
 
-KINDS = {c.__name__: c for c in (Imputer, Scaler, Components, FeatureTransform, ReferenceProfile, IsolationForest, KernelMachine)}
+KINDS = {c.__name__: c for c in (Imputer, Scaler, Components, FeatureTransform, ReferenceProfile, IsolationForest, KernelMachine, BoostedTrees)}
 
 
 def _plain(value: Any) -> Any:
@@ -63,18 +64,14 @@ def load_state(spark: SparkSession, path: str) -> Any:
     return _object(json.loads(spark.read.text(path, wholetext=True).first()["value"]))
 
 
-def save_model(spark: SparkSession, model: Transformer | PerClassModel | NearestModel | KernelMachine, path: str) -> None:
+def save_model(spark: SparkSession, model: Transformer | NearestModel | KernelMachine | BoostedTrees, path: str) -> None:
     """Store a model that ``models.fit`` gave."""
-    if isinstance(model, PerClassModel):
-        _note(spark, path, {"kind": "per_class", "models": len(model.models), "features": model.features})
-        for i, one in enumerate(model.models):
-            one.write().overwrite().save(f"{path}/model_{i}")
-    elif isinstance(model, NearestModel):
+    if isinstance(model, NearestModel):
         _note(spark, path, {"kind": "nearest", "k": model.k, "classes": model.classes, "features": model.features})
         model.train.write.mode("overwrite").parquet(f"{path}/rows")
-    elif isinstance(model, KernelMachine):
-        _note(spark, path, {"kind": "kernel"})
-        save_state(spark, model, f"{path}/machine")
+    elif isinstance(model, (KernelMachine, BoostedTrees)):
+        _note(spark, path, {"kind": "arrays"})
+        save_state(spark, model, f"{path}/arrays")
     else:
         _note(spark, path, {"kind": "single"})
         model.write().overwrite().save(f"{path}/model_0")
@@ -89,7 +86,6 @@ def load_model(spark: SparkSession, path: str) -> Any:
     note = json.loads(spark.read.text(f"{path}/note").first()["value"])
     if note["kind"] == "nearest":
         return NearestModel(spark.read.parquet(f"{path}/rows"), note["k"], note["classes"], note["features"])
-    if note["kind"] == "kernel":
-        return load_state(spark, f"{path}/machine")
-    models = [DefaultParamsReader.loadParamsInstance(f"{path}/model_{i}", spark) for i in range(note.get("models", 1))]
-    return PerClassModel(models, note["features"]) if note["kind"] == "per_class" else models[0]
+    if note["kind"] == "arrays":
+        return load_state(spark, f"{path}/arrays")
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model_0", spark)

@@ -1,9 +1,11 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import features as ft
-from plumbline.operators import kernels, models, neighbour_join
+from plumbline.operators import boosting, kernels, models, neighbour_join
 
 
 @pytest.fixture(scope="module")
@@ -17,8 +19,8 @@ def learnable(spark):
 
 COLS = ["a", "b", "c"]
 SMALL = {
-    "random_forest": {"trees": 10}, "gradient_boosting": {"rounds": 5, "depth": 3}, "decision_tree": {"depth": 6},
-    "random_forest_regressor": {"trees": 10}, "gradient_boosting_regressor": {"rounds": 10, "depth": 3},
+    "random_forest": {"trees": 10}, "gradient_boosting": {"rounds": 5, "depth": 3}, "xgboost": {"rounds": 5, "depth": 3}, "decision_tree": {"depth": 6},
+    "random_forest_regressor": {"trees": 10}, "gradient_boosting_regressor": {"rounds": 15, "depth": 3}, "xgboost_regressor": {"rounds": 8, "depth": 3},
     "decision_tree_regressor": {"depth": 6},
 }
 
@@ -46,6 +48,73 @@ def test_three_classes(spark, learnable, name):
     assert found["roc_auc"] > 0.8
 
 
+def _grown(x, g, h, rows, depth, p, rate):
+    """A tree by trying every value of every feature, as nested (feature, cut, left, right) or a leaf value."""
+    leaf = -rate * g[rows].sum() / (h[rows].sum() + p["l2"])
+    best = (1e-12, None)
+    for f in range(x.shape[1]) if depth else ():
+        for c in np.unique(x[rows, f]):
+            left, right = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+            if not len(right) or min(h[left].sum(), h[right].sum()) < p["min_child"]:
+                continue
+            gain = 0.5 * sum(s * g[r].sum() ** 2 / (h[r].sum() + p["l2"]) for s, r in ((1, left), (1, right), (-1, rows))) - p["gamma"]
+            if gain > best[0] * (1 + 1e-9):
+                best = (gain, (f, c, left, right))
+    if best[1] is None:
+        return leaf
+    f, c, left, right = best[1]
+    return f, c, _grown(x, g, h, left, depth - 1, p, rate), _grown(x, g, h, right, depth - 1, p, rate)
+
+
+def _nested(model, t, k, node=0):
+    f = model.feature[t, k, node]
+    if f < 0:
+        return pytest.approx(model.value[t, k, node])
+    return f, pytest.approx(model.cut[t, k, node]), _nested(model, t, k, 2 * node + 1), _nested(model, t, k, 2 * node + 2)
+
+
+@pytest.mark.parametrize("kind, classes", [("squared", 0), ("binary", 2), ("softmax", 3)])
+def test_boosted_trees_are_those_of_exhaustive_search(spark, rng, kind, classes):
+    x = rng.integers(0, 12, (50, 3)).astype(float)
+    score = x[:, 0] - x[:, 1] + rng.normal(size=50)
+    y = score if not classes else (score > 0).astype(float) if classes == 2 else np.digitize(score, [-3, 3]).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, target double").repartition(3)
+    p = {"rounds": 13, "depth": 3, "rate": 0.3, "min_child": 0.5}
+    model = models.fit(df, "gradient_boosting" if classes else "gradient_boosting_regressor", COLS, "target", p, imbalance=0.0)
+    p |= {"l2": 1.0, "gamma": 0.0}
+    assert model.kind == kind and (np.diff(model.losses) < 0).all()
+    margin = np.tile(model.base, (50, 1))
+    for t in range(len(model.feature)):
+        g, h, loss = boosting.derivatives(kind, margin, y, np.ones(50))
+        assert loss / 50 == pytest.approx(model.losses[t])
+        for k in range(len(model.base)):
+            assert _grown(x, g[:, k], h[:, k], np.arange(50), 3, p, 0.3) == _nested(model, t, k)
+        margin = model.base + replace(model, feature=model.feature[: t + 1], cut=model.cut[: t + 1], value=model.value[: t + 1]).margins(x)
+    scored = models.batch_score(df, model, COLS, vector=True).collect()
+    want = margin[:, 0] if not classes else margin[:, 0] > 0 if classes == 2 else margin.argmax(1)
+    assert sorted(r["prediction"] for r in scored) == pytest.approx(sorted(map(float, want)))
+
+
+def test_derivatives_against_differences(rng):
+    y, w = rng.integers(0, 3, 20).astype(float), rng.uniform(1, 2, 20)
+    for kind, outputs in (("squared", 1), ("binary", 1), ("softmax", 3)):
+        m, t = rng.normal(size=(20, outputs)), np.minimum(y, 1) if kind == "binary" else y
+        g, h, _ = boosting.derivatives(kind, m, t, w)
+        for k in range(outputs):
+            up, down = m.copy(), m.copy()
+            up[:, k] += 1e-5
+            down[:, k] -= 1e-5
+            slope = (boosting.derivatives(kind, up, t, w)[2] - boosting.derivatives(kind, down, t, w)[2]) / 2e-5
+            assert g[:, k].sum() == pytest.approx(slope, rel=1e-5)
+            bend = (boosting.derivatives(kind, up, t, w)[0] - boosting.derivatives(kind, down, t, w)[0])[:, k] / 2e-5
+            assert h[:, k] == pytest.approx(bend * (2 if kind == "softmax" else 1), rel=1e-4, abs=1e-8)
+
+
+def test_boosting_depth_is_checked(learnable):
+    with pytest.raises(ValueError, match="depth is 13"):
+        models.fit(learnable, "xgboost", COLS, params={"depth": 13})
+
+
 def _rings(spark, rng, n=600):
     angle, radius = rng.uniform(0, 2 * np.pi, n), np.where(np.arange(n) % 2, 1.0, 3.0) + rng.normal(size=n) * 0.3
     rows = [(i, float(r * np.cos(a)), float(r * np.sin(a)), i % 2, float(r * r)) for i, (a, r) in enumerate(zip(angle, radius))]
