@@ -28,23 +28,48 @@ MODEL_METRICS = {
 }
 
 _METRICS = ", ".join(f"{m}: double" for m in MODEL_METRICS)
-_MODEL = f"struct<algorithm: string, run_id: string, model_path: string, metrics: struct<{_METRICS}>>"
+_HYPER = "hyperparams: map<string, string>, confusion_matrix: array<array<bigint>>"
+_MODEL = f"struct<algorithm: string, run_id: string, model_path: string, {_HYPER}, metrics: struct<{_METRICS}>>"
 _GATE = "struct<gate: string, passed: boolean, score: double, details: map<string, string>>"
 # The fields of an experiment document.
 EXPERIMENT_SCHEMA = (
     "experiment_id string, experiment_name string, model_version string, dataset_id string, created_at string, "
     "status string, error_message string, "
     "dataset struct<name: string, file_name: string, dataset_id: string, source: string, task_type: string>, "
+    "data_quality struct<passed: boolean, reasons: array<string>, actions: array<string>>, "
     f"models map<string, {_MODEL}>, "
-    f"best_model struct<algorithm: string, run_id: string, model_path: string, optimal_threshold: double, metrics: struct<{_METRICS}>>, "
+    f"best_model struct<algorithm: string, run_id: string, model_path: string, {_HYPER}, optimal_threshold: double, metrics: struct<{_METRICS}>>, "
     f"security struct<overall_passed: boolean, overall_score: double, gate_results: array<{_GATE}>>, "
     "deployment struct<stage: string, model_version: string, registered: boolean>, "
     "research_metrics struct<task_type: string, f1_score: double, r2_score: double, security_compliance: double>"
 )
 
 
-def build_experiments(runs: DataFrame, results: DataFrame, gates: DataFrame, on: str = "experiment_id") -> DataFrame:
-    """Experiment documents from three flat tables.
+def _confusion() -> Column:
+    """Rows by label and columns by prediction, from the counts ``confusion_<label>_<prediction>``; null if there are none."""
+    counts = F.map_filter("m", lambda k, _: F.startswith(k, F.lit("confusion_")))
+    codes = F.flatten(F.transform(F.map_keys(counts), lambda k: F.slice(F.split(k, "_"), 2, 2)))
+    most = F.array_max(F.transform(codes, lambda c: c.cast("int")))
+    every = F.sequence(F.lit(0), most)
+
+    def cell(i: Column, j: Column) -> Column:
+        return F.coalesce(F.element_at(counts, F.concat_ws("_", F.lit("confusion"), i.cast("string"), j.cast("string"))), F.lit(0.0)).cast("bigint")
+
+    return F.when(F.size(counts) > 0, F.transform(every, lambda i: F.transform(every, lambda j: cell(i, j))))
+
+
+def build_experiments(
+    runs: DataFrame,
+    results: DataFrame,
+    gates: DataFrame,
+    on: str = "experiment_id",
+    details: DataFrame | None = None,
+    quality: DataFrame | None = None,
+) -> DataFrame:
+    """Experiment documents from flat tables.
+
+    ``details`` may add (id, algorithm, run_id, model_path, hyperparams), and ``quality`` (id, passed, reasons, actions); without
+    it a table counts as passed. Results named ``confusion_<label>_<prediction>`` become a matrix.
 
     ``runs`` has one row per experiment (id, name, version, dataset fields, created_at, status),
     ``results`` (id, algorithm, position, metric, value) and ``gates`` (id and a gate record). The best
@@ -56,12 +81,12 @@ def build_experiments(runs: DataFrame, results: DataFrame, gates: DataFrame, on:
     measured = F.struct(
         *[F.coalesce(F.col("m").getItem(k), F.lit(default)).alias(k) for k, default in MODEL_METRICS.items()]
     )
-    model = F.struct(
-        "algorithm",
-        F.lit(None).cast("string").alias("run_id"),
-        F.lit(None).cast("string").alias("model_path"),
-        measured.alias("metrics"),
-    )
+    kinds = {"run_id": "string", "model_path": "string", "hyperparams": "map<string,string>"}
+    if details is None:
+        wide = wide.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()})
+    else:
+        wide = wide.join(details.select(on, "algorithm", *kinds), [on, "algorithm"], "left")
+    model = F.struct("algorithm", *kinds, _confusion().alias("confusion_matrix"), measured.alias("metrics"))
     per_run = (
         wide.join(runs.select(on, "task_type"), on)
         .withColumn("model", model)
@@ -79,6 +104,9 @@ def build_experiments(runs: DataFrame, results: DataFrame, gates: DataFrame, on:
             F.sort_array(F.collect_list(F.struct("gate", "passed", "score"))).alias("gate_results"),
         ).alias("security")
     )
+    fine = F.struct(F.lit(True).alias("passed"), *[F.array().cast("array<string>").alias(c) for c in ("reasons", "actions")])
+    if quality is not None:
+        runs = runs.join(quality.select(on, F.struct("passed", "reasons", "actions").alias("data_quality")), on, "left")
     threshold = F.when(F.col("task_type") == "regression", 0.5).otherwise(F.col("best.metrics.optimal_threshold"))
     return (
         runs.join(per_run, on, "left")
@@ -91,11 +119,12 @@ def build_experiments(runs: DataFrame, results: DataFrame, gates: DataFrame, on:
             "created_at",
             "status",
             F.struct("dataset_id", "file_name", "task_type").alias("dataset"),
+            (fine if quality is None else F.coalesce("data_quality", fine)).alias("data_quality"),
             "models",
             F.when(
                 F.col("best").isNotNull(),
                 F.struct(
-                    F.col("best.algorithm").alias("algorithm"),
+                    *[F.col(f"best.{c}").alias(c) for c in ("algorithm", *kinds, "confusion_matrix")],
                     threshold.alias("optimal_threshold"),
                     F.col("best.metrics").alias("metrics"),
                 ),

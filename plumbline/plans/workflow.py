@@ -93,8 +93,17 @@ def run_pipeline(
         "experiment_id string, experiment_name string, model_version string, dataset_id string, file_name string, "
         "task_type string, created_at string, status string",
     )
-    document = experiments.build_experiments(run, short.withColumn("experiment_id", F.lit(experiment_id)), checked)
-    document = materialise(document, "pipeline-document")
+    settings = {n: {k: str(v) for k, v in (models.DEFAULTS[n] | dict((params or {}).get(n, {}))).items()} for n in fitted}
+    details = small_table(
+        spark,
+        [(experiment_id, n, f"{experiment_id}-{n}", f"{path}/model" if n == best else None, settings[n]) for n in fitted],
+        "experiment_id string, algorithm string, run_id string, model_path string, hyperparams map<string,string>",
+    )
+    report = small_table(
+        spark, [(experiment_id, True, [], list(cleaned.actions))], "experiment_id string, passed boolean, reasons array<string>, actions array<string>"
+    )
+    told = short.withColumn("experiment_id", F.lit(experiment_id))
+    document = materialise(experiments.build_experiments(run, told, checked, details=details, quality=report), "pipeline-document")
     writers.write_splits(ready, f"{path}/splits")
     save_state(spark, transform, f"{path}/transform")
     save_state(spark, anomaly.ReferenceProfile.fit(ready.filter("split = 'train'"), cols), f"{path}/profile")

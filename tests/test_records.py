@@ -1,11 +1,12 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import envelopment, experiments, ranking
-from plumbline.sources import readers, writers
+from plumbline.sources import commits, readers, writers
 
 COLUMNS = ["name", *ranking.INPUTS, *ranking.OUTPUTS]
 
@@ -162,6 +163,51 @@ def test_experiment_documents(spark, tmp_path):
     assert (kpis["total"], kpis["completed"], kpis["failed"], kpis["avg_security_pct"]) == (2, 1, 1, 25.0)
 
 
+def test_documents_carry_settings_quality_and_confusion(spark, tmp_path):
+    runs = spark.createDataFrame([("e", "n", "v1", "d", "f", "t", "COMPLETED", "classification")], "experiment_id string, experiment_name string, model_version string, dataset_id string, file_name string, created_at string, status string, task_type string")
+    cells = {"f1": 0.8, "confusion_0_0": 5.0, "confusion_2_1": 3.0, "confusion_1_1": 7.0}
+    results = spark.createDataFrame([("e", "svm", 0, k, v) for k, v in cells.items()] + [("e", "knn", 1, "f1", 0.7)], "experiment_id string, algorithm string, position int, metric string, value double")
+    gates = spark.createDataFrame([("e", "g", True, 1.0)], "experiment_id string, gate string, passed boolean, score double")
+    details = spark.createDataFrame([("e", "svm", "r1", "/m", {"C": "1.0"})], "experiment_id string, algorithm string, run_id string, model_path string, hyperparams map<string,string>")
+    quality = spark.createDataFrame([("e", False, ["few rows"], ["one dropped"])], "experiment_id string, passed boolean, reasons array<string>, actions array<string>")
+    docs = experiments.build_experiments(runs, results, gates, details=details, quality=quality)
+    writers.write_experiments(docs, str(tmp_path / "d"))
+    doc = readers.read_experiments(spark, str(tmp_path / "d")).first()
+    assert doc["models"]["svm"]["hyperparams"] == {"C": "1.0"} and doc["models"]["knn"]["hyperparams"] is None
+    assert doc["best_model"]["confusion_matrix"] == [[5, 0, 0], [0, 7, 0], [0, 3, 0]] and doc["models"]["knn"]["confusion_matrix"] is None
+    assert (doc["best_model"]["run_id"], doc["best_model"]["model_path"]) == ("r1", "/m")
+    assert doc["data_quality"].asDict() == {"passed": False, "reasons": ["few rows"], "actions": ["one dropped"]}
+    assert experiments.build_experiments(runs, results, gates).first()["data_quality"]["passed"]
+
+
+def test_writers_at_once_never_share_a_number(spark, tmp_path):
+    folder = str(tmp_path / "events")
+
+    def work(k):
+        return [commits.register_version(spark, folder, "m/1", f"2024-01-01T00:00:{k:02}") for _ in range(10)]
+
+    with ThreadPoolExecutor(8) as pool:
+        versions = [v for found in pool.map(work, range(8)) for v in found]
+    assert sorted(versions) == list(range(1, 81))
+    events = commits.read_events(spark, folder)
+    assert sorted(r["event_id"] for r in events.collect()) == list(range(1, 81))
+    commits.commit_transition(spark, folder, "m/1", 7, "Production", "2024-01-02T00:00:00")
+    commits.commit_transition(spark, folder, "m/1", 9, "Production", "2024-01-02T00:00:00")
+    found = {r["version"]: r["stage"] for r in experiments.registry_current(commits.read_events(spark, folder)).collect()}
+    assert found[9] == "Production" and found[7] == "Archived" and found[1] == "None" and len(found) == 80
+
+
+def test_documents_committed_at_once_get_versions_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    docs = [spark.createDataFrame([(f"e{k}", "v0")], "experiment_id string, model_version string") for k in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda d: commits.commit_experiment(d, path), docs))
+    stored = {r["experiment_id"]: r["model_version"] for r in readers.read_experiments(spark, path).collect()}
+    assert stored == {f"e{k}": v for k, v in enumerate(versions)} and sorted(versions) == [f"v{n}" for n in range(1, 7)]
+    assert commits.put_if_absent(spark, f"{path}/_versions/0000000001.json", b"x") is False
+    assert commits.last_number(spark, f"file://{path}/_versions") == 6
+
+
 def test_registry(spark):
     rows = [("m", 1, "Staging", 1), ("m", 1, "Production", 2), ("m", 2, "Production", 3), ("m", 3, "Staging", 4), ("k", 1, "Production", 1)]
     df = spark.createDataFrame(rows, "model string, version int, stage string, event_time int").withColumn("event_id", F.col("event_time"))
