@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import col
 from plumbline.operators.experiments import EXPERIMENT_SCHEMA
+from plumbline.sources.quoted_csv import read_quoted
 
 # The texts of a CSV field that mean a missing value.
 MISSING_TOKENS = (
@@ -32,15 +33,17 @@ def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> D
     True/False without gaps boolean, the rest string. Missing tokens are null.
 
     Inference is one aggregate over all columns and rows. Quoted fields may hold line breaks if
-    ``multiline``; then each file is read by one task. By default one pass over the lines finds out
-    whether that is needed. With ``multiline=False`` a line that leaves a quote open is an error.
+    ``multiline``; then a file is read by many tasks that agree on its quotes (``quoted_csv``), or by one where that can't be.
+    By default one pass over the lines finds out whether that is needed. With ``multiline=False`` a line that leaves a quote open is an error.
     """
     if not multiline:
         unbalanced = _open_quotes(spark, path)
         if unbalanced and multiline is False:
             raise ValueError(f"a quoted field runs over a line break in {path}; read it with multiline")
         multiline = unbalanced
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline)
+    raw = read_quoted(spark, path) if multiline else None
+    if raw is None:
+        raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline)
     text = raw.select(*[F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in raw.columns])
     checks = {"whole": _WHOLE, "number": _NUMBER}
     row = text.agg(

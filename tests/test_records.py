@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import envelopment, experiments, ranking
-from plumbline.sources import commits, readers, writers
+from plumbline.sources import commits, quoted_csv, readers, writers
 
 COLUMNS = ["name", *ranking.INPUTS, *ranking.OUTPUTS]
 
@@ -231,6 +231,49 @@ def test_csv_types_and_missing_tokens(spark, tmp_path):
     assert tuple(rows[2]) == (3, 3.0, float("-inf"), True, None, None)
 
 
+def _one_task(spark, path):
+    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+
+
+@pytest.mark.parametrize("size", [37, 400, 5000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, rng, size, end):
+    texts = ["plain", "", '"two\nlines"', '"a, ""b"" c"', '""', '"\n\n"', "é日", '"ends with break\n"', '"""\n"""']
+    for name in ("a.csv", "b.csv"):
+        lines = [f"{i},{texts[rng.integers(len(texts))]},{texts[rng.integers(len(texts))]}" for i in range(300)]
+        (tmp_path / name).write_text(end.join(["id,t,u", *lines]) + (end if name == "a.csv" else ""), newline="")
+    found = quoted_csv.read_quoted(spark, str(tmp_path), size)
+    want = _one_task(spark, str(tmp_path))
+
+    def plain(df):  # the reader of one task keeps quoted nothing as an empty text
+        return sorted((r["id"], r["t"] or "", r["u"] or "") for r in df.collect())
+
+    assert found.columns == want.columns and plain(found) == plain(want) and found.count() == 600
+    bytes_ = sum(f.stat().st_size for f in tmp_path.glob("*.csv"))
+    parts = found.select(F.input_file_name()).distinct().count()
+    assert parts > 10 if bytes_ > 40 * size else parts >= 1
+
+
+def test_quoted_csv_that_needs_one_task(spark, tmp_path):
+    (tmp_path / "stray").mkdir()
+    (tmp_path / "stray" / "a.csv").write_text('id,t\n1,5" pipe\n2,"x\ny"\n')
+    assert quoted_csv.read_quoted(spark, str(tmp_path / "stray"), 10) is None
+    (tmp_path / "unlike").mkdir()
+    for name, head in (("a.csv", "id,t"), ("b.csv", "t,id")):
+        (tmp_path / "unlike" / name).write_text(f"{head}\n1,2\n")
+    assert quoted_csv.read_quoted(spark, str(tmp_path / "unlike")) is None
+    assert quoted_csv.read_quoted(spark, "viewfs://store/x") is None
+    (tmp_path / "head.csv").write_text("id,t\n")
+    assert quoted_csv.read_quoted(spark, str(tmp_path / "head.csv")).columns == ["id", "t"]
+
+
+def test_types_of_a_table_with_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('i,x,s\n1,0.5,"a\nb"\n2,NA,"say ""hi"""\n3,1e3,null\n4,2\n')
+    df = readers.read_table(spark, str(tmp_path / "t.csv"))
+    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "double", "string"]
+    assert [tuple(r) for r in df.orderBy("i").collect()] == [(1, 0.5, "a\nb"), (2, None, 'say "hi"'), (3, 1000.0, None), (4, 2.0, None)]
+
+
 def test_reader_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="unsupported file format 'xlsx'.*csv, json, parquet"):
         readers.read_table(spark, str(tmp_path / "a.xlsx"))
