@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import words
 from plumbline.llm.tokens import per_worker
-from plumbline.session import materialise
+
+#: Longest text of the sample that frequent words come from.
+SAMPLED_BYTES = 1 << 16
 
 
 class FrequentWords:
@@ -115,32 +116,21 @@ def independent_words(model: bytes) -> bool:
     return plain and not any("▁" in p.piece.lstrip("▁") or p.type == 4 for p in proto.pieces)
 
 
-def _least_count(counted: DataFrame, most: int) -> int:
-    """The smallest power of 2 ** (1 / 8) that at most ``most`` counts reach."""
-    step = F.floor(F.log2("n") * 8).cast("int")
-    total, least = 0, None
-    for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred rows at most
-        total += r["count"]
-        if total > most:
-            break
-        least = r["step"]
-    return 1 << 62 if least is None else math.ceil(2 ** (least / 8) - 1e-9)
-
-
 def count_tokens(
     docs: DataFrame,
     model: bytes,
     limit: int = 4096,
     frequent: int = 40_000,
+    sample_docs: int = 4_000,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """Columns doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every whole text.
 
-    First pass: each partition counts its words with a bounded number of counters, and the words with the highest sums, at
-    most ``frequent``, become a broadcast table of token lengths (words of at most 64 bytes).
-    Second pass: words in the table are looked up, others go through a bounded cache of the worker to the library. Words
-    are never shuffled beyond the counters of a partition, and the table affects speed only.
+    The ``frequent`` words that occur most in a bounded sample, at most ``sample_docs`` documents of up to ``SAMPLED_BYTES`` each, become a
+    broadcast table of token lengths (words of at most 64 bytes). Then one pass over all documents: words in the table
+    are looked up, others go through a bounded cache of the worker to the library. No word is ever shuffled, and the table
+    affects speed only.
 
     A null text is empty: no bytes, no tokens. Rows with equal or null ids each get a row. Other columns are not read. An
     empty table gives no rows. The model must let texts fall apart at single blanks, which is checked; else every text is
@@ -157,12 +147,14 @@ def count_tokens(
             for batch in words.steps(batches):
                 distinct, codes = _runs(batch.column("text"))[0].coded()
                 seen.add(distinct, np.bincount(codes, minlength=len(distinct)))
-            top = {w: n for w, n in seen.top().items() if len(w) <= 64 and b" " not in w}
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(top), pa.binary()), "n": pa.array(list(top.values()), pa.int64())})
-
-        counted = source.select("text").mapInArrow(sketch, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        counted = materialise(counted, "word-counts")
-        table = [bytes(r.word) for r in counted.filter(F.col("n") >= _least_count(counted, frequent)).orderBy("word").collect()]
+            top = [w for w in seen.top() if len(w) <= 64 and b" " not in w]
+            yield pa.RecordBatch.from_pydict({"word": pa.array(top, pa.binary())})
+
+        share = min(1.0, 1.5 * sample_docs / max(1, source.count()))
+        short = F.octet_length("text") <= SAMPLED_BYTES
+        drawn = source.select("text").filter((F.rand(7) < share) & short).limit(sample_docs)
+        # at most ``sample_docs`` short texts meet in one task, and ``frequent`` words in the driver
+        table = sorted(bytes(r.word) for r in drawn.repartition(1).mapInArrow(sketch, "word binary").collect())
         sizes = Counter(model, (b"", b"")).sizes(table)
         joined, lengths = b" ".join(table), bytes(min(n, 255) for n in sizes)
     shared = spark.sparkContext.broadcast((model, lengths, joined))
