@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import text_features as tf
 from plumbline.llm import words
 from plumbline.llm.folds import held_out
+from plumbline.plans.ranks import exact_quantiles
 from plumbline.session import materialise
 
 FEATURES = (
@@ -139,9 +140,9 @@ def fit(
 
     ``scored`` has doc_id and features. Labelled rows that are not held out count; about ``max_rows`` of them are drawn by a hash
     of the id. Each gets ``pairs_per_row`` slots by hash, a pair is one row of either label in one slot, and the logistic
-    loss on the difference of their features is minimised without an intercept. The cut is the quantile of the raw
-    scores of these rows that leaves as many above as have label 1; there the score is ``level``. Without rows of both
-    labels every score is the same: above ``level`` if only 1 was seen, else below. Labels that differ from 0 and 1,
+    loss on the difference of their features is minimised without an intercept. The cut is the exact quantile of the raw
+    scores of all labelled rows that are not held out, drawn or not, that leaves as many above as have label 1; there the score is
+    ``level``. Without rows of both labels every score is the same: above ``level`` if only 1 was seen, else below. Labels that differ from 0 and 1,
     null ids and repeated rows of a label (each counts) do no harm.
     """
     usable = labels.select("doc_id", F.col(label_column).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -170,8 +171,9 @@ def fit(
         return QualityModel(mean, spread, [0.0] * width, -1.0 if n["ones"] * 2 > n["n"] else 1.0, level)
     fitted = LogisticRegression(fitIntercept=False, regParam=strength, standardization=False, maxIter=60).fit(pairs)
     model = QualityModel(mean, spread, [float(w) for w in fitted.coefficients], 0.0, level)
-    share = 1 - n["ones"] / n["n"]
-    cut = train.agg(F.percentile(model.raw(F.col("features")), F.lit(share))).first()[0]
+    judged = materialise(scored.join(usable, "doc_id").select("label", model.raw(F.col("features")).alias("raw")), "quality-judged")
+    ones = judged.agg(F.avg("label")).first()[0]
+    ((cut,),) = exact_quantiles(judged, ["raw"], [1 - ones])
     return QualityModel(mean, spread, model.weights, float(cut), level)
 
 

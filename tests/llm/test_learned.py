@@ -140,6 +140,17 @@ def test_quality_of_held_out_documents(spark):
     assert ((got.score >= 0.7) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
 
 
+def test_the_cut_is_the_quantile_of_all_labelled_rows(spark, table):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["alpha", "Beta", "##", "gamma7", "x"], k=rng.randrange(3, 80))), "en", "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(len(t) > 150)) for i, t, _, _ in rows], "doc_id long, quality int")
+    scored = quality.featured(table(rows), "doc_id", "text")
+    model = quality.fit(scored, labels, max_rows=60)  # the weights come from few rows, the cut from all
+    raw = scored.select("doc_id", model.raw(F.col("features")).alias("raw"))
+    own = raw.join(labels, "doc_id").filter(~held_out(F.col("doc_id"))).toPandas()
+    assert model.cut == pytest.approx(np.quantile(own.raw, 1 - own.quality.mean()), abs=1e-12)
+
+
 def test_quality_of_odd_rows_and_labels(spark, table, odd_rows, no_rows):
     labels = spark.createDataFrame([(k % 14, k % 3 if k % 5 else None) for k in range(40)] + [(None, 1)], "doc_id long, quality int")
     got = quality.rank(table(odd_rows), labels).collect()
