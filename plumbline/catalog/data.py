@@ -701,13 +701,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     "class_weights",
     ctes(
         ["feat"],
-        "WITH c AS (SELECT c_flag, count(*) AS k FROM feat WHERE side = 'ref' AND (c_flag <> 'R' OR f_qty <= 10) GROUP BY c_flag) "
-        "SELECT row_key, feat.c_flag, round(CASE WHEN (SELECT min(k) / CAST(sum(k) AS DOUBLE) FROM c) < 0.2 "
-        "THEN (SELECT sum(k) FROM c) / CAST(3 * k AS DOUBLE) ELSE 1 END, 9) AS weight FROM feat JOIN c ON feat.c_flag = c.c_flag",
+        "WITH s AS (SELECT row_key, side, CASE WHEN f_qty <= 5 THEN 'few' WHEN f_qty <= 25 THEN 'some' ELSE 'many' END AS c_size FROM feat), "
+        "c AS (SELECT c_size, count(*) AS k FROM s WHERE side = 'ref' GROUP BY c_size) "
+        "SELECT row_key, s.c_size, round(CASE WHEN (SELECT min(k) / CAST(sum(k) AS DOUBLE) FROM c) < 0.2 "
+        "THEN (SELECT sum(k) FROM c) / CAST(3 * k AS DOUBLE) ELSE 1 END, 9) AS weight FROM s JOIN c ON s.c_size = c.c_size",
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "feat")
-    train = rows.filter("side = 'ref' AND (c_flag <> 'R' OR f_qty <= 10)")
-    weighted = ft.with_class_weights(rows.select("row_key", "c_flag"), ft.class_weights(train, "c_flag"), "c_flag")
+    size = F.when(F.col("f_qty") <= 5, "few").when(F.col("f_qty") <= 25, "some").otherwise("many")  # a tenth are few
+    rows = view(spark, sf, "feat").withColumn("c_size", size)
+    weighted = ft.with_class_weights(rows.select("row_key", "c_size"), ft.class_weights(rows.filter("side = 'ref'"), "c_size"), "c_size")
     return _round(weighted, ["weight"], 9)
