@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.catalog.base import FEATURES, ctes, query, table, view
+from plumbline.catalog.base import FEATURES, REGISTRY, ctes, query, table, view
 from plumbline.functions.scalars import dataset_id
 from plumbline.operators import features as ft
 from plumbline.operators import prep, quality
+from plumbline.operators.components import WideComponents
 from plumbline.session import scratch_path, small_table
 from plumbline.sources import readers, writers
 
@@ -697,6 +698,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round(parts, ["pc_00", "pc_01"])
 
 
+# the same plane from the form for wide vectors
+@query("pca_wide", REGISTRY["pca_plane"].sql)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_key")
+    rows = table(spark, sf, "lineitem").select(key, F.array("l_quantity", F.col("l_discount") * 100).alias("v"))
+    parts = WideComponents.fit(rows, "v", 2).transform(rows, "v", ["row_key"])
+    return _round(parts, ["pc_00", "pc_01"])
+
+
 @query(
     "class_weights",
     ctes(

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import components
 from plumbline.operators import features as ft
 
 
@@ -112,3 +113,41 @@ def test_class_weights_come_from_train(spark):
     out = ft.with_class_weights(spark.createDataFrame([(0,), (1,), (2,)], "target int"), weights).collect()
     assert [round(r["weight"], 4) for r in out] == [0.5263, 10.0, 1.0]
     assert math.isclose(sum(weights[r[0]] for r in train.collect()), 100)
+
+
+def _vectors(spark, x):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<double>").repartition(3)
+
+
+def test_wide_components_are_those_of_the_exact_form(spark, rng, monkeypatch):
+    x = rng.normal(size=(300, 30)) * np.linspace(5, 0.5, 30) + 100
+    names = [f"f{i}" for i in range(30)]
+    table = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in names))
+    exact = ft.Components.fit(table, names, 4)
+    monkeypatch.setattr(components, "FAN_IN", 2)
+    monkeypatch.setattr(components, "CELLS", 300)
+    wide = components.WideComponents.fit(_vectors(spark, x), "v", 4, rounds=12)
+    assert wide.n == 300 and np.allclose(wide.loadings, exact.loadings, atol=1e-6) and np.allclose(wide.explained, exact.explained, atol=1e-9)
+    got = wide.transform(_vectors(spark, x), "v", ["id"]).orderBy("id").toPandas()
+    assert np.allclose(got.iloc[:, 1:], (x - x.mean(0)) @ np.array(exact.loadings).T, atol=1e-4)
+
+
+def test_components_of_twenty_thousand_columns(spark, rng):
+    left, right = np.linalg.qr(rng.normal(size=(120, 3)))[0], np.linalg.qr(rng.normal(size=(20_000, 3)))[0]
+    x = left * [900, 500, 200] @ right.T + rng.normal(size=(120, 20_000)) * 0.05
+    wide = components.WideComponents.fit(_vectors(spark, x), "v", 3)
+    centred = x - x.mean(0)
+    s, v = np.linalg.svd(centred, full_matrices=False)[1:]
+    assert np.allclose(np.abs(np.sum(wide.loadings * v[:3], axis=1)), 1, atol=1e-8)
+    assert np.allclose(wide.explained, s[:3] ** 2 / (centred**2).sum(), rtol=1e-6)
+
+
+def test_wide_components_of_odd_rows(spark):
+    rows = [(1, [1.0, 0.0, 2.0]), (2, [3.0, 1.0, 2.0]), (3, None), (4, [1.0, None, 2.0]), (5, [1.0]), (6, [float("nan"), 0.0, 0.0]), (7, [5.0, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    wide = components.WideComponents.fit(df, "v", 9)
+    assert wide.n == 3 and wide.loadings.shape == (3, 3) and wide.explained.sum() == pytest.approx(1)
+    got = {r["id"]: r["pc_00"] for r in wide.transform(df, "v", ["id"]).collect()}
+    assert [k for k, v in got.items() if v is None] == [3, 4, 5, 6] and got[1] == pytest.approx(-got[7], abs=0.5)
+    with pytest.raises(ValueError, match="no complete vectors"):
+        components.WideComponents.fit(df.limit(0), "v", 1)
