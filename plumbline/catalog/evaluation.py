@@ -265,6 +265,27 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return small_table(spark, [pair], "slope double, intercept double")
 
 
+# one round of depth one: the split of the two features that leaves the least squared error, and the means on both sides
+@query(
+    "fit_boosted_stump",
+    "WITH c AS (SELECT 0 AS f, l_quantity AS v, sum(l_extendedprice) AS s, count(*) AS n FROM lineitem GROUP BY l_quantity "
+    "UNION ALL SELECT 1, l_discount, sum(l_extendedprice), count(*) FROM lineitem GROUP BY l_discount), "
+    "t AS (SELECT sum(l_extendedprice) AS ts, count(*) AS tn FROM lineitem), "
+    "u AS (SELECT f, v, sum(s) OVER (PARTITION BY f ORDER BY v) AS sl, sum(n) OVER (PARTITION BY f ORDER BY v) AS nl, ts, tn FROM c, t), "
+    "b AS (SELECT * FROM u WHERE nl < tn ORDER BY power(sl - nl * ts / tn, 2) / nl + power(sl - nl * ts / tn, 2) / (tn - nl) DESC, f, v LIMIT 1) "
+    "SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_key, "
+    "round(CASE WHEN (CASE WHEN f = 0 THEN l_quantity ELSE l_discount END) <= v THEN sl / nl ELSE (ts - sl) / (tn - nl) END, 2) AS prediction FROM lineitem, b",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_key")
+    cols = ["l_quantity", "l_discount"]
+    rows = table(spark, sf, "lineitem").select(key, *cols, "l_extendedprice")
+    one = {"rounds": 1, "depth": 1, "rate": 1.0, "l2": 0.0}
+    model = models.fit(rows, "gradient_boosting_regressor", cols, "l_extendedprice", one)
+    scored = models.batch_score(rows.select("row_key", *cols), model, cols)
+    return _round(scored.select("row_key", "prediction"), ["prediction"], 2)
+
+
 DISTANCE = (
     "list_aggregate(list_transform(list_zip(q.embedding, t.embedding), "
     "lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])), 'sum')"

@@ -447,6 +447,28 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return report.withColumn("out_of_bounds_features", F.array_join("out_of_bounds_features", ","))
 
 
+# the part of the report that SQL can say: what leaves the bounds, by batch
+@query(
+    "anomaly_report_bounds",
+    ctes(
+        ["feat"],
+        f"WITH mv AS ({MOVED}), {bounds_sql('mv').replace(') SELECT row_key, ', '), b AS (SELECT row_key, ', 1)}) "
+        "SELECT split_part(row_key, '-', 3) AS batch, count(*) AS rows, max(max_z) AS max_z_score, concat_ws(',', "
+        + ", ".join(f"CASE WHEN bool_or(contains(oob_features, '{f}')) THEN '{f}' END" for f in FEATURES)
+        + ") AS out_of_bounds_features, CAST("
+        + " + ".join(f"bool_or(contains(oob_features, '{f}'))::INT" for f in FEATURES)
+        + " AS BIGINT) AS oob_count FROM b GROUP BY 1",
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    profile = anomaly.ReferenceProfile.fit(view(spark, sf, "feat").filter(is_ref()), FEATURES)
+    rows = profile.apply(_moved(spark, sf)).withColumns({"outlier": F.lit(False), "decision": F.lit(0.0), "batch": F.split("row_key", "-")[2]})
+    report = anomaly.anomaly_report(rows, "batch", FEATURES)
+    return report.select(
+        "batch", "rows", F.round("max_z_score", 6).alias("max_z_score"), F.array_join("out_of_bounds_features", ",").alias("out_of_bounds_features"), "oob_count"
+    )
+
+
 # --------------------------------------------------------------------------- traffic
 
 

@@ -422,6 +422,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return monitors.drain_append(out, "score")
 
 
+# a line through price by quantity, as scored on a stream
+@query(
+    "stream_score_linear",
+    ctes(
+        ["feat"],
+        "WITH l AS (SELECT regr_slope(f_price, f_qty) AS b, regr_intercept(f_price, f_qty) AS a FROM feat) "
+        "SELECT row_key, round(a + b * f_qty, 2) AS prediction, 'inference_normal' AS action_taken FROM feat, l",
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    model = models.fit(view(spark, sf, "feat"), "linear_regression", ["f_qty"], "f_price")
+    scored = monitors.stream_score(_line_stream(spark, sf), lambda df: models.batch_score(df, model, ["f_qty"]))
+    return monitors.drain_append(scored.select("row_key", F.round("prediction", 2).alias("prediction"), "action_taken"), "line")
+
+
 @query(
     "stream_label_join",
     "SELECT e.event_id AS request_id, CASE WHEN e.value > 35 THEN 1 ELSE 0 END AS prediction, "

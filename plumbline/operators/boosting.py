@@ -105,7 +105,8 @@ def best_split(g: np.ndarray, h: np.ndarray, l2: float, least: float, gamma: flo
     gl, hl = np.cumsum(g, axis=1)[:, :-1], np.cumsum(h, axis=1)[:, :-1]
     all_g, all_h = g.sum(axis=1, keepdims=True), h.sum(axis=1, keepdims=True)
     gr, hr = all_g - gl, all_h - hl
-    gain = 0.5 * (gl**2 / (hl + l2) + gr**2 / (hr + l2) - all_g**2 / (all_h + l2)) - gamma
+    with np.errstate(divide="ignore", invalid="ignore"):  # an empty side, which has not the least curvature
+        gain = 0.5 * (gl**2 / (hl + l2) + gr**2 / (hr + l2) - all_g**2 / (all_h + l2)) - gamma
     gain = np.where((hl >= least) & (hr >= least), gain, -np.inf)
     if not gain.size:
         return -np.inf, 0, 0
