@@ -328,6 +328,25 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _round(models.cross_validate(train, "logistic_regression", FEATURES, ["row_key"]), ["value"])
 
 
+# a line through price by quantity, fitted without each fold in turn
+@query(
+    "cross_validate_linear",
+    ctes(
+        ["feat"],
+        "WITH k AS (SELECT f_qty AS x, f_price / 1000 AS y, (row_number() OVER (ORDER BY md5('42:' || row_key), row_key) - 1) % 5 AS fold FROM feat), "
+        "m AS (SELECT f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM (SELECT DISTINCT fold FROM k) f JOIN k ON k.fold <> f.fold GROUP BY f.fold), "
+        "e AS (SELECT k.fold, sqrt(avg(power(y - a - b * x, 2))) AS rmse, avg(abs(y - a - b * x)) AS mae, "
+        "1 - avg(power(y - a - b * x, 2)) / var_pop(y) AS r2 FROM k JOIN m ON m.fold = k.fold GROUP BY k.fold) "
+        + " UNION ALL ".join(
+            f"SELECT 'linear_regression' AS algorithm, 'cv_{m}' AS metric, round(avg({m}), 6) AS value FROM e" for m in ("rmse", "mae", "r2")
+        ),
+    ),
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "feat").select("row_key", "f_qty", (F.col("f_price") / 1000).alias("price"))
+    return _round(models.cross_validate(rows, "linear_regression", ["f_qty"], ["row_key"], "price"), ["value"])
+
+
 @query("train_all")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "feat").select("row_key", "target", *FEATURES)
