@@ -80,6 +80,25 @@ def test_ranged_row_number_numbers_null_groups(spark):
     assert sorted((r["k"] or "", r["v"], r["rn"]) for r in got) == [("", "a", 1), ("", "b", 2), ("x", "a", 1)]
 
 
+@pytest.mark.parametrize("cells", [200_000, 0])
+def test_ranged_row_number_deals_no_large_part_to_one_task(spark, monkeypatch, cells):
+    monkeypatch.setattr(ranks, "MAX_CELLS", cells)  # 0: the shifts are joined by a shuffle
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 < 9, 1).alias("k"))
+    df = df.withColumn("h", order_hash(["id"], 1)).repartition(4)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ranks.ranged_row_number(df, ["h"], "rn", ["k"]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    for k in (1, None):
+        assert [r["rn"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["h"])] == list(range(1, 18_001 if k else 2001))
+    tasks = [r["task"] for r in got]
+    assert max(map(tasks.count, set(tasks))) < 12_000  # by part, one task has 18,000
+
+
 @pytest.mark.parametrize("ranked_rows", [1_000_000, 2])
 def test_hash_cuts_are_the_rows_at_the_ranks(spark, monkeypatch, ranked_rows):
     monkeypatch.setattr(ranks, "RANKED_ROWS", ranked_rows)
