@@ -208,6 +208,16 @@ def test_cross_validation(spark, learnable):
     assert {r["metric"] for r in rows} == {"cv_rmse", "cv_mae", "cv_r2"}
 
 
+def test_folds_of_repeated_keys_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i // 4, float(i % 7), float(i)) for i in range(80)]
+    found = []
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "id int, a double, price double").coalesce(1)
+        found.append(models.cross_validate(df, "linear_regression", ["a"], ["id"], "price", folds=3).collect())
+    for a, b in zip(*found):
+        assert a["metric"] == b["metric"] and a["value"] == pytest.approx(b["value"], rel=1e-9)
+
+
 def test_first_algorithm_wins_ties(spark):
     rows = [("b", 1, "test_f1", 0.9), ("a", 0, "test_f1", 0.9), ("a", 0, "test_rmse", 2.0), ("b", 1, "test_rmse", 1.0)]
     df = spark.createDataFrame(rows, "algorithm string, position int, metric string, value double")
