@@ -95,6 +95,22 @@ def test_boosted_trees_are_those_of_exhaustive_search(spark, rng, kind, classes)
     assert sorted(r["prediction"] for r in scored) == pytest.approx(sorted(map(float, want)))
 
 
+@pytest.mark.parametrize("name, label", [("gradient_boosting", "target"), ("gradient_boosting_regressor", "price")])
+def test_boosting_passes_do_not_grow_with_rows_of_the_same_bins(spark, rng, monkeypatch, name, label):
+    x = rng.integers(0, 6, (3000, 2)).astype(float) + 0.0
+    rows = [(*map(float, r), int(r[0] > r[1]), float(r[0] + rng.normal())) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, target int, price double").repartition(3)
+    held = []
+    monkeypatch.setattr(boosting.BoostedFit, "_blocks", lambda self, cells, n, base, f=boosting.BoostedFit._blocks: held.append(n) or f(self, cells, n, base))
+    model = models.fit(df, name, ["a", "b"], label, {"rounds": 2, "depth": 2, "rate": 1.0, "l2": 0.0}, imbalance=0.0)
+    assert held == [36]  # labels are told by the cell, or are averaged in it
+    if label == "price":
+        y = np.array([r[3] for r in rows])
+        assert model.losses[0] == pytest.approx(((y - y.mean()) ** 2).mean() / 2)
+        left = y - model.base - replace(model, feature=model.feature[:1], cut=model.cut[:1], value=model.value[:1]).margins(x)[:, 0]
+        assert model.losses[1] == pytest.approx((left**2).mean() / 2)
+
+
 def test_derivatives_against_differences(rng):
     y, w = rng.integers(0, 3, 20).astype(float), rng.uniform(1, 2, 20)
     for kind, outputs in (("squared", 1), ("binary", 1), ("softmax", 3)):
