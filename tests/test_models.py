@@ -277,6 +277,20 @@ def test_pivots_skip_most_pairs_of_clustered_rows(spark, rng):
     assert index.pairs(visits) < 0.25 * 4000**2
 
 
+def test_train_rows_are_copied_for_their_own_visits_only(spark, rng, monkeypatch):
+    monkeypatch.setattr(neighbour_join, "QUERY_ROWS", 100)
+    centres = rng.normal(size=(40, 8)) * 20
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8))
+    index, queries = _index(spark, x, 3, 100)
+    found, visits = index.search(queries, len(x))
+    asked, held = index.facing(visits)
+    paid = {(r["ring"], r["part"]): r["count"] for r in visits.groupBy("ring", "part").count().collect()}
+    rows = {(r["ring"], r["part"]): r["count"] for r in index.rows.groupBy("ring", "part").count().collect()}
+    assert held.count() == sum(-(-n // 100) * rows[at] for at, n in paid.items()) < 40 * 4000 / 4
+    assert asked.count() == visits.count()
+    assert found.groupBy("query").count().filter("count = 3").count() == 4000
+
+
 def test_rings_of_equal_distances_have_parts(spark):
     angle = np.arange(600) / 600 * 2 * np.pi
     x = np.vstack([np.zeros((1, 2)), np.stack([np.cos(angle), np.sin(angle)], axis=1).round(12)])
