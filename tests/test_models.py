@@ -177,6 +177,26 @@ def test_newton_steps_reach_the_minimum(spark, rng):
         assert np.abs(slope(v, cost, target, epsilon)).max() < 1e-5 * (1 + cost)
 
 
+@pytest.mark.parametrize("name, label", [("svm", "target"), ("svm_regressor", "square")])
+def test_kernel_fits_start_near_their_end(spark, rng, monkeypatch, name, label):
+    table = _rings(spark, rng, 4000)
+    passes = []
+
+    def counted(rows, run, f=kernels._sums):
+        passes.append("few" not in str(rows._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]))
+        return f(rows, run)
+
+    monkeypatch.setattr(kernels, "_sums", counted)
+    found = []
+    for least in (10**9, 10):
+        monkeypatch.setattr(kernels, "START_ROWS", least)
+        passes.clear()
+        found.append((models.fit(table, name, ["a", "b"], label), sum(passes)))
+    (cold, many), (warm, less) = found
+    assert np.abs(warm.weights - cold.weights).max() < 1e-6 * np.abs(cold.weights).max()
+    assert warm.slopes == pytest.approx(cold.slopes, rel=1e-5) and less < many
+
+
 def test_unknown_algorithm(learnable):
     with pytest.raises(ValueError, match="unknown algorithm 'xyz'"):
         models.fit(learnable, "xyz", COLS)
