@@ -18,11 +18,12 @@ from pyspark.sql import SparkSession
 from plumbline.operators.anomaly import IsolationForest, ReferenceProfile
 from plumbline.operators.features import Components, FeatureTransform, Imputer, Scaler
 from plumbline.operators.boosting import BoostedTrees
+from plumbline.operators.forest import Forest
 from plumbline.operators.kernels import KernelMachine
 from plumbline.operators.models import NearestModel
 from plumbline.session import small_table
 
-KINDS = {c.__name__: c for c in (Imputer, Scaler, Components, FeatureTransform, ReferenceProfile, IsolationForest, KernelMachine, BoostedTrees)}
+KINDS = {c.__name__: c for c in (Imputer, Scaler, Components, FeatureTransform, ReferenceProfile, IsolationForest, KernelMachine, BoostedTrees, Forest)}
 
 
 def _plain(value: Any) -> Any:
@@ -64,12 +65,12 @@ def load_state(spark: SparkSession, path: str) -> Any:
     return _object(json.loads(spark.read.text(path, wholetext=True).first()["value"]))
 
 
-def save_model(spark: SparkSession, model: Transformer | NearestModel | KernelMachine | BoostedTrees, path: str) -> None:
+def save_model(spark: SparkSession, model: Transformer | NearestModel | KernelMachine | BoostedTrees | Forest, path: str) -> None:
     """Store a model that ``models.fit`` gave."""
     if isinstance(model, NearestModel):
         _note(spark, path, {"kind": "nearest", "k": model.k, "classes": model.classes, "features": model.features})
         model.train.write.mode("overwrite").parquet(f"{path}/rows")
-    elif isinstance(model, (KernelMachine, BoostedTrees)):
+    elif isinstance(model, (KernelMachine, BoostedTrees, Forest)):
         _note(spark, path, {"kind": "arrays"})
         save_state(spark, model, f"{path}/arrays")
     else:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import features as ft
-from plumbline.operators import boosting, kernels, models, neighbour_join
+from plumbline.operators import boosting, forest, kernels, models, neighbour_join
 
 
 @pytest.fixture(scope="module")
@@ -111,6 +111,104 @@ def test_boosting_passes_do_not_grow_with_rows_of_the_same_bins(spark, rng, monk
         assert model.losses[1] == pytest.approx((left**2).mean() / 2)
 
 
+def _forest_tree(x, y, times, rows, depth, least, classes):
+    """A tree of drawn rows by trying every value of every feature, as nested (feature, cut, left, right) or leaf values."""
+
+    def short(r):
+        sums = np.bincount(y[r].astype(int), times[r], classes) if classes else (times[r] * y[r]).sum()
+        return (np.square(sums).sum() / times[r].sum()) if times[r].sum() else 0.0
+
+    weight = times[rows].sum()
+    leaf = np.bincount(y[rows].astype(int), times[rows], classes) / weight if classes else [(times[rows] * y[rows]).sum() / weight]
+    best = (1e-9, None)
+    for f in range(x.shape[1]) if depth else ():
+        for c in np.unique(x[rows, f]):
+            left, right = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+            if min(times[left].sum(), times[right].sum()) < least:
+                continue
+            gain = short(left) + short(right) - short(rows)
+            if gain > best[0] * (1 + 1e-9):
+                best = (gain, (f, c, left, right))
+    if best[1] is None:
+        return pytest.approx(list(leaf))
+    f, c, left, right = best[1]
+    return f, c, _forest_tree(x, y, times, left, depth - 1, least, classes), _forest_tree(x, y, times, right, depth - 1, least, classes)
+
+
+def _forest_nested(model, node=0):
+    if model.left[node] < 0:
+        return model.value[node].tolist()
+    return model.feature[node], model.cut[node], _forest_nested(model, model.left[node]), _forest_nested(model, model.left[node] + 1)
+
+
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_a_forest_tree_is_that_of_exhaustive_search_on_its_draw(spark, rng, classes):
+    x = np.array([(a, b, c) for a in range(6) for b in range(5) for c in range(3)], float)  # in the order of their cells
+    score = x[:, 0] - x[:, 1] + rng.normal(size=len(x))
+    y = score if not classes else np.digitize(score, [0.0] if classes == 2 else [-2.0, 2.0]).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, target double").repartition(3)
+    p = {"trees": 1, "depth": 4, "min_split": 5}
+    model = models.fit(df, "random_forest" if classes else "random_forest_regressor", COLS, "target", p, imbalance=0.0)
+    times, _ = forest.drawn(42, 0, 0, np.ones(len(x)), None, None)
+    labels = y if classes else y - y.mean()
+    want = _forest_tree(x, labels, times, np.arange(len(x)), 4, 2, classes)
+    if not classes:  # the model's means are those of the labels themselves
+        model = replace(model, value=model.value - y.mean())
+    assert _forest_nested(model) == want
+    again = models.fit(df.repartition(2), "random_forest" if classes else "random_forest_regressor", COLS, "target", p, imbalance=0.0)
+    assert again.left.tolist() == model.left.tolist() and again.cut.tolist() == model.cut.tolist()
+
+
+@pytest.mark.parametrize("name, label", [("random_forest", "target"), ("random_forest_regressor", "price")])
+def test_forest_passes_do_not_grow_with_rows_of_the_same_bins(spark, rng, monkeypatch, name, label):
+    x = rng.integers(0, 6, (6000, 2)).astype(float)
+    rows = [(*map(float, r), int(r[0] > r[1]), float(r[0] // 3)) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, target int, price double").repartition(3)
+    held = []
+    monkeypatch.setattr(forest.ForestFit, "_blocks", lambda self, cells, f=forest.ForestFit._blocks: held.append(cells.agg(F.count("n"), F.sum("n")).first()) or f(self, cells))
+    model = models.fit(df, name, ["a", "b"], label, {"trees": 12}, imbalance=0.0)
+    assert [tuple(h) for h in held] == [(36, 6000)]
+    scored = models.batch_score(df, model, ["a", "b"]).select(label, "prediction").collect()
+    assert np.mean([abs(r[0] - r[1]) for r in scored]) < 0.1
+    assert model.trees == 12 and len({model.value[t, 0] for t in range(12)}) > 1
+
+
+def test_draws_of_a_cell_are_those_of_its_rows(rng):
+    y = rng.normal(size=40) + 3
+    n, mean, squares = np.full(20_000, 40.0), np.full(20_000, y.mean()), np.full(20_000, ((y - y.mean()) ** 2).sum())
+    times, sums = forest.drawn(7, 1, 2, n, mean, squares)
+    rows = rng.poisson(1, (20_000, 40))
+    for got, want in ((times, rows.sum(axis=1)), (sums, rows @ y)):
+        assert got.mean() == pytest.approx(want.mean(), rel=0.01) and got.std() == pytest.approx(want.std(), rel=0.05)
+    assert np.corrcoef(times, sums)[0, 1] == pytest.approx(np.corrcoef(rows.sum(axis=1), rows @ y)[0, 1], abs=0.02)
+    alone, own = forest.drawn(7, 1, 2, np.ones(9), y[:9], np.zeros(9))
+    assert own.tolist() == (alone * y[:9]).tolist() and not np.array_equal(alone, forest.drawn(7, 2, 2, np.ones(9), None, None)[0])
+
+
+def test_forest_weights_blocks_and_passes(spark, learnable, monkeypatch):
+    rare = learnable.filter("target = 0 OR id % 12 = 0")
+    plain = models.fit(rare, "random_forest", COLS, params={"trees": 10, "depth": 3}, imbalance=0.0)
+    weighted = models.fit(rare, "random_forest", COLS, params={"trees": 10, "depth": 3})
+    assert weighted.value[:10, 1].mean() == pytest.approx(0.5, abs=0.15) and plain.value[:10, 1].mean() < 0.2
+    monkeypatch.setattr(forest, "PASS_NUMBERS", 5000)  # a level in several passes
+    parts = models.fit(rare, "random_forest", COLS, params={"trees": 10, "depth": 3})
+    assert parts.left.tolist() == weighted.left.tolist() and parts.value == pytest.approx(weighted.value)
+    monkeypatch.setattr(forest, "BLOCK_CELLS", 16)
+    several = models.fit(learnable, "random_forest", COLS, params={"trees": 10})
+    scored = models.batch_score(learnable, several, COLS, vector=True)
+    assert models.evaluate(scored, "target", "classification")[0]["accuracy"] > 0.9
+
+
+def test_forest_labels_are_checked(spark):
+    df = spark.createDataFrame([(1.0, 0.5), (2.0, None)], "a double, target double")
+    with pytest.raises(ValueError, match="1 labels are missing"):
+        models.fit(df, "random_forest_regressor", ["a"])
+    with pytest.raises(ValueError, match="no whole numbers"):
+        models.fit(df.filter("a < 2"), "random_forest", ["a"])
+    with pytest.raises(ValueError, match="no rows to fit"):
+        models.fit(df.limit(0), "random_forest_regressor", ["a"])
+
+
 def test_derivatives_against_differences(rng):
     y, w = rng.integers(0, 3, 20).astype(float), rng.uniform(1, 2, 20)
     for kind, outputs in (("squared", 1), ("binary", 1), ("softmax", 3)):
