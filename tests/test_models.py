@@ -209,6 +209,19 @@ def test_forest_labels_are_checked(spark):
         models.fit(df.limit(0), "random_forest_regressor", ["a"])
 
 
+@pytest.mark.parametrize("name, label", [("gradient_boosting", "three"), ("gradient_boosting_regressor", "price")])
+def test_a_pass_grows_a_tree_if_one_block_has_all_cells(learnable, monkeypatch, name, label):
+    passes = []
+    monkeypatch.setattr(boosting.BoostedFit, "_sums", lambda *a, f=boosting.BoostedFit._sums: passes.append(1) or f(*a))
+    one = models.fit(learnable, name, COLS, label, {"rounds": 3, "depth": 3})
+    assert not passes
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    many = models.fit(learnable, name, COLS, label, {"rounds": 3, "depth": 3})
+    assert len(passes) == 9
+    assert one.feature.tolist() == many.feature.tolist() and one.cut.tolist() == many.cut.tolist()
+    assert one.value == pytest.approx(many.value) and one.losses == pytest.approx(many.losses)
+
+
 def test_derivatives_against_differences(rng):
     y, w = rng.integers(0, 3, 20).astype(float), rng.uniform(1, 2, 20)
     for kind, outputs in (("squared", 1), ("binary", 1), ("softmax", 3)):
