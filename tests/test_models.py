@@ -1,3 +1,4 @@
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import features as ft
 from plumbline.operators import boosting, forest, kernels, models, neighbour_join
+from plumbline.session import at_once
 
 
 @pytest.fixture(scope="module")
@@ -347,6 +349,32 @@ def test_training_record_with_folds(spark, learnable):
     assert found["cv_accuracy"] > 0.9 and found["val_roc_auc"] > 0.9
 
 
+def test_folds_are_dealt_once_and_fitted_at_a_time(spark, learnable, monkeypatch):
+    names, found, dealt, meet = ["logistic_regression", "decision_tree"], [], [], threading.Barrier(4)
+    monkeypatch.setattr(models, "kfold_assign", lambda *a, f=models.kfold_assign: dealt.append(a) or f(*a))
+    alone = models.fit
+    for parallelism, fit in ((1, alone), (4, lambda *a: meet.wait(120) >= 0 and alone(*a))):  # four fits have to be under way
+        monkeypatch.setattr(models, "fit", fit)
+        results, fitted = models.train_all(learnable, names, COLS, params=SMALL, keys=["id"], folds=3, parallelism=parallelism)
+        assert list(fitted) == names
+        rows = results.filter("metric <> 'training_time_sec'").collect()
+        found.append([(r["algorithm"], r["position"], r["metric"], pytest.approx(r["value"])) for r in rows])
+    assert found[0] == found[1] and len(dealt) == 2
+    assert {n for n, _, m, _ in found[1] if m == "cv_accuracy"} == set(names)
+
+
+def test_calls_at_once_keep_their_order_and_their_errors(spark):
+    meet = threading.Barrier(2)
+
+    def rows(n):
+        meet.wait(120)
+        return spark.range(n).count()
+
+    assert at_once(spark, [lambda: rows(5), lambda: rows(3)], 2) == [5, 3] and at_once(spark, [], 2) == []
+    with pytest.raises(ZeroDivisionError):
+        at_once(spark, [lambda: 1, lambda: 1 // 0], 2)
+
+
 def test_cross_validation(spark, learnable):
     rows = models.cross_validate(learnable, "logistic_regression", COLS, ["id"], folds=3).collect()
     found = {r["metric"]: r["value"] for r in rows}
