@@ -175,6 +175,27 @@ def test_forest_passes_do_not_grow_with_rows_of_the_same_bins(spark, rng, monkey
     assert model.trees == 12 and len({model.value[t, 0] for t in range(12)}) > 1
 
 
+@pytest.mark.parametrize("name, label", [("random_forest", "three"), ("random_forest_regressor", "price")])
+def test_rows_between_the_same_cuts_walk_the_trees_once(learnable, rng, monkeypatch, name, label):
+    model = models.fit(learnable, name, COLS, label, {"trees": 4, "depth": 2}, imbalance=0.0)
+    grid = np.unique(model.cut[model.left >= 0])
+    x = np.concatenate([rng.normal(size=(3000, 3)), rng.choice(grid, (300, 3)), [[np.nan, -np.inf, np.inf], [0.0, -0.0, np.nan]]])
+    tables = [x[:100], x[:0], x[100:]]
+    want = [model.votes(t) for t in tables]
+    walked = []
+    monkeypatch.setattr(forest.Forest, "votes", lambda self, x, f=forest.Forest.votes: walked.append(len(x)) or f(self, x))
+    cells = len({r.tobytes() for r in want[0]} | {r.tobytes() for r in want[2]})
+    for most in (10**6, 1):
+        monkeypatch.setattr(forest, "KNOWN_NUMBERS", most)
+        walked.clear()
+        for got, own in zip(model.votes_by_cell([*tables, tables[0]]), [*want, want[0]], strict=True):
+            assert np.array_equal(got, own)
+        assert len(walked) <= 2 if most > 1 else len(walked) == 3  # with room for them, the votes of all cells are kept
+        assert cells <= sum(walked) < len(x) / 2
+    alone = replace(model, left=np.full(len(model.left), -1))  # no tree has a split
+    assert np.array_equal(next(alone.votes_by_cell([x])), alone.votes(x))
+
+
 def test_draws_of_a_cell_are_those_of_its_rows(rng):
     y = rng.normal(size=40) + 3
     n, mean, squares = np.full(20_000, 40.0), np.full(20_000, y.mean()), np.full(20_000, ((y - y.mean()) ** 2).sum())
