@@ -471,6 +471,35 @@ def test_train_rows_are_copied_for_their_own_visits_only(spark, rng, monkeypatch
     assert found.groupBy("query").count().filter("count = 3").count() == 4000
 
 
+@pytest.mark.parametrize("copies, width", [(1, 2), (1, 4), (40, 4), (1, 30)])
+def test_rows_of_a_block_are_compared_by_leaves(rng, monkeypatch, copies, width):
+    x = np.tile(np.round(rng.normal(size=(20_000 // copies, width)), 2), (copies, 1))
+    q, ids = np.vstack([np.round(rng.normal(size=(3000, width)), 2), x[:1000]]), rng.permutation(len(x))
+    q[7, 1] = np.nan
+    compared = []
+    monkeypatch.setattr(neighbour_join, "_rough", lambda a, b, *n, f=neighbour_join._rough: compared.append(len(a) * len(b)) or f(a, b, *n))
+    limit = np.where(np.arange(len(q)) % 5, np.inf, 0.01)
+    at, to, exact = neighbour_join.closest(q, x, ids, 3, limit)
+    if width == 2:
+        assert sum(compared) < 0.1 * len(q) * len(x)
+    for i in range(0, len(q), 13):
+        d = ((x - q[i]) ** 2).sum(axis=1)
+        best = np.lexsort((ids, d))[:3]
+        best = best[d[best] <= limit[i]]
+        got = at == i
+        if limit[i] < np.inf:
+            got &= exact <= limit[i]
+        assert to[got].tolist() == best.tolist() and exact[got] == pytest.approx(d[best])
+    assert not (at == 7).any()
+
+
+def test_missing_labels_have_no_vote(spark):
+    train = spark.createDataFrame([(0.0, 0.0), (0.1, None), (0.2, 1.0), (9.0, 1.0), (9.1, None), (9.2, None), (9.3, None)], "a double, target double")
+    near = models.fit(train, "knn", ["a"], params={"k": 3})
+    scored = models.batch_score(spark.createDataFrame([(1, 0.1), (2, 0.1), (3, 8.5)], "id int, a double"), near, ["a"])
+    assert [(r["id"], r["prediction"], r["probability"]) for r in scored.orderBy("id").collect()] == [(1, 0.0, 0.5), (2, 0.0, 0.5), (3, 1.0, 1.0)]
+
+
 def test_rings_of_equal_distances_have_parts(spark):
     angle = np.arange(600) / 600 * 2 * np.pi
     x = np.vstack([np.zeros((1, 2)), np.stack([np.cos(angle), np.sin(angle)], axis=1).round(12)])
