@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import components
 from plumbline.operators import features as ft
+from plumbline.plans import ranks
 
 
 def _labelled(spark, n=400, rare=0.05):
@@ -56,6 +57,27 @@ def test_folds_are_balanced_per_class(spark):
     assert len(loose) == 5 and all(300 < r["count"] < 500 for r in loose)
 
 
+def test_folds_write_no_column_that_is_not_kept(spark, monkeypatch):
+    rows = _labelled(spark).withColumn("x", F.col("id") * 2)
+    whole = {r["x"]: r["fold"] for r in ft.kfold_assign(rows, ["id"], "target").collect()}
+    written = []
+    monkeypatch.setattr(ranks, "materialise", lambda df, label, f=ranks.materialise: written.append((label, df.columns)) or f(df, label))
+    some = ft.kfold_assign(rows, ["id"], "target", keep=["x"])
+    assert some.columns == ["x", "fold"] and {r["x"]: r["fold"] for r in some.collect()} == whole
+    assert set(dict(written)["numbered"]) == {"target", "x", "_range", "_place"}
+
+
+def test_arrays_hold_the_numbers_of_vectors(spark):
+    df = spark.createDataFrame([(1, 2.5, True), (3, -1.0, False)], "a int, b double, c boolean")
+    got = [r["v"] for r in ft.to_array(df, ["a", "b", "c"], "v").collect()]
+    assert got == [r["v"].toArray().tolist() for r in ft.to_vector(df, ["a", "b", "c"], "v").collect()]
+    nested = ft.to_vector(df, ["a", "b"], "w")
+    assert ft.to_array(nested, ["w", "c"], "v").select(ft.as_array(ft.to_array(nested, ["w", "c"], "v"), "v")).first()[0] == [1.0, 2.5, 1.0]
+    for bad in (None, float("nan")):
+        with pytest.raises(Exception, match="column 'b' has missing values"):
+            ft.to_array(spark.createDataFrame([(1, bad)], "a int, b double"), ["a", "b"]).collect()
+
+
 def test_scalers_against_numpy(spark, rng):
     x = rng.normal(3, 2, 200)
     df = spark.createDataFrame([(float(v), 4.0) for v in x], "x double, c double")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.catalog import evaluation
 from plumbline.operators import features as ft
 from plumbline.operators import boosting, forest, kernels, models, neighbour_join
 from plumbline.session import at_once
@@ -414,6 +415,26 @@ def test_folds_of_repeated_keys_do_not_depend_on_the_order_of_rows(spark):
         assert a["metric"] == b["metric"] and a["value"] == pytest.approx(b["value"], rel=1e-9)
 
 
+def test_classes_of_all_folds_are_counted_in_one_pass(learnable, monkeypatch):
+    counted, given = [], []
+    monkeypatch.setattr(models, "class_counts", lambda *a, f=models.class_counts: counted.append(1) or f(*a))
+    monkeypatch.setattr(models, "_counts_without", lambda *a, f=models._counts_without: given.append((a[0], f(*a))) or given[-1][1])
+    models.train_all(learnable, ["logistic_regression", "decision_tree"], COLS, keys=["id"], folds=3, params=SMALL)
+    assert len(counted) == 2 and len(given) == 1
+    folded, found = given[0]
+    for k in range(3):
+        assert found[k] == ft.class_counts(folded.filter(F.col("fold") != k))
+
+
+def test_a_transform_is_fitted_on_kept_rows(spark, monkeypatch):
+    levels = []
+    monkeypatch.setattr(evaluation.FeatureTransform, "fit", staticmethod(lambda df, cols, f=ft.FeatureTransform.fit: levels.append(df) or (levels.append(df.is_cached) or f(df, cols))))
+    df = spark.createDataFrame([(i, float(i), "train" if i < 8 else "test") for i in range(10)], "id int, a double, split string")
+    got = evaluation._transformed(df, ["a"]).orderBy("id").collect()
+    assert levels[1] and not levels[0].is_cached
+    assert [r["a"] for r in got] == pytest.approx([(i - 3.5) / np.std(range(8)) for i in range(10)]) and got[9]["split"] == "test"
+
+
 def test_first_algorithm_wins_ties(spark):
     rows = [("b", 1, "test_f1", 0.9), ("a", 0, "test_f1", 0.9), ("a", 0, "test_rmse", 2.0), ("b", 1, "test_rmse", 1.0)]
     df = spark.createDataFrame(rows, "algorithm string, position int, metric string, value double")
